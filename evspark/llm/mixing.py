@@ -30,8 +30,6 @@ from evspark.llm.common import WORD_GAPS, null_safe_text, written
 MAX_REPEATS = 3
 #: What the first, second and third use of a word cost: convex.
 REPEAT_COSTS = (0, 1, 3)
-#: Buckets of the seeded order for each pattern.
-BUCKETS = 4096
 
 
 def words(text: str = "text") -> Column:
@@ -118,39 +116,76 @@ def order_of(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
 
 
-def choice(docs: DataFrame, given: dict[tuple, int], sizes: dict[tuple, int], seed: int, buckets: int = BUCKETS) -> DataFrame:
+#: Bits of the order that name its bucket: 4096 buckets for each pattern.
+BUCKET_BITS = 12
+#: Filling ends when what is left of a pattern's rest is below this share of it, or fits no document.
+CLOSE = 0.0005
+LAST = (1 << 63) - 1
+
+
+def choice(docs: DataFrame, given: dict[tuple, int], sizes: dict[tuple, int], seed: int) -> DataFrame:
     """By pattern, what tells how often a document of docs(doc_id, size, pattern) is used: `whole`, how
-    often every document is; and the bucket, the order inside it and the single order up to which, or
-    at which, documents are used once more. As small as the table of patterns."""
-    rows = []
+    often every document is; `rounds`, by which documents are used once more, those of size `most` or
+    less whose order is `upto` or less; and `last`, the order of one more such document.
+
+    Each round fills what is left with the documents that it could hold, in their order, until the next
+    one would be too many; what then is left is less than that document, and the next round passes over
+    such. The table, as small as that of patterns, is made by the driver.
+    """
+    spark, whole, left, rounds, last = docs.sparkSession, {}, {}, {}, {}
     for p, size in sizes.items():
-        whole = min(MAX_REPEATS, given[p] // size) if size else 0
-        rows.append((list(p), whole, given[p] - whole * size if whole < MAX_REPEATS else 0))
-    plan = docs.sparkSession.createDataFrame(rows, "pattern array<string>, whole long, rest long")
-    able = docs.filter("size > 0").join(F.broadcast(plan.filter("rest > 0")), "pattern").withColumn("order", order_of(seed))
+        whole[p] = min(MAX_REPEATS, given[p] // size) if size else 0
+        left[p] = given[p] - whole[p] * size if whole[p] < MAX_REPEATS else 0
+        rounds[p] = []
+    rest = dict(left)
     # Rows alike in id and size have one place and stand or fall together.
-    able = able.groupBy("pattern", "rest", "order").agg(F.sum("size").alias("size")).withColumn("bucket", F.pmod("order", F.lit(buckets)))
-    able = written(able, "order")
-    histogram = able.groupBy("pattern", "rest", "bucket").agg(F.sum("size").alias("held"))
-    before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = histogram.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0))).filter("before <= rest and before + held > rest").select("pattern", F.col("bucket").alias("edge"), "before")
-    edge = written(edge, "edge")
-    within = Window.partitionBy("pattern", "bucket").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
-    inside = able.join(F.broadcast(edge), "pattern").filter("bucket = edge").withColumn("upto", F.sum("size").over(within) + F.col("before")).filter("upto <= rest")
-    cut = edge.join(inside.groupBy("pattern").agg(F.max("upto").alias("upto"), F.max("order").alias("cut")), "pattern", "left").select("pattern", "edge", "cut", F.coalesce("upto", "before").alias("filled"))
-    cut = written(cut, "cut")
-    left = F.col("rest") - F.col("filled")
-    free = able.join(F.broadcast(cut), "pattern").filter("bucket > edge or bucket = edge and (cut is null or order > cut)")
-    last = free.groupBy("pattern").agg(F.min(F.struct(F.abs(left - F.col("size")).alias("gap"), F.col("order").alias("last"), left.alias("left"))).alias("best")).filter("best.gap < best.left").select("pattern", "best.last")
-    return plan.select("pattern", "whole").join(cut.drop("filled"), "pattern", "left").join(last, "pattern", "left")
-
-
-def times(docs: DataFrame, chosen: DataFrame, seed: int, buckets: int = BUCKETS) -> DataFrame:
+    able = docs.filter("size > 0").withColumn("order", order_of(seed)).groupBy("pattern", "order").agg(F.sum("size").alias("size"), F.max("size").alias("one"))
+    able = written(able.withColumn("bucket", F.shiftright("order", 64 - BUCKET_BITS)), "order")
+
+    def free(open_: list[tuple]) -> DataFrame:
+        state = spark.createDataFrame([(list(p), left[p], rounds[p]) for p in open_], "pattern array<string>, left long, rounds array<struct<most:long,upto:long>>")
+        return able.join(F.broadcast(state), "pattern").filter(~_in_rounds(F.col("one")))
+
+    open_ = [p for p in sizes if left[p]]
+    while open_:
+        fit = free(open_).filter("one <= left")
+        held = fit.groupBy("pattern", "left", "bucket").agg(F.sum("size").alias("held"))
+        upto = held.withColumn("upto", F.sum("held").over(Window.partitionBy("pattern").orderBy("bucket")))
+        found = upto.groupBy("pattern").agg(F.max("upto").alias("all"), F.min(F.when(F.col("upto") > F.col("left"), F.struct("bucket", (F.col("upto") - F.col("held")).alias("before")))).alias("edge")).collect()
+        edges = spark.createDataFrame([(r["pattern"], r["edge"]["bucket"], r["edge"]["before"]) for r in found if r["edge"]], "pattern array<string>, bucket long, before long")
+        within = Window.partitionBy("pattern", "bucket").orderBy("order")
+        inside = fit.join(F.broadcast(edges), ["pattern", "bucket"]).withColumn("upto", F.sum("size").over(within) + F.col("before")).filter("upto <= left")
+        cuts = {tuple(r["pattern"]): r for r in inside.groupBy("pattern").agg(F.max("upto").alias("filled"), F.max("order").alias("cut")).collect()}
+        done = set(open_)
+        for r in found:
+            p = tuple(r["pattern"])
+            if r["edge"] is None:
+                filled, cut = r["all"], LAST
+            elif p in cuts:
+                filled, cut = cuts[p]["filled"], cuts[p]["cut"]
+            else:
+                filled, cut = r["edge"]["before"], (r["edge"]["bucket"] << (64 - BUCKET_BITS)) - 1
+            rounds[p].append((left[p], max(cut, -LAST - 1)))
+            left[p] -= filled
+            if r["edge"] is not None and filled and left[p] > CLOSE * rest[p]:
+                done.discard(p)
+        open_ = [p for p in open_ if p not in done]
+    if short := [p for p in sizes if left[p]]:
+        gap = F.abs(F.col("left") - F.col("size"))
+        best = free(short).groupBy("pattern", "left").agg(F.min(F.struct(gap.alias("gap"), "order")).alias("best")).filter("best.gap < left")
+        last = {tuple(r["pattern"]): r["best"]["order"] for r in best.collect()}
+    return spark.createDataFrame([(list(p), whole[p], rounds[p], last.get(p)) for p in sizes], "pattern array<string>, whole long, rounds array<struct<most:long,upto:long>>, last long")
+
+
+def _in_rounds(size: Column) -> Column:
+    return F.exists("rounds", lambda r: (size <= r["most"]) & (F.col("order") <= r["upto"]))
+
+
+def times(docs: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:
     """docs(doc_id, size, pattern, ...) with `times`. No row moves: the small table is broadcast."""
-    order, bucket = F.col("_order"), F.pmod(F.col("_order"), F.lit(buckets))
-    more = (bucket < F.col("edge")) | ((bucket == F.col("edge")) & (order <= F.col("cut"))) | (order == F.col("last"))
-    value = F.when(F.col("size") > 0, F.col("whole") + F.coalesce(more, F.lit(False)).cast("int")).otherwise(F.lit(0)).cast("int")
-    return docs.withColumn("_order", order_of(seed)).join(F.broadcast(chosen), "pattern").withColumn("times", value).drop("_order", "whole", "edge", "cut", "last")
+    more = _in_rounds(F.col("size")) | F.coalesce(F.col("order") == F.col("last"), F.lit(False))
+    value = F.when(F.col("size") > 0, F.col("whole") + more.cast("int")).otherwise(F.lit(0)).cast("int")
+    return docs.withColumn("order", order_of(seed)).join(F.broadcast(chosen), "pattern").withColumn("times", value).drop("order", "whole", "rounds", "last")
 
 
 #: Patterns that the driver's network holds at most; a table with more is refused, not cut.
@@ -161,7 +196,7 @@ def mix(docs: DataFrame, quotas: dict[str, int], seed: int = 17) -> DataFrame:
     """docs(doc_id, size, pattern) with `times` for the given quotas (words by source). A pattern's
     sources that have no quota get nothing."""
     sizes = pattern_sizes(docs)
-    return times(docs, written(choice(docs, min_cost_flow(sizes, quotas), sizes, seed), "choice"), seed)
+    return times(docs, choice(docs, min_cost_flow(sizes, quotas), sizes, seed), seed)
 
 
 def pattern_sizes(docs: DataFrame) -> dict[tuple, int]:
@@ -194,7 +229,7 @@ def choice_by_weight(table: DataFrame, weights: tuple[int, ...] = (1, 2, 3), see
     order = sorted((p[0] for p in sizes), key=lambda s: (s == NULL_SOURCE, s))
     targets = weighted_targets([sizes[s,] for s in order], [weights[i % len(weights)] for i in range(len(order))], sum(sizes.values()))
     given = min_cost_flow(sizes, {s: round(t) for s, t in zip(order, targets, strict=True)})
-    return written(choice(table, given, sizes, seed), "choice"), {s: (sizes[s,], t) for s, t in zip(order, targets, strict=True)}
+    return choice(table, given, sizes, seed), {s: (sizes[s,], t) for s, t in zip(order, targets, strict=True)}
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
