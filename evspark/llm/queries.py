@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField
 
-from evspark.llm import dart, fertility, fingerprints, mixing, spm
+from evspark.llm import chat, dart, fertility, fingerprints, mixing, spm
 from evspark.llm.common import written
 
 
@@ -40,6 +40,13 @@ def op7_dartminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_budgeted_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.windows(turns))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import hashlib
 
