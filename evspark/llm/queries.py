@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField
 
-from evspark.llm import chat, dart, fertility, fingerprints, mixing, spm
+from evspark.llm import chat, dart, fertility, fingerprints, licenses, mixing, spm
 from evspark.llm.common import written
 
 
@@ -36,6 +36,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.template_table(spark)).drop("at")
+
+
 def op7_dartminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart.classes(table(spark, sf_dir, "documents"))
 
@@ -75,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_scan": licenses.oracle()}
