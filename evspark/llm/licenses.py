@@ -124,8 +124,10 @@ tw AS (SELECT template, license_id, {cut} AS w FROM t),
 ts AS (SELECT DISTINCT template, license_id, w[i:i+4] AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM tw)),
 tn AS (SELECT template, count(*) AS n_shingles FROM ts GROUP BY 1),
 dw AS (SELECT doc_id, {cut} AS w FROM documents WHERE text IS NOT NULL),
-ds AS (SELECT DISTINCT doc_id, w[i:i+4] AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM dw WHERE len(w) >= 5))
-SELECT doc_id, template, license_id, n_shingles, count(*) AS matched
-FROM ds JOIN ts USING (s) JOIN tn USING (template)
-GROUP BY ALL HAVING count(*) >= {threshold} * n_shingles
-QUALIFY count(*) / n_shingles = max(count(*) / n_shingles) OVER (PARTITION BY doc_id, regexp_extract(license_id, '{FAMILY}'))"""
+ds AS (SELECT DISTINCT doc_id, w[i:i+4] AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM dw WHERE len(w) >= 5)),
+f AS (
+  SELECT doc_id, template, license_id, n_shingles, count(*) AS matched
+  FROM ds JOIN ts USING (s) JOIN tn USING (template)
+  GROUP BY ALL HAVING count(*) >= {threshold} * n_shingles)
+SELECT * FROM f
+QUALIFY matched / n_shingles = max(matched / n_shingles) OVER (PARTITION BY doc_id, regexp_extract(license_id, '{FAMILY}'))"""
