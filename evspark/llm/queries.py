@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField
 
-from evspark.llm import chat, dart, fertility, fingerprints, licenses, mixing, spm
+from evspark.llm import chat, dart, fertility, fingerprints, html_layout, licenses, mixing, spm, warc
 from evspark.llm.common import written
 
 
@@ -24,6 +24,10 @@ def op1_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
+def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.score(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.with_ids(docs, digests, fields).drop("text")
 
 
+def op10_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items(), key=lambda x: (len(x[0].split("_")[0]), x[0])) if name.startswith("op") and name[2].isdigit()}
 
