@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField
 
-from evspark.llm import chat, dart, fertility, fingerprints, html_layout, licenses, mixing, spm, warc
+from evspark.llm import chat, dart, fertility, fingerprints, html_layout, licenses, mixing, shards, spm, warc
 from evspark.llm.common import written
 
 
@@ -32,6 +32,17 @@ def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.score(table(spark, sf_dir, "documents"))
 
 
+def op4_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document is after all arrivals and merges: its shard, the shard's size and rows, and
+    what is read back of the text."""
+    store = shards.sharded(table(spark, sf_dir, "documents"))
+    now = store.current()
+    listed = spark.createDataFrame([(s.path, s.bytes, s.rows) for s in now.shards] or [("", 0, 0)], "shard string, shard_bytes long, shard_rows long")
+    path = F.concat_ws("/", F.lit("data"), F.slice(F.split(F.input_file_name(), "/"), -2, 2))
+    rows = store.read().select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.length("text").cast("long").alias("text_chars"), path.alias("shard"))
+    return rows.join(F.broadcast(listed), "shard").withColumn("version", F.lit(now.version).cast("long"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = written(mixing.sized(table(spark, sf_dir, "documents")), "sized")
     chosen, by_source = mixing.choice_by_weight(sized)
