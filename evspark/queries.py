@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from evspark.plans import maps, metadata
 
-def oracle_sql():
-    return {}
+_PLANS = (metadata, maps)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for plan in _PLANS for name, sql in plan.ORACLE.items()}
