@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evspark.plans import maps, metadata
+from evspark.plans import maps, metadata, report, text
 
-_PLANS = (metadata, maps)
+_PLANS = (metadata, maps, text, report)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
