@@ -175,7 +175,7 @@ def deconflicted(files: DataFrame, path: str, order: list[str], into: str = "wri
     own = files.select(F.col(path).alias("_p")).distinct()
     m = r"^(.*) \((\d{1,9})\)(\.[^./]*)?$"
     number = F.regexp_extract("_p", m, 2)
-    taken = own.filter(number != "").select(F.concat(F.regexp_extract("_p", m, 1), F.regexp_extract("_p", m, 3)).alias(path), number.cast("long").alias("_n"), number.alias("_text")).filter((F.col("_n") >= 2) & (F.col("_text") == F.col("_n").cast("string")))
+    taken = own.filter(number != "").select(F.concat(F.regexp_extract("_p", m, 1), F.regexp_extract("_p", m, 3)).alias(path), number.try_cast("long").alias("_n"), number.alias("_text")).filter((F.col("_n") >= 2) & (F.col("_text") == F.col("_n").cast("string")))
     taken = taken.groupBy(path).agg(F.array_sort(F.collect_set("_n")).alias("_taken"))
     k = F.row_number().over(Window.partitionBy(path).orderBy(*order)).cast("long")
     rows = files.withColumn("_k", k).join(taken, path, "left")

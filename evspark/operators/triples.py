@@ -32,7 +32,7 @@ def exactly_one(statements: DataFrame, keys: list[str], value: str) -> DataFrame
 def as_whole_number(lexical: Column, datatype: Column) -> Column:
     """The number of a literal whose datatype is a whole number's and whose text is one of 64 bits; null
     otherwise. Numbers beyond a long stay null, as findings."""
-    wide = F.when(datatype.isin(*INTEGERS) & lexical.rlike(r"^\+?[0-9]{1,20}$"), lexical.cast("decimal(20,0)"))
+    wide = F.when(datatype.isin(*INTEGERS) & lexical.rlike(r"^\+?[0-9]{1,20}$"), lexical.try_cast("decimal(20,0)"))
     return F.when(wide < F.lit("9223372036854775808").cast("decimal(20,0)"), wide.cast("long"))
 
 
