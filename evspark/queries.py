@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evspark.plans import maps, metadata, report, text
+from evspark.plans import maps, metadata, report, streams, text
 
-_PLANS = (metadata, maps, text, report)
+_PLANS = (metadata, maps, text, report, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
