@@ -25,7 +25,9 @@ def op1_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    # A record whose digests aren't those of its bytes has none here.
+    return back.select("page_id", "payload_bytes", F.when(F.col("digest_ok"), F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
 
 
 def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,5 +99,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items(), key=lambda x: (len(x[0].split("_")[0]), x[0])) if name.startswith("op") and name[2].isdigit()}
 
 
+#: Payloads, digests (base 32 of SHA-1, four characters from each five hex digits) and revisits of pages.
+OP2 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, list_transform(range(0, 8), lambda g: CAST('0x' || substr(h, CAST(g * 5 + 1 AS BIGINT), 5) AS BIGINT)) AS v FROM p),
+e AS (SELECT *, array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> s) & 31 AS BIGINT) + 1, 1)), '')), '') AS payload_digest,
+  max(page_id) OVER (PARTITION BY html) AS first FROM d)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM e"""
+
+#: Classes by the exact similarity of all pairs of texts that share a shingle.
+OP7 = """
+WITH RECURSIVE u AS (SELECT coalesce(text, '') AS text, min(doc_id) AS rep, count(*) AS copies FROM documents GROUP BY 1),
+w AS (SELECT rep, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM u),
+s AS (SELECT rep, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM w),
+c AS (SELECT rep, sh, count(*) AS n FROM s GROUP BY 1, 2), z AS (SELECT rep, sum(n) AS n FROM c GROUP BY 1),
+p AS (SELECT a.rep AS a, b.rep AS b, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.sh = b.sh AND a.rep < b.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN z za ON za.rep = a JOIN z zb ON zb.rep = b WHERE m / (za.n + zb.n - m) >= 0.8),
+e AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l),
+r(node, root) AS (SELECT rep, rep FROM u UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node),
+k AS (SELECT node, min(root) AS class_id FROM r GROUP BY 1), q AS (SELECT class_id, CAST(sum(copies) AS BIGINT) AS class_size FROM k JOIN u ON rep = node GROUP BY 1)
+SELECT doc_id, class_id, class_size FROM documents JOIN u ON u.text = coalesce(documents.text, '') JOIN k ON node = rep JOIN q USING (class_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": licenses.oracle()}
+    return {"op2_arc_to_warc": OP2, "op6_license_scan": licenses.oracle(), "op7_dartminhash_classes": OP7}
