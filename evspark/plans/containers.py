@@ -137,12 +137,71 @@ def deviations(spark: SparkSession, paths: list[str]) -> DataFrame:
         found(with_member.filter(F.array_contains("types_", "ZipSegment") & (F.size("digests") == 0)), "MissingZipSegmentHash", F.col("subject"), F.lit(None)),
         found(conflicts.filter("n > 1"), "ConflictingStreamValue", F.col("subject"), F.concat_ws(" / ", "a", "b")),
     ]
+    out += [found(r, k, u, d) for r, k, u, d in _volume_rules(spark, paths, s, o, files, members)]
     whole = out[0]
     for rows in out[1:]:
         whole = whole.unionByName(rows)
     return whole
 
 
+#: Namespaces of the standard's terms and of those that the logical standard adds, and such terms. Fixed values.
+LOGICAL_NS = "http://aff4.org/Schema/2022/#"
+KNOWN_NS = (K.SCHEMA_NS, LOGICAL_NS, "https://aff4.org/Schema/2022/#", "http://afflib.org/2009/aff4#")
+STANDARD_TERMS = ("Image", "ContiguousImage", "DiskImage", "ImageStream", "Map", "ZipVolume", "BlockHashes", "size", "chunkSize", "chunksInSegment", "compressionMethod", "hash", "stored", "dataStream", "dependentStream", "target", "mapGapDefaultStream", "contains")
+
+#: Bytes that metadata may hold itself.
+MOST_RESIDENT = 1024
+
+
+def _volume_rules(spark: SparkSession, paths: list[str], s: DataFrame, o: DataFrame, files: DataFrame, members: DataFrame) -> list[tuple]:
+    """Deviations of volumes as wholes: rows, kind, subject and detail."""
+    none = F.lit(None).cast("string")
+    v = K.read(spark, paths, "volumes")
+    clean = lambda c: F.regexp_replace(c, r"^[\x00\s]+|[\x00\s]+$", "")
+    both = v.withColumn("c", F.nullif(clean("comment"), F.lit(""))).withColumn("d", F.nullif(clean("description"), F.lit("")))
+    alpha = v.filter("major = 2 and minor = 1").select("container", "metadata_hashes")
+    own = both.select("container", F.coalesce("d", "c").alias("volume"))
+    known = both.select(F.coalesce("d", "c").alias("stored")).filter("stored is not null").distinct()
+    ranges = s.select("container", F.explode(F.array("subject", F.when(F.col("obj_kind") == "iri", F.col("obj_lexical")))).alias("iri")).filter(F.col("iri").rlike(r"\[[^\]]*\]")).groupBy("container").agg(F.count_distinct("iri").alias("n"))
+    term, space = S.local_name(F.col("predicate")), S.namespace(F.col("predicate"))
+    wrong = s.join(alpha.select("container"), "container", "left_semi").filter(term.isin(*STANDARD_TERMS) & space.isin(*KNOWN_NS) & (space != K.SCHEMA_NS))
+    local = files.join(own, "container").withColumn("name", F.regexp_extract("subject", r"^[a-z0-9+.-]+://[^/]*/(.*)$", 1)).filter("name <> ''")
+    spelt = local.withColumn("escaped", F.replace(F.col("name"), F.lit(" "), F.lit("%20"))).filter("escaped <> name")
+    resident = s.filter((S.local_name(F.col("predicate")) == "dataStream") & (F.col("obj_kind") == "literal")).withColumn("bytes", F.octet_length(S.strict_base64(F.col("obj_lexical"))))
+    algorithms = S.algorithm_list(F.col("metadata_hashes"))
+    return [
+        (v.filter(F.col("comment").rlike(r"^[\x00 ]+[^\x00 ]")), "ArnNotAtCommentStart", none, none),
+        (both.filter("c <> d"), "InconsistentVolumeArn", F.col("d"), F.col("c")),
+        (o.filter("stored is not null").join(F.broadcast(known), "stored", "left_anti"), "ExternalReference", F.col("subject"), F.col("stored")),
+        (ranges, "ByteRangeArn", none, F.col("n")),
+        (wrong, "WrongTermNamespace", F.col("subject"), F.col("predicate")),
+        (spelt.join(members, ["container", "name"], "left_anti").join(members.withColumnRenamed("name", "escaped"), ["container", "escaped"], "left_semi"), "EscapedV21MemberName", F.col("subject"), F.col("escaped")),
+        (resident.filter(F.col("bytes") > MOST_RESIDENT), "OversizedResidentStream", F.col("subject"), F.col("bytes")),
+        (resident.filter("bytes is null"), "StorageFormNotFound", F.col("subject"), F.lit("not base 64")),
+        (alpha.filter("metadata_hashes is null"), "MissingMetadataHash", none, none),
+        (alpha.filter((F.col("metadata_hashes") != "") & ~S.strong_enough(algorithms)), "WeakMetadataHash", none, F.col("metadata_hashes")),
+        (_image_gaps(spark, paths, o), "MapGap", F.col("map"), F.col("gap_bytes")),
+        (_misnamed(spark, paths), "MultiPartNamingScheme", none, F.col("name")),
+    ]
+
+
+def _image_gaps(spark: SparkSession, paths: list[str], o: DataFrame) -> DataFrame:
+    """Maps of discontiguous images that leave holes."""
+    entries = K.read(spark, paths, "map_entries")
+    holes = I.coverage(entries, ["container", "map"], ["ord"]).filter("gaps > 0")
+    images = o.filter("role = 'DiscontiguousImage'").select("container", F.explode(F.filter("properties", lambda p: p["name"] == "dataStream")).alias("p")).select("container", F.col("p.value").alias("map"))
+    return holes.join(images, ["container", "map"], "left_semi")
+
+
+def _misnamed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Names of a set of several containers that aren't name, name.1, name.2 and so on."""
+    names = [p.rsplit("/", 1)[-1] for p in paths]
+    first = min(names, key=len) if names else ""
+    wanted = {first, *(f"{first}.{k}" for k in range(1, len(names)))}
+    rows = [(p, n) for p, n in zip(paths, names, strict=True) if len(names) > 1 and n not in wanted and re.match(r".*[-_. ]\d+\.[^.]+$|.*\.\d+$", n)]
+    return spark.createDataFrame(rows, "container string, name string")
+
+
 #: Which generation governs a container, by version. Fixed values.
 GENERATIONS = {(1, 0): "standard10", (1, 1): "logical", (2, 1): "alpha"}
 

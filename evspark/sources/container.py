@@ -42,6 +42,7 @@ SCHEMAS = {
     "map_targets": "container string, map string, target_id long, kind string, target string",
     "chunk_index": "container string, stream string, bevy long, place long, offset long, length long",
     "chunks": "container string, stream string, chunk_no long, data binary",
+    "volumes": "container string, comment string, description string, major int, minor int, tool string, namespace string, metadata_hashes string",
     "problems": "container string, name string, severity string, detail string",
 }
 
@@ -89,6 +90,13 @@ def volume_name(z: zipfile.ZipFile) -> str | None:
     return z.comment.decode("utf-8", "replace").strip("\0 \r\n\t") or None
 
 
+def version_of(text: str) -> tuple[int | None, int | None, str | None]:
+    """Major and minor number and tool of a version member: lines of key=value, a later one counts."""
+    rows = dict(x.split("=", 1) for x in re.split(r"\r\n|\r|\n", text) if "=" in x)
+    number = lambda k: int(rows[k].strip()) if rows.get(k, "").strip().isdigit() else None
+    return number("major"), number("minor"), rows.get("tool")
+
+
 def member_name(name: str, volume: str | None) -> str:
     """The member that a resource's name stands for."""
     if volume and name.startswith(volume.rstrip("/") + "/"):
@@ -254,6 +262,19 @@ class _Reader(DataSourceReader):
                 left = about["size"] - number * about["chunk_size"]
                 yield p.path, owner, number, None if piece is None else piece[: max(0, left)]
 
+    def _volumes(self, z, p):
+        names = z.NameToInfo
+        text = lambda n: member(z, n).decode("utf-8", "replace") if n in names else None
+        major, minor, tool = version_of(text(VERSION) or "")
+        head = text(METADATA) or ""
+        # The algorithms that the companion of the metadata names, or null where there is none.
+        try:
+            rows = list(turtle.parse(text(METADATA_HASHES))) if METADATA_HASHES in names else None
+        except ValueError:
+            rows = []
+        hashes = None if rows is None else ",".join(re.split("[#/]", s.obj_datatype or "")[-1].lower() for s in rows if re.split("[#/]", s.predicate)[-1] == "hash" and s.obj_kind == "literal")
+        yield p.path, z.comment.decode("utf-8", "replace") or None, text(DESCRIPTION), major, minor, tool, turtle.prefixes(head).get("aff4"), hashes
+
     def _problems(self, z, p):
         for name in z.namelist():
             try:

@@ -78,6 +78,18 @@ def test_info_and_conformance(spark, made, tmp_path):
     w.state(f"{w.volume}/notguid", "dataStream", "aff4://nowhere")
     w.close()
     kinds = {r["kind"] for r in P.conformance(spark, [bad]).collect()}
+    odd = str(tmp_path / "odd.aff4")
+    w = ContainerWriter(odd, version=(2, 1))
+    w.state(f"{w.volume}/x", "http://aff4.org/Schema/2022/#size", "1", turtle.XSD + "long")
+    w.state(f"{w.volume}/x", "dataStream", "QUJD" * 500, turtle.XSD + "base64Binary")
+    w.state(f"{w.volume}/x[0x0:0x10]", "stored", "aff4://elsewhere")
+    w.image([(10, 5, 0, 0)], ["http://aff4.org/Schema#Zero"], 15)
+    w.state(w.statements[-1].subject.removesuffix("/data"), turtle.RDF_TYPE, K.SCHEMA_NS + "Image")
+    w.close()
+    with zipfile.ZipFile(odd, "a") as z:
+        z.comment = b"  aff4://other"
+    found = {r["kind"] for r in P.deviations(spark, [odd]).collect()}
+    assert found == {"WrongTermNamespace", "OversizedResidentStream", "ByteRangeArn", "ExternalReference", "ArnNotAtCommentStart", "InconsistentVolumeArn"}
     assert kinds == {"NonGuidArn", "MissingRecordedPath", "UnexpectedDatatype", "DigestLengthMismatch", "DanglingReference", "StorageFormNotFound"}
 
 
