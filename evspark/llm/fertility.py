@@ -8,8 +8,8 @@ one that fails the base rules (too few words, or too many in repeated 3-word win
 
 Defined cases. A null text counts as an empty one; a text without words has no tokens, measures 0
 and base_failed true. A null or unknown language is judged by script, an unknown script by the
-widest band. Repeated rows give repeated rows, an empty table an empty one, and columns of the input
-besides id and text don't matter.
+widest band, and a text with more byte fallback than its language's band allows by script. Repeated
+rows give repeated rows, an empty table an empty one, and columns of the input besides id and text don't matter.
 """
 
 from __future__ import annotations
@@ -52,10 +52,10 @@ VOCABULARIES = {"en": "byte_bpe_50k.tiktoken", "": "byte_bpe_multi_50k.tiktoken"
 
 #: By language, then by script, then "" for the rest.
 BANDS = {
-    "en": Band(2.30, 8.0, 0.06, 4.2),
-    "de": Band(2.20, 8.0, 0.10, 4.2),
-    "fr": Band(1.95, 8.0, 0.10, 4.2),
-    "es": Band(2.00, 8.0, 0.10, 4.2),
+    "en": Band(2.30, 8.0, 0.03, 4.2),
+    "de": Band(2.20, 8.0, 0.05, 4.2),
+    "fr": Band(1.95, 8.0, 0.05, 4.2),
+    "es": Band(2.00, 8.0, 0.05, 4.2),
     "latin": Band(1.50, 8.0, 0.15, 4.0),
     "": Band(0.40, 8.0, 0.70, 3.5),
 }
@@ -168,6 +168,13 @@ def script_of(text: str) -> str:
     return "latin" if 2 * latin >= len(letters) else "other"
 
 
+def band_for(bands: dict[str, Band], text: str, lang: str | None, byte_share: float) -> Band:
+    """The band of the text's language; that of its script where the language has none, or where more
+    byte fallback than the language's band allows says that the text is in other languages too."""
+    band = bands.get(lang) if lang else None
+    return band if band and byte_share <= band.max_byte_share else bands.get(script_of(text)) or bands[""]
+
+
 def verdict(band: Band, chars_per_token: float, byte_share: float, entropy: float) -> str:
     """The first measure outside the band, or nothing."""
     if chars_per_token < band.min_chars_per_token:
@@ -188,8 +195,7 @@ def _judged(sent, bands: dict[str, Band], texts: pa.Array, langs: list) -> dict[
     rows = []
     for text, lang, n in zip(texts.to_pylist(), langs, out["n_words"].tolist(), strict=True):
         got = measures(*(encoders.get(lang) or encoders[""]), text) if n else (0, 0.0, 0.0, 0.0)
-        band = bands.get(lang) or bands.get(script_of(text)) or bands[""]
-        rows.append((*got, verdict(band, *got[1:])))
+        rows.append((*got, verdict(band_for(bands, text, lang, got[2]), *got[1:])))
     n_tokens, chars, share, entropy, reason = zip(*rows, strict=True)
     reason = [("few words" if n < MIN_WORDS else "repeated windows") if f else r for f, n, r in zip(failed, out["n_words"], reason, strict=True)]
     return out | {"base_failed": failed, "kept": np.array([not r for r in reason], dtype=bool), "n_tokens": n_tokens, "chars_per_token": chars, "byte_share": share, "token_entropy": entropy, "reason": [r or None for r in reason]}
