@@ -19,15 +19,18 @@ texts with the same words as often. Fingerprints need no unique ids: rows are ke
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.llm.common import WORD_GAPS, null_safe_text, written
 
-SAMPLES = 48
-_LOW, _HASH = (1 << 32) - 1, (1 << 31) - 1
-#: ln a, from -90 to 37, in steps of 2^-24.
-_SCALE, _LEAST = float(1 << 24), 90.0
+SAMPLES = 32
+_HASH = (1 << 31) - 1
+#: ln a, which lies between -128 and 4, in steps of 2^-23.
+_SCALE, _LEAST = float(1 << 23), 128.0
+_LOW32, _MID21, _LOW22 = (1 << 32) - 1, (1 << 21) - 1, (1 << 22) - 1
 
 
 def _uniform(bits: Column, n: int) -> Column:
@@ -35,22 +38,24 @@ def _uniform(bits: Column, n: int) -> Column:
     return (bits.cast("double") + F.lit(0.5)) * F.lit(1.0 / (1 << n))
 
 
+def _seeds(i: int) -> tuple[int, int]:
+    """Two fixed 62-bit numbers for each sample."""
+    digest = hashlib.sha256(f"sample {i}".encode()).digest()
+    return int.from_bytes(digest[:8], "big") >> 2, int.from_bytes(digest[8:16], "big") >> 2
+
+
 def _sample(i: int) -> Column:
-    """The packed (ln a, hash of word and t) of a row's term for sample i."""
-    h1, h2 = F.xxhash64("term", F.lit(2 * i)), F.xxhash64("term", F.lit(2 * i + 1))
-    r = -F.ln(_uniform(F.shiftrightunsigned(h1, 32), 32) * _uniform(h1.bitwiseAND(F.lit(_LOW)), 32))
-    three = [F.shiftrightunsigned(h2, 43), F.shiftrightunsigned(h2, 22).bitwiseAND(F.lit((1 << 21) - 1)), h2.bitwiseAND(F.lit((1 << 22) - 1))]
-    c = -F.ln(_uniform(three[0], 21) * _uniform(three[1], 21))
-    b = _uniform(three[2], 22)
+    """The packed (ln a, hash of word and t) of a row's term for sample i. One hash holds the two
+    uniforms of r, another those of c and b; ln needs no guard, as no uniform is 0."""
+    h1, h2 = (F.xxhash64(F.col("term").bitwiseXOR(F.lit(seed))) for seed in _seeds(i))
+    r = -F.ln(_uniform(F.shiftrightunsigned(h1, 32), 32) * _uniform(h1.bitwiseAND(F.lit(_LOW32)), 32))
+    c = -F.ln(_uniform(F.shiftrightunsigned(h2, 43), 21) * _uniform(F.shiftrightunsigned(h2, 22).bitwiseAND(F.lit(_MID21)), 21))
+    b = _uniform(h2.bitwiseAND(F.lit(_LOW22)), 22)
     t = F.floor(F.col("ln_w") / r + b)
     ln_a = F.ln(c) - r * (t.cast("double") - b) - r
-    scaled = ((F.greatest(F.least(ln_a, F.lit(37.0)), F.lit(-_LEAST)) + F.lit(_LEAST)) * F.lit(_SCALE)).cast("long")
-    return F.shiftleft(scaled, 32).bitwiseOR(F.xxhash64("term", t, F.lit(i)).bitwiseAND(F.lit(_HASH)))
-
-
-def terms(text: Column) -> Column:
-    """The words of a text."""
-    return F.filter(F.split(text, WORD_GAPS), lambda w: w != "")
+    scaled = ((ln_a + F.lit(_LEAST)) * F.lit(_SCALE)).cast("long")
+    word_and_t = h1.bitwiseXOR(F.shiftleft(t, 20)).bitwiseAND(F.lit(_HASH))
+    return F.shiftleft(scaled, 31).bitwiseOR(word_and_t)
 
 
 def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -58,7 +63,7 @@ def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
 
     The keys tell rows apart. `texts` should be partitioned by some of them; if it isn't, whole texts
     are dealt by them once. Rows without words have no signature and aren't returned."""
-    words = texts.select(*keys, F.explode(terms(F.col("text"))).alias("word"))
+    words = texts.select(*keys, F.explode(F.split(F.col("text"), WORD_GAPS)).alias("word")).filter("word <> ''")
     counted = words.groupBy(*keys, F.xxhash64("word").alias("term"), F.length("word").alias("n_letters")).agg(F.count("*").alias("n"))
     weighted = counted.select(*keys, "term", F.ln((F.col("n") * F.col("n_letters")).cast("double")).alias("ln_w"))
     least = weighted.groupBy(*keys).agg(*[F.min(_sample(i)).alias(f"s{i}") for i in range(samples)])
@@ -96,44 +101,44 @@ def successors(keys: DataFrame, by: list[str]) -> DataFrame:
 
 
 #: Characters of text that a task of the fingerprint query holds about, with the edited text's.
-TASK_CHARS = 12_000_000
+TASK_CHARS = 6_000_000
 
 
 def edited(docs: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Each document of docs(doc_id, text) with its edited text: the last half of it, rounded down, is
     replaced by as much of the front of the next document in descending doc_id.
 
-    Returns (doc_id, tag, text, edited), dealt by doc_id and tag, and the table of keys: doc_id, tag (a
-    hash of the text), n_chars, copies, next_doc_id, next_tag. Rows alike in id and text are one document.
-    Only the front that is needed is sent to the document that it goes into."""
+    Returns (name, tag, text, edited), dealt by name (the id, or the least long for null) and tag (a hash of
+    the text), and the table of keys: doc_id, name, tag, n_chars, copies, next_name, next_tag. Rows alike in
+    id and text are one document. Only the front that is needed is sent to the document that it goes into;
+    every use of the dealt texts asks for the same columns, so they are shuffled once."""
     text = null_safe_text()
+    name = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63)))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tag", F.xxhash64("text"))
     keys = written(base.groupBy("doc_id", "tag").agg(F.first(F.length("text").cast("long")).alias("n_chars"), F.count("*").alias("copies")), "keys")
     facts = keys.agg(F.sum("n_chars"), F.max("copies")).head()
     if (facts[1] or 1) > 1:
         base = base.dropDuplicates(["doc_id", "tag"])
     tasks = tasks or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(facts[0] or 0) // TASK_CHARS))
-    order = written(successors(keys, ["doc_id", "tag"]), "order")
-    # A null id is a key like any other: ids are dealt and joined as text.
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
-    dealt = base.withColumn("name", name).repartition(tasks, "name", "tag")
-    wanted = order.select(name.alias("to_name"), F.col("tag").alias("to_tag"), F.coalesce(F.col("next_doc_id").cast("string"), F.lit("-")).alias("name"), F.col("next_tag").alias("tag"), F.floor(F.col("n_chars") / 2).cast("int").alias("half"))
-    fronts = dealt.join(wanted, ["name", "tag"]).select(F.col("to_name").alias("name"), F.col("to_tag").alias("tag"), "half", F.expr("left(text, half)").alias("front"))
-    both = dealt.join(fronts.repartition(tasks, "name", "tag"), ["name", "tag"])
-    return both.select("doc_id", "name", "tag", "text", F.concat(F.expr("left(text, length(text) - half)"), "front").alias("edited")), order
+    order = successors(keys, ["doc_id", "tag"]).withColumn("name", name("doc_id")).withColumn("next_name", name("next_doc_id")).drop("next_doc_id")
+    order = written(order, "order")
+    dealt = base.select(name("doc_id").alias("name"), "tag", "text").repartition(tasks, "name", "tag")
+    wanted = order.select(F.col("name").alias("to_name"), F.col("tag").alias("to_tag"), F.col("next_name").alias("name"), F.col("next_tag").alias("tag"), F.floor(F.col("n_chars") / 2).cast("int").alias("half")).repartition(tasks, "name", "tag")
+    fronts = dealt.join(wanted.hint("shuffle_hash"), ["name", "tag"]).select(F.col("to_name").alias("name"), F.col("to_tag").alias("tag"), "half", F.expr("left(text, half)").alias("front"))
+    both = dealt.join(fronts.repartition(tasks, "name", "tag").hint("shuffle_hash"), ["name", "tag"])
+    return both.select("name", "tag", "text", F.concat(F.expr("left(text, length(text) - half)"), "front").alias("edited")), order
 
 
 def compared(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Per row of docs(doc_id, text): n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next."""
     texts, order = edited(docs)
-    plain = texts.select("doc_id", "name", "tag", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    plain = texts.select("name", "tag", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     pair = texts.select("name", "tag", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x")).select("name", "tag", "x.kind", "x.text")
     signed = fingerprints(pair, ["name", "tag", "kind"], samples)
     sides = signed.groupBy("name", "tag").agg(*[F.first(F.when(F.col("kind") == k, F.col("signature")), ignorenulls=True).alias(f"sig{k}") for k in (0, 1)])
     table = written(plain.join(sides, ["name", "tag"], "left"), "signatures")
-    order = order.withColumn("name", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).withColumn("next_name", F.coalesce(F.col("next_doc_id").cast("string"), F.lit("-")))
     nexts = table.select(F.col("name").alias("next_name"), F.col("tag").alias("next_tag"), F.col("sig0").alias("next_sig"))
-    full = table.join(order.drop("doc_id", "next_doc_id"), ["name", "tag"]).join(nexts, ["next_name", "next_tag"])
+    full = table.join(order, ["name", "tag"]).join(nexts, ["next_name", "next_tag"])
     full = full.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return full.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("sig0"), samples).alias("fingerprint"), as_text(F.col("sig1"), samples).alias("edited_fingerprint"), likeness(F.col("sig0"), F.col("sig1"), samples).alias("near_edited"), likeness(F.col("sig0"), F.col("next_sig"), samples).alias("near_next"))
