@@ -20,7 +20,7 @@ TOKENIZERS = "/opt/tokenizers"
 WORD_GAPS = r"[\x20\x09-\x0D]+"
 
 #: Bytes of text that Python works on at once. Results don't depend on it; memory does.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,8 +77,8 @@ def null_safe_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut to `most` bytes in column `name`, or to one row where a row has more."""
+def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The batches cut to `most` bytes in column `name` and so many rows, or to one row where it has more."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(name))
         if batch.num_rows == 0:
@@ -86,7 +86,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES
         ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64))
         start, base = 0, 0
         while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, base + most, "right"))))
             yield batch.slice(start, stop - start)
             base, start = int(ends[stop - 1]), stop
 
