@@ -36,7 +36,7 @@ from evspark.llm.common import TOKENIZERS, numbered, slices
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words that a worker remembers. Beyond that the table starts anew; results don't change.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: A byte piece's score, below that of any piece.
 BYTE_SCORE = -40.0
 
@@ -186,7 +186,9 @@ def encode_column(docs: DataFrame, text: str = "text", into: str = "ids", model:
 
 
 def with_ids(docs: DataFrame, derive, fields: list[StructField], text: str = "text", model: str = f"{TOKENIZERS}/{MODEL}") -> DataFrame:
-    """docs with columns that derive(encoder, ids, ends, batch) makes of each slice's ids."""
+    """docs with columns that derive(encoder, ids, ends, batch) makes of each slice's ids; a column of
+    docs with the name of one gives way."""
+    docs = docs.drop(*[f.name for f in fields])
     sent = docs.sparkSession.sparkContext.broadcast(tuple(load(model)))
     key = hash(model)
 
