@@ -14,8 +14,9 @@ A retrieved template is verified exactly: of its shingles, the share that the te
 template's length of the window must reach `threshold`. Of a family of licenses (versions of one, which share most
 of their wording) only the templates that fit best are reported.
 
-All is DataFrame expressions over one scan; the text of a document never leaves its task. The
-template's bands are broadcast up to MOST_BANDS rows, beyond which they are joined by a shuffle.
+All is DataFrame expressions. One scan retrieves, without a shuffle but for what it finds; another reads
+the documents with hits again to verify them. The templates' bands are broadcast up to MOST_BANDS rows,
+beyond which they are joined by a shuffle.
 
 Defined cases. A null or empty text, or one of fewer than five words, has no match. Rows that share a
 doc_id are one document. A template of fewer than five words is refused with a ValueError; equal
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evspark.llm.common import null_safe_text
+from evspark.llm.common import null_safe_text, written
 
 SHINGLE, WINDOW_SHINGLES, BANDS, THRESHOLD = 5, 4, 24, 0.8
 #: Rows of template bands (16 bytes each) that are broadcast.
@@ -80,13 +81,16 @@ def _bands(shingles: list[Column]) -> Column:
 
 
 def _windows(rows: DataFrame, keep: list[str], stride: int) -> DataFrame:
-    """keep, words, last (the last shingle's place), at and band of the windows of rows(keep..., words)."""
-    rows = rows.withColumn("last", F.size("words") - SHINGLE).filter("last >= 0")
-    starts = rows.select(*keep, "words", "last", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)), F.lit(stride))).alias("at"))
+    """keep, at and band of the windows of rows(keep..., words). A window carries its own eight words only:
+    rows made by an explode copy all that stands beside it."""
+    span = WINDOW_SHINGLES + SHINGLE - 1
+    places = F.when(F.size("words") >= SHINGLE, F.sequence(F.lit(0), F.size("words") - SHINGLE, F.lit(stride)))
+    cut = rows.select(*keep, F.explode(F.transform(places, lambda at: F.struct(at.alias("at"), F.slice("words", at + 1, F.lit(span)).alias("w")))).alias("x"))
     # A place beyond the last shingle stands for the first of the window, which changes no least hash.
-    places = [F.when(F.col("at") + k <= F.col("last"), F.col("at") + k).otherwise(F.col("at")) for k in range(WINDOW_SHINGLES)]
-    cut = starts.select(*keep, "words", "last", "at", *[_shingle(F.col("words"), p).alias(f"s{k}") for k, p in enumerate(places)])
-    return cut.select(*keep, "words", "last", "at", F.explode(_bands([F.col(f"s{k}") for k in range(WINDOW_SHINGLES)])).alias("band"))
+    first = F.size("x.w") - SHINGLE
+    shingles = [F.when(F.lit(k) <= first, _shingle(F.col("x.w"), F.lit(k))).otherwise(_shingle(F.col("x.w"), F.lit(0))).alias(f"s{k}") for k in range(WINDOW_SHINGLES)]
+    cut = cut.select(*keep, "x.at", *shingles)
+    return cut.select(*keep, "at", F.explode(_bands([F.col(f"s{k}") for k in range(WINDOW_SHINGLES)])).alias("band"))
 
 
 def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -96,16 +100,26 @@ def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) ->
     if known.filter(F.size("words") < SHINGLE).limit(1).count():
         raise ValueError(f"a template needs {SHINGLE} words")
     every = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda p: _shingle(F.col("words"), p)))
-    whole = known.withColumn("wanted", every)
+    known = written(known.withColumn("wanted", every).withColumn("length", F.size("words")), "templates")
     # A template of fewer shingles than a window has is one window.
-    ends = F.greatest(F.size("words") - SHINGLE - WINDOW_SHINGLES + 1, F.lit(0))
-    bands = _windows(whole, ["template", "license_id", "wanted"], 1).filter(F.col("at") <= ends).select("template", "license_id", "wanted", F.size("words").alias("length"), "band").distinct()
-    if bands.count() <= MOST_BANDS:
-        bands = F.broadcast(bands)
+    ends = F.greatest(F.col("length") - SHINGLE - WINDOW_SHINGLES + 1, F.lit(0))
+    bands = written(_windows(known, ["template", "words", "length"], 1).filter(F.col("at") <= ends).select("template", "band").distinct(), "bands")
+    small = bands.count() <= MOST_BANDS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _word_hashes(null_safe_text()).alias("words"))
-    hits = _windows(rows, ["doc_id"], WINDOW_SHINGLES).join(bands, "band")
-    near = F.transform(F.sequence(F.greatest(F.col("at") - F.col("length"), F.lit(0)), F.least(F.col("at") + F.col("length"), F.col("last"))), lambda p: _shingle(F.col("words"), p))
-    found = hits.select("doc_id", "template", "license_id", "at", F.size("wanted").cast("long").alias("n_shingles"), F.size(F.array_intersect(near, F.col("wanted"))).cast("long").alias("matched"))
+    hits = _windows(rows, ["doc_id"], WINDOW_SHINGLES).join(F.broadcast(bands) if small else bands, "band").select("doc_id", "template", "at").distinct()
+    about = known.select("template", "license_id", "wanted", "length")
+    hits = hits.join(F.broadcast(about) if small else about, "template")
+    hits = written(hits.groupBy("doc_id").agg(F.collect_list(F.struct("template", "license_id", "at", "length", "wanted")).alias("hits")), "hits")
+
+    def verified(h: Column) -> Column:
+        low, high = F.greatest(h["at"] - h["length"], F.lit(0)), F.least(h["at"] + h["length"], F.size("words") - SHINGLE)
+        near = F.transform(F.sequence(low, high), lambda p: _shingle(F.col("words"), p))
+        return F.struct(h["template"].alias("template"), h["license_id"].alias("license_id"), h["at"].alias("at"), F.size(h["wanted"]).cast("long").alias("n_shingles"), F.size(F.array_intersect(near, h["wanted"])).cast("long").alias("matched"))
+
+    same = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_safe_text().alias("text")).join(hits, "doc_id").select("doc_id", "hits", _word_hashes(F.col("text")).alias("words"))
+    # Of rows that share a doc_id, one may be too short for another's hit.
+    same = same.withColumn("hits", F.filter("hits", lambda h: F.greatest(h["at"] - h["length"], F.lit(0)) <= F.size("words") - SHINGLE))
+    found = same.select("doc_id", F.explode(F.transform("hits", verified)).alias("v")).select("doc_id", "v.*")
     found = found.filter(F.col("matched") >= F.lit(threshold) * F.col("n_shingles"))
     best = found.groupBy("doc_id", "template", "license_id", "n_shingles").agg(F.max("matched").alias("matched"), F.min("at").alias("at"))
     # Versions of a license differ by a word or two; the wording that fits best tells which it is.
