@@ -322,8 +322,10 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BAN
     main = parts.groupBy("key").agg(F.max(F.struct("n", (-F.col("root")).alias("minus"))).alias("main"), F.count("*").alias("classes")).filter("classes > 1").select("key", (-F.col("main.minus")).alias("main"))
     main = written(main, "main")
     several = written(named.join(main, "key"), "unresolved")
-    fine = finer(texts, several.select(F.col("id").alias("doc_id")).distinct()).join(bits.select(F.col("id").alias("doc_id"), "keys"), "doc_id").withColumnRenamed("doc_id", "id")
-    several = written(several.join(fine, "id"), "several")
+    fine = finer(texts, several.select(F.col("id").alias("doc_id")).distinct())
+    keyed = fine.join(bits.select(F.col("id").alias("doc_id"), "keys"), "doc_id").withColumnRenamed("doc_id", "id")
+    unresolved, several = several, written(several.join(keyed, "id"), "several")
+    drop_written(unresolved, fine)
     x = several.filter("root <> main").select("key", F.col("id").alias("x"), F.col("root").alias("x_root"), F.col("fine").alias("x_bits"), F.col("keys").alias("x_keys"))
     y = several.select("key", F.col("id").alias("y"), F.col("root").alias("y_root"), "main", F.col("fine").alias("y_bits"), F.col("keys").alias("y_keys"))
     # A pair is made in the first bucket that it shares, and only if its signatures may be near enough.
