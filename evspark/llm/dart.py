@@ -361,10 +361,11 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     any_repeat = kept.filter("_evspark_n > 1").limit(1).count()
     any_null = named.filter("doc_id is null and class_id is null").limit(1).count()
     own = F.col("doc_id").cast("long") == F.col("_evspark_id")
-    out = docs.join(kept.filter("_evspark_n = 1"), own, "left_semi")
+    # What is kept grows with the corpus, so it isn't broadcast at any size.
+    out = docs.join(kept.filter("_evspark_n = 1").hint("merge"), own, "left_semi")
     if any_repeat:
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        several = docs.join(kept.filter("_evspark_n > 1"), own, "left_semi").groupBy(F.col("doc_id").cast("long"))
+        several = docs.join(kept.filter("_evspark_n > 1").hint("merge"), own, "left_semi").groupBy(F.col("doc_id").cast("long"))
         out = out.unionByName(several.agg(F.min_by(row, F.xxhash64("text")).alias("_evspark_row")).select("_evspark_row.*"))
     if any_null:
         lone = named.filter("doc_id is null and class_id is null").select(F.col("text_key").alias("_evspark_text")).distinct()
