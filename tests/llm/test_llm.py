@@ -236,6 +236,20 @@ def test_licenses(spark, odd, none):
         licenses.scan(docs, spark.createDataFrame([(0, "X", "too short")], "template int, license_id string, text string"))
 
 
+def test_license_lines(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = {r["doc_id"] for r in docs.collect() if re.search(r"(?i)\b(licensed|released) under\b", r["text"] or "")}
+    found = {r["doc_id"]: r["license_id"] for r in licenses.scan(docs, licenses.template_table(spark)).collect()}
+    assert lines and lines <= found.keys() and "CC-BY-NC-4.0" in found.values()
+
+
+def test_license_wordings(spark):
+    texts = {"CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0", "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE\n Version 3, 19 November 2007", "CC-BY-4.0": "Licensed under CC BY 4.0"}
+    docs = spark.createDataFrame([(i, f"words before it {t} and some words after") for i, t in enumerate(texts.values())], "doc_id long, text string")
+    found = licenses.scan(docs, licenses.template_table(spark)).collect()
+    assert sorted((r["doc_id"], r["license_id"]) for r in found) == list(enumerate(texts))
+
+
 # -- near duplicates
 
 
