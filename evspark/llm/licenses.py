@@ -12,7 +12,8 @@ shingle: it is one of four in its window, and one of 24 bands then collides with
 
 A retrieved template is verified exactly: of its shingles, the share that the text holds within a
 template's length of the window must reach `threshold`. Of a family of licenses (versions of one, which share most
-of their wording) only the templates that fit best are reported.
+of their wording) the templates that fit best are reported at each place: a match counts unless better ones
+of the family hold all of its shingles, at the same words of the text. What fits elsewhere is reported too.
 
 All is DataFrame expressions. One scan retrieves, without a shuffle but for what it finds; another reads
 the documents with hits again to verify them. The templates' bands are broadcast up to MOST_BANDS rows,
@@ -82,7 +83,7 @@ TEMPLATES = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 ]
 
-#: The part of an identifier that all versions of a license have; of a family, the best fits are told.
+#: The part of an identifier that all versions of a license have; of a family, the best fits of a place are told.
 FAMILY = "^[A-Za-z]+"
 
 _GAPS = r"[^\p{L}\p{N}]+"
@@ -140,19 +141,24 @@ def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) ->
 
     def verified(h: Column) -> Column:
         low, high = F.greatest(h["at"] - h["length"], F.lit(0)), F.least(h["at"] + h["length"], F.size("words") - SHINGLE)
-        near = F.transform(F.sequence(low, high), lambda p: _shingle(F.col("words"), p))
-        return F.struct(h["template"].alias("template"), h["license_id"].alias("license_id"), h["at"].alias("at"), F.size(h["wanted"]).cast("long").alias("n_shingles"), F.size(F.array_intersect(near, h["wanted"])).cast("long").alias("matched"))
+        near = F.transform(F.sequence(low, high), lambda p: F.struct(_shingle(F.col("words"), p).alias("s"), F.xxhash64("tag", p).alias("p")))
+        held = F.filter(near, lambda x: F.array_contains(h["wanted"], x["s"]))
+        matched = F.size(F.array_distinct(F.transform(held, lambda x: x["s"]))).cast("long")
+        return F.struct(h["template"].alias("template"), h["license_id"].alias("license_id"), h["at"].alias("at"), F.size(h["wanted"]).cast("long").alias("n_shingles"), matched.alias("matched"), F.transform(held, lambda x: x["p"]).alias("places"))
 
-    same = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_safe_text().alias("text")).join(hits, "doc_id").select("doc_id", "hits", _word_hashes(F.col("text")).alias("words"))
+    same = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_safe_text().alias("text")).join(hits, "doc_id").select("doc_id", "hits", F.xxhash64("text").alias("tag"), _word_hashes(F.col("text")).alias("words"))
     # Of rows that share a doc_id, one may be too short for another's hit.
     same = same.withColumn("hits", F.filter("hits", lambda h: F.greatest(h["at"] - h["length"], F.lit(0)) <= F.size("words") - SHINGLE))
     found = same.select("doc_id", F.explode(F.transform("hits", verified)).alias("v")).select("doc_id", "v.*")
     found = found.filter(F.col("matched") >= F.lit(threshold) * F.col("n_shingles"))
-    best = found.groupBy("doc_id", "template", "license_id", "n_shingles").agg(F.max("matched").alias("matched"), F.min("at").alias("at"))
-    # Versions of a license differ by a word or two; the wording that fits best tells which it is.
-    share = F.col("matched") / F.col("n_shingles")
+    fits = found.groupBy("doc_id", "template", "license_id", "n_shingles", "matched").agg(F.min("at").alias("at"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    # Versions of a license differ by a word or two; the wording that fits a place best tells which it is.
+    fits = fits.withColumn("share", F.col("matched") / F.col("n_shingles"))
     family = Window.partitionBy("doc_id", F.regexp_extract("license_id", FAMILY, 0))
-    return best.withColumn("_best", F.max(share).over(family)).filter(share == F.col("_best")).drop("_best")
+    fits = fits.withColumn("_rivals", F.collect_list(F.struct("share", "places")).over(family))
+    better = F.flatten(F.transform(F.filter("_rivals", lambda r: r["share"] > F.col("share")), lambda r: r["places"]))
+    left = fits.filter(F.size(F.array_except("places", better)) > 0)
+    return left.groupBy("doc_id", "template", "license_id", "n_shingles").agg(F.max("matched").alias("matched"), F.min("at").alias("at"))
 
 
 def oracle(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:

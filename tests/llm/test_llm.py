@@ -250,6 +250,17 @@ def test_license_wordings(spark):
     assert sorted((r["doc_id"], r["license_id"]) for r in found) == list(enumerate(texts))
 
 
+def test_licenses_apart(spark):
+    of = dict(reversed(licenses.TEMPLATES[:16]))
+    gpl3, gpl2, later = of["GPL-3.0"], of["GPL-2.0"], of["GPL-3.0-or-later"].replace("published by", "issued by")
+    cc0, by = of["CC0-1.0"], of["CC-BY-4.0"]
+    gap = " ".join(f"w{i}" for i in range(200))
+    docs = [f"{gpl3} {gap} {later}", f"{gpl3} {gap} {gpl2}", f"{cc0} {gap} {by}", f"{gpl3} {gap} {gpl3} {gpl3}", f"{gpl2} {gpl3}"]
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = sorted((r["doc_id"], r["license_id"]) for r in licenses.scan(docs, licenses.template_table(spark)).collect())
+    assert found == [(0, "GPL-3.0"), (0, "GPL-3.0-or-later"), (1, "GPL-2.0"), (1, "GPL-3.0"), (2, "CC-BY-4.0"), (2, "CC0-1.0"), (3, "GPL-3.0"), (4, "GPL-2.0"), (4, "GPL-3.0")]
+
+
 # -- near duplicates
 
 
