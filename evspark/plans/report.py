@@ -119,13 +119,25 @@ def deconflict(spark, sf_dir):
     nn AS (SELECT n, CASE WHEN n = 1 THEN 0 WHEN r = (SELECT r FROM home) THEN 2 END AS depth FROM e), cc AS (SELECT c_custkey AS c, depth + 1 AS depth FROM customer JOIN nn ON n = c_nationkey WHERE c_custkey % 2 = 0 AND depth IS NOT NULL)
     SELECT 'n' || n AS node, depth FROM nn WHERE depth IS NOT NULL UNION ALL SELECT 'r' || r, 1 FROM home UNION ALL SELECT 'c' || c, depth FROM cc UNION ALL SELECT 'o' || o_orderkey, depth + 1 FROM orders JOIN cc ON c = o_custkey WHERE o_orderkey % 50 = 0""")
 def bfs_reach(spark, sf_dir):
-    node = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
+    """A sample of the graph, by the terms of its SQL; bfs_reach_whole walks all of it."""
     nation, customer, orders = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
+    return _reach(spark, nation, customer.filter("c_custkey % 2 = 0"), orders.filter("o_orderkey % 50 = 0"))
+
+
+def _reach(spark, nation, customer, orders):
+    node = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
     edges = nation.select(node("n", "n_nationkey").alias("src"), node("r", "n_regionkey").alias("dst"))
-    edges = edges.union(customer.filter("c_custkey % 2 = 0").select(node("c", "c_custkey"), node("n", "c_nationkey"))).union(orders.filter("o_orderkey % 50 = 0").select(node("o", "o_orderkey"), node("c", "o_custkey")))
+    edges = edges.union(customer.select(node("c", "c_custkey"), node("n", "c_nationkey"))).union(orders.select(node("o", "o_orderkey"), node("c", "o_custkey")))
     return G.reach(edges, spark.createDataFrame([("n1",)], "node string"))
 
 
+@query("""WITH e AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation), home AS (SELECT r FROM e WHERE n = 1),
+    nn AS (SELECT n, CASE WHEN n = 1 THEN 0 WHEN r = (SELECT r FROM home) THEN 2 END AS depth FROM e), cc AS (SELECT c_custkey AS c, depth + 1 AS depth FROM customer JOIN nn ON n = c_nationkey WHERE depth IS NOT NULL)
+    SELECT 'n' || n AS node, depth FROM nn WHERE depth IS NOT NULL UNION ALL SELECT 'r' || r, 1 FROM home UNION ALL SELECT 'c' || c, depth FROM cc UNION ALL SELECT 'o' || o_orderkey, depth + 1 FROM orders JOIN cc ON c = o_custkey""")
+def bfs_reach_whole(spark, sf_dir):
+    return _reach(spark, *(table(spark, sf_dir, t) for t in ("nation", "customer", "orders")))
+
+
 @query("""WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', '') AS child FROM pages UNION SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]*)', 1) FROM pages)
     SELECT c.child, arg_max(a.child, length(a.child)) AS parent FROM p c LEFT JOIN p a ON starts_with(c.child, a.child || '/') GROUP BY 1""")
 def path_tree(spark, sf_dir):

@@ -35,3 +35,15 @@ def test_oracle(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
 def test_runs(spark, sf, name):
     assert queries()[name](spark, sf).count() > 0
+
+
+def test_whole_reach(spark, sf, duck):
+    edges = {}
+    for sql in ("select 'n' || n_nationkey, 'r' || n_regionkey from nation", "select 'c' || c_custkey, 'n' || c_nationkey from customer", "select 'o' || o_orderkey, 'c' || o_custkey from orders"):
+        for a, b in duck.execute(sql).fetchall():
+            edges.setdefault(a, set()).add(b)
+            edges.setdefault(b, set()).add(a)
+    depth, front = {"n1": 0}, ["n1"]
+    while front:
+        front = [b for a in front for b in edges[a] if b not in depth and not depth.update({b: depth[a] + 1})]
+    assert {r["node"]: r["depth"] for r in queries()["bfs_reach_whole"](spark, sf).collect()} == depth
