@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from evspark.llm.common import WORD_GAPS, null_safe_text, written
 
-SAMPLES = 32
+SAMPLES = 48
 _HASH = (1 << 31) - 1
 #: ln a, which lies between -128 and 4, in steps of 2^-23.
 _SCALE, _LEAST = float(1 << 23), 128.0

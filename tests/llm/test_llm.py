@@ -78,6 +78,12 @@ def test_fingerprints_odd(odd, none):
     assert empty == {"0" * 8 * fingerprints.SAMPLES}
 
 
+def test_fingerprint_error(odd):
+    got = [r for r in fingerprints.compared(odd).collect() if r["doc_id"] == 5]
+    samples = len(got[0]["fingerprint"]) // 8
+    assert samples == 48 and 0.5 / math.sqrt(samples) < 0.0722 and (got[0]["near_edited"] * samples).is_integer()
+
+
 # -- WARC
 
 
