@@ -1,14 +1,16 @@
 """Tokeniser fertility: quality rules from what public vocabularies make of a text.
 
 A vocabulary that knows a language well spends few tokens on it. Three measures of the tokens of a
-whole text are held against a band for its language, or for its script where the language has no
+whole text are held against the band of its language, or of its script where the language has no
 band: characters per token, the share of byte-fallback tokens (tokens that aren't whole characters)
 and the entropy of the token distribution in bits. A text outside any of them is rejected, and so is
 one that fails the base rules (too few words, or too many in repeated 3-word windows).
 
 Defined cases. A null text counts as an empty one; a text without words has no tokens, measures 0
 and base_failed true. A null or unknown language is judged by script, an unknown script by the
-widest band, and a text with more byte fallback than its language's band allows by script. Repeated
+widest band. A text with more byte fallback than its language's band allows fails, unless it is mixed: MIXED_SHARE
+of its characters or more stand in sentences that its language's limits allow. It is then held against the
+band "mixed", which is narrower than that of a script. Repeated
 rows give repeated rows, an empty table an empty one, and columns of the input besides id and text don't matter.
 """
 
@@ -16,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -50,15 +54,39 @@ class Band(NamedTuple):
 #: Vocabulary by language; "" is for all others.
 VOCABULARIES = {"en": "byte_bpe_50k.tiktoken", "": "byte_bpe_multi_50k.tiktoken"}
 
-#: By language, then by script, then "" for the rest.
+#: By language, for texts in a language and others beside it ("mixed"), by script, then "" for the rest.
 BANDS = {
     "en": Band(2.30, 8.0, 0.03, 4.2),
     "de": Band(2.20, 8.0, 0.05, 4.2),
     "fr": Band(1.95, 8.0, 0.05, 4.2),
     "es": Band(2.00, 8.0, 0.05, 4.2),
+    "mixed": Band(2.00, 8.0, 0.10, 5.6),
     "latin": Band(1.50, 8.0, 0.15, 4.0),
+    "cyrillic": Band(1.50, 8.0, 0.10, 4.0),
+    "greek": Band(1.00, 8.0, 0.20, 4.0),
+    "arabic": Band(1.00, 8.0, 0.15, 4.0),
+    "hebrew": Band(0.90, 8.0, 0.20, 4.0),
+    "devanagari": Band(0.50, 8.0, 0.70, 4.0),
+    "thai": Band(0.70, 8.0, 0.30, 4.0),
+    "hangul": Band(0.80, 8.0, 0.60, 4.0),
+    "cjk": Band(0.60, 8.0, 0.45, 4.0),
     "": Band(0.40, 8.0, 0.70, 3.5),
 }
+SCRIPTS = {
+    "latin": ((0x0, 0x250), (0x1E00, 0x1F00)),
+    "cyrillic": ((0x400, 0x530),),
+    "greek": ((0x370, 0x400), (0x1F00, 0x2000)),
+    "arabic": ((0x600, 0x700), (0x750, 0x780), (0x8A0, 0x900), (0xFB50, 0xFE00), (0xFE70, 0xFF00)),
+    "hebrew": ((0x590, 0x600),),
+    "devanagari": ((0x900, 0x980),),
+    "thai": ((0xE00, 0xE80),),
+    "hangul": ((0x1100, 0x1200), (0x3130, 0x3190), (0xAC00, 0xD7B0)),
+    "cjk": ((0x3040, 0x3100), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x32000)),
+}
+#: Least share of a mixed text's characters in sentences of its own language, and the part of its band's
+#: characters per token that a sentence needs, which varies more than a text.
+MIXED_SHARE, SENTENCE_SLACK = 0.3, 0.8
+_SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double, reason string"
 
@@ -162,17 +190,35 @@ def measures(encoder, partial: np.ndarray, text: str) -> tuple[int, float, float
 
 
 def script_of(text: str) -> str:
-    """latin if most letters of the text are Latin, otherwise other."""
-    letters = [ord(c) for c in text if c.isalpha()]
-    latin = sum(c < 0x250 or 0x1E00 <= c < 0x1F00 for c in letters)
-    return "latin" if 2 * latin >= len(letters) else "other"
-
-
-def band_for(bands: dict[str, Band], text: str, lang: str | None, byte_share: float) -> Band:
-    """The band of the text's language; that of its script where the language has none, or where more
-    byte fallback than the language's band allows says that the text is in other languages too."""
+    """latin if half of the letters of the text are Latin, otherwise the script of most of them, or other."""
+    letters = Counter(c for c in text if c.isalpha())
+    count = {name: sum(n for c, n in letters.items() if any(a <= ord(c) < b for a, b in spans)) for name, spans in SCRIPTS.items()}
+    if 2 * count["latin"] >= (total := letters.total()):
+        return "latin"
+    name = max(count, key=count.get)
+    return name if 2 * count[name] >= total else "other"
+
+
+def mixed(encoder, partial: np.ndarray, band: Band, text: str) -> bool:
+    """Whether MIXED_SHARE of the text or more stands in sentences that the band's limits on characters
+    per token (less the slack) and byte fallback allow."""
+    own = 0
+    for sentence in _SENTENCE.findall(text):
+        _, chars_per_token, byte_share, _ = measures(encoder, partial, sentence)
+        if byte_share <= band.max_byte_share and chars_per_token >= SENTENCE_SLACK * band.min_chars_per_token:
+            own += len(sentence)
+    return own >= MIXED_SHARE * len(text)
+
+
+def band_for(bands: dict[str, Band], text: str, lang: str | None, byte_share: float, encoder, partial: np.ndarray) -> Band:
+    """The band of the text's language, or that of its script where the language has none; "mixed" for
+    a text with more byte fallback than its language allows, of which enough is in its language."""
     band = bands.get(lang) if lang else None
-    return band if band and byte_share <= band.max_byte_share else bands.get(script_of(text)) or bands[""]
+    if band is None:
+        return bands.get(script_of(text)) or bands[""]
+    if byte_share > band.max_byte_share and "mixed" in bands and mixed(encoder, partial, band, text):
+        return bands["mixed"]
+    return band
 
 
 def verdict(band: Band, chars_per_token: float, byte_share: float, entropy: float) -> str:
@@ -194,8 +240,9 @@ def _judged(sent, bands: dict[str, Band], texts: pa.Array, langs: list) -> dict[
     failed = base_fails(out["n_words"], out["n_repeat_words"])
     rows = []
     for text, lang, n in zip(texts.to_pylist(), langs, out["n_words"].tolist(), strict=True):
-        got = measures(*(encoders.get(lang) or encoders[""]), text) if n else (0, 0.0, 0.0, 0.0)
-        rows.append((*got, verdict(band_for(bands, text, lang, got[2]), *got[1:])))
+        encoder = encoders.get(lang) or encoders[""]
+        got = measures(*encoder, text) if n else (0, 0.0, 0.0, 0.0)
+        rows.append((*got, verdict(band_for(bands, text, lang, got[2], *encoder), *got[1:])))
     n_tokens, chars, share, entropy, reason = zip(*rows, strict=True)
     reason = [("few words" if n < MIN_WORDS else "repeated windows") if f else r for f, n, r in zip(failed, out["n_words"], reason, strict=True)]
     return out | {"base_failed": failed, "kept": np.array([not r for r in reason], dtype=bool), "n_tokens": n_tokens, "chars_per_token": chars, "byte_share": share, "token_entropy": entropy, "reason": [r or None for r in reason]}

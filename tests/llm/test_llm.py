@@ -146,6 +146,16 @@ def test_fertility(spark, sf, odd, none):
     assert fertility.keep(odd).columns == odd.columns
 
 
+def test_fertility_languages(spark):
+    russian = "Вчера вечером мы долго гуляли по старому городу и говорили о том, как быстро меняется жизнь. На площади играл небольшой оркестр, дети бегали вокруг фонтана, а взрослые сидели на скамейках и читали газеты. Потом пошёл дождь, и все спрятались под крышей рынка. Там пахло хлебом и яблоками. Старик рассказал нам историю моста, который построил его дед, и показал фотографии реки до войны. Домой мы вернулись поздно, усталые и довольные."
+    french = "Hier soir, nous avons marché longtemps à travers la vieille ville et parlé de la vie qui change très vite. L'été dernier, les élèves étaient allés à la forêt près du château où un chêne immense a été abattu. "
+    english = "Last night we walked for a long time through the old town and talked about how quickly life changes. A small band was playing in the square while children ran around the fountain and older people sat reading the paper. Then it began to rain and everybody went under the roof of the market. "
+    texts = [(1, russian, "en"), (2, russian, "ru"), (3, english + french, "en"), (4, french + french.replace("Hier soir", "Le printemps précédent").replace("vite", "lentement").replace("L'été", "L'année").replace("forêt", "fête").replace("marché", "rêvé").replace("immense", "brûlé"), "en"), (5, " ".join(w if i % 3 else "ѯѱѳ" + "ѵѷѹ"[i % 9 // 3] for i, w in enumerate(russian.split())), "ru"), (6, english, "en")]
+    kept = {r["doc_id"]: r["kept"] for r in fertility.score(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect()}
+    assert kept == {1: False, 2: True, 3: True, 4: False, 5: False, 6: True}
+    assert {fertility.script_of(t) for t in ("日本語 漢字", "한국어", "ελληνικά", "العربية", "héllo", "ქართული")} == {"cjk", "hangul", "greek", "arabic", "latin", "other"}
+
+
 def test_cut_runs():
     text = "a " + "x" * 5000 + " b " + "y" * 100
     parts = fertility._cut_runs(text)
