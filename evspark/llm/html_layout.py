@@ -26,8 +26,13 @@ from pyspark.sql import functions as F
 
 from evspark.llm.common import slices
 
-_TOKEN = re.compile(r"<!--(.*?)(?:-->|$)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+#: A quote delimits a value only right after '='; elsewhere it is a letter like any other, as in HTML's tokeniser.
+_VALUE = r"\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+))"
+_TOKEN = re.compile(
+    r"<!--(.*?)(?:-->|$)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\s+|(/)(?=>)|/|[^\s/>][^\s/>=]*+(?:%s)?)*+)>" % re.sub(r"(?<!\\)\((?!\?)", "(?:", _VALUE),
+    re.S,
+)
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:{_VALUE})?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

@@ -441,6 +441,14 @@ def test_html_hostile():
         assert isinstance(render(page), str)
 
 
+def test_html_quotes():
+    assert render("<p title=x'>hello, it's here</p><p>more") == "hello, it's here\n\nmore"
+    assert render('<p title=x">a "b" c</p>d') == 'a "b" c\n\nd' and render("<p 'hidden'>a</p 'x'>b") == "a\n\nb"
+    assert render("""<a title = "x>y" alt='>' href=z/>in</a>""") == "in" and render("<i a='>'b=\">\">x<b =>y<i a=>z") == "xyz"
+    assert render("<p hidden=''>no</p><p style=display:none;a:'b'>no</p>x") == "x"
+    assert render("a<p b='c>d" + "<p a='>" * 3000).startswith("a")
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (2, None, None), (3, "u", "")]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")))
