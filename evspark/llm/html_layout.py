@@ -5,7 +5,8 @@ be left out (p, li, dt, dd, tr, td, th, option and so on), supplies rows that ta
 ignores end tags that close nothing. Elements enter and leave a renderer as they open and close, so
 neither depth nor length of a page costs recursion. The renderer emits all visible text: what browsers
 don't show (head, scripts, styles, templates, hidden attributes, display:none, visibility:hidden, the
-inside of closed details) is left out. Blocks begin lines, and those with margins have an empty line
+inside of closed details; of svg and math the definitions, descriptions and annotations) is left out. The
+text of formulas and drawings is shown: parts of fractions, scripts and the like stand apart by a space. Blocks begin lines, and those with margins have an empty line
 around them; white space is collapsed outside of pre; list items have their mark or number and are
 indented; cells of a table row stand side by side, aligned by column.
 
@@ -38,7 +39,15 @@ _SPACE = re.compile(r"[ \t\n\f\r]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title iframe noembed noframes noscript object audio video canvas datalist svg math".split())
+UNSEEN = frozenset("head script style template title iframe noembed noframes noscript object audio video canvas datalist".split())
+#: Where tags end with '/>', unless an element stands between whose content is HTML again.
+FOREIGN = frozenset("svg math".split())
+_HTML_AGAIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+_FOREIGN_UNSEEN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom".split())
+#: Their parts stand apart.
+_PARTED = frozenset("mfrac msub msup msubsup munder mover munderover mroot mmultiscripts mtr mtable svg".split())
+#: HTML elements that end a formula or drawing.
+_BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: With an empty line around them.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup hr html legend li main menu nav optgroup option search section summary caption".split())
@@ -155,6 +164,7 @@ class _Page:
 
     def __init__(self) -> None:
         self.stack: list[str] = []
+        self.modes: list[bool] = []  # of the open elements: is their content a formula's or drawing's
         self.count: dict[str, int] = {}  # of open elements, by tag
         self.hidden = 0  # depth at which the outermost unseen element is open, 0 for none
         self.pre = 0
@@ -166,7 +176,19 @@ class _Page:
 
     # -- tree builder
 
-    def open(self, tag: str, text: str) -> None:
+    def foreign(self) -> bool:
+        """Whether the content of a formula or drawing is read."""
+        return bool(self.modes) and self.modes[-1]
+
+    def open(self, tag: str, text: str, ended: bool = False) -> None:
+        if self.foreign():
+            if tag not in _BREAKS_OUT:
+                self.push(tag, attributes(text))
+                if ended:
+                    self.pop()
+                return
+            while self.foreign():
+                self.pop()
         if tag in _CLOSES:
             self.close_until(*_CLOSES[tag])
         elif tag in _ENDS_P:
@@ -182,6 +204,8 @@ class _Page:
             self.void(tag)
         else:
             self.push(tag, attrs)
+            if ended and tag in FOREIGN:
+                self.pop()
 
     def in_row(self) -> bool:
         for t in reversed(self.stack):
@@ -233,13 +257,22 @@ class _Page:
                 self.canvas.gap = True
 
     def push(self, tag: str, attrs: dict[str, str]) -> None:
+        foreign = self.foreign()
+        parted = foreign and (tag == "text" or self.stack[-1] in _PARTED)
         self.stack.append(tag)
+        self.modes.append(tag in FOREIGN or (foreign and tag not in _HTML_AGAIN))
         self.count[tag] = self.count.get(tag, 0) + 1
         if self.hidden:
             return
         if tag in UNSEEN or "hidden" in attrs or _HIDING.search(attrs.get("style", "")) or (tag == "dialog" and "open" not in attrs):
             self.hidden = len(self.stack)
             return
+        if foreign:
+            if tag in _FOREIGN_UNSEEN or attrs.get("display") == "none" or attrs.get("visibility") in ("hidden", "collapse"):
+                self.hidden = len(self.stack)
+            elif parted:
+                self.canvas.inline(" ")
+            return
         if len(self.stack) > 1 and self.stack[-2] == "details!" and tag != "summary":
             self.hidden = len(self.stack)
             return
@@ -278,12 +311,17 @@ class _Page:
 
     def pop(self) -> None:
         depth, tag = len(self.stack), self.stack.pop()
+        self.modes.pop()
         self.count[tag.rstrip("!")] -= 1
         if self.hidden:
             if self.hidden == depth:
                 self.hidden = 0
             return
         canvas = self.canvas
+        if self.foreign():
+            if tag == "text":
+                canvas.inline(" ")
+            return
         if tag == "details!":
             tag = "details"
         if tag in ("td", "th") and self.saved and self.saved[-1][3] == depth:
@@ -359,12 +397,19 @@ def render(page: str) -> str:
         at = m.end()
         tag = m[3]
         if tag is None:
+            if m[0].startswith("<![CDATA[") and out.foreign():
+                end = page.find("]]>", m.start())
+                at = size if end < 0 else end + 3
+                out.text(page[m.start() + 9 : size if end < 0 else end].replace("&", "&amp;"))
             continue
         tag = tag.lower()
         if m[2]:
             out.close(tag)
             continue
-        out.open(tag, m[4])
+        foreign = tag in RAW and out.foreign()
+        out.open(tag, m[4], m[5] is not None)
+        if foreign:
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.I).search(page, at)
             stop = end.start() if end else size

@@ -449,6 +449,15 @@ def test_html_quotes():
     assert render("a<p b='c>d" + "<p a='>" * 3000).startswith("a")
 
 
+def test_html_foreign():
+    assert render("<p>so <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation>no</annotation></math> holds") == "so E=m c 2 holds"
+    svg = "<svg><title>no</title><desc>no <b>no</b></desc><defs><text>no</text></defs><metadata>no</metadata><style>no</style><path d='M0'/><title/><style/><g><text>left <tspan>part</tspan></text><text>right</text></g></svg>"
+    assert render(f"a{svg}b") == "a left part right b"
+    assert render("<div>a<svg width=5 />b<math/>c</div>d") == "abc\n\nd".replace("\n\n", "\n") and render("<div/>a<p/>b") == "a\n\nb"
+    assert render("<svg><path><p>out</p>x") == "out\n\nx" and render("<svg><text display='none'>no</text><![CDATA[a < b > c]]></svg>") == "a < b > c"
+    assert render("<svg><foreignObject><ul><li>x<li>y</ul></foreignObject></svg>z") == "- x\n- y\n\nz" and isinstance(render("<svg><g>" * 20_000 + "x"), str)
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (2, None, None), (3, "u", "")]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")))
