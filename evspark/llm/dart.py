@@ -14,8 +14,8 @@ that has most company over all its bands (as the original of a group of copies h
 with the exact similarity of whole texts. Members of a bucket that this hasn't brought into one class
 are then held against all members of other classes, so no candidate link between classes is left
 untried, while a large group of copies costs a few comparisons a member. Before texts are fetched, a
-pair's coordinates are compared by two bits each, 256 for hubs and 2048 for the rest; a pair of similarity
-0.8 fails that test once in 4000 times. Of the rest, the three likeliest partners of a text are tried
+pair's coordinates are compared by two bits each, 256 for hubs and 2048 for the rest, to which a hub's pair that
+fails belongs too; a pair of similarity 0.8 fails either test more seldom than it shares no band. Of the rest, the three likeliest partners of a text are tried
 first, and the others only if it is still in another class. Classes are the components of all links.
 
 Defined cases. A null text counts as an empty one, and all texts without words are one class of
@@ -47,6 +47,8 @@ BANDS, ROWS = 20, 4
 COORDINATES = 256
 #: Coordinates of the finer signatures of texts in buckets of several classes; they estimate to 0.011.
 FINE = 2048
+#: Standard errors by which a pair's mismatches may pass those of similar texts: fewer are lost than by the bands.
+MARGIN = 4.5
 #: A random hub besides the central one in one of so many bands.
 RANDOM_HUBS = 4
 
@@ -171,9 +173,9 @@ def mismatches(a: Column, b: Column, coordinates: int = COORDINATES) -> Column:
 
 
 def most_mismatches(threshold: float, coordinates: int = COORDINATES) -> int:
-    """3.5 standard errors above what texts of similarity `threshold` have."""
+    """MARGIN standard errors above what texts of similarity `threshold` have."""
     p = (1 - threshold) * 0.75
-    return math.ceil(coordinates * p + 3.5 * math.sqrt(coordinates * p * (1 - p)))
+    return math.ceil(coordinates * p + MARGIN * math.sqrt(coordinates * p * (1 - p)))
 
 
 def similarity(a: str, b: str) -> float:
@@ -330,7 +332,7 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BAN
     y = several.select("key", F.col("id").alias("y"), F.col("root").alias("y_root"), "main", F.col("fine").alias("y_bits"), F.col("keys").alias("y_keys"))
     # A pair is made in the first bucket that it shares, and only if its signatures may be near enough.
     shared = F.get(F.filter(F.arrays_zip("x_keys", "y_keys"), lambda z: z["x_keys"] == z["y_keys"]), F.lit(0))["x_keys"]
-    near = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x") < F.col("y"))) & (mismatches(F.col("x_bits"), F.col("y_bits")) <= most) & (mismatches(F.col("x_bits"), F.col("y_bits"), FINE) <= most_mismatches(threshold, FINE))
+    near = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x") < F.col("y"))) & (mismatches(F.col("x_bits"), F.col("y_bits"), FINE) <= most_mismatches(threshold, FINE))
     apart = mismatches(F.col("x_bits"), F.col("y_bits"), FINE).alias("apart")
     pairs = x.withColumnRenamed("key", "x_key").join(y, (F.col("x_key") == F.col("key")) & near & (shared == F.col("key"))).select("x", "y", apart)
     pairs = written(pairs.withColumn("a", F.least("x", "y")).withColumn("b", F.greatest("x", "y")).join(star, ["a", "b"], "left_anti"), "pairs")

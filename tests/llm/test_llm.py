@@ -337,6 +337,21 @@ def test_classes(spark, odd, none):
     assert one.columns == odd.columns and sorted((r["doc_id"] or 0) for r in one.collect()) == [0, 1, 2, 4, 5, 6, 7]
 
 
+def test_signature_losses(spark, monkeypatch):
+    def lost(n, most, p=0.15):
+        return sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)) for k in range(most + 1, n // 3))
+
+    bands = (1 - 0.8**dart.ROWS) ** dart.BANDS
+    allowed = dart.most_mismatches
+    assert all(lost(n, allowed(0.8, n)) < bands for n in (dart.COORDINATES, dart.FINE))
+    # What the hubs' test drops is found by the finer one.
+    monkeypatch.setattr(dart, "most_mismatches", lambda threshold, n=dart.COORDINATES: -1 if n == dart.COORDINATES else allowed(threshold, n))
+    text = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([*text[: 40 * k], f"edit{k}", *text[40 * k + 1 :]])) for k in range(4)]
+    got = dart.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in got} == {0}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(100, 100 + k) for k in range(1, 50)], "a long, b long")
     got = {r["node"]: r["root"] for r in dart.components(links).collect()}
