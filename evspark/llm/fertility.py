@@ -39,9 +39,8 @@ SYMBOLS = b"#*$%&|<>"
 #: The pretokeniser pattern that byte-level vocabularies of this kind publish. Fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
-#: Runs without white space beyond so many bytes are encoded in pieces of that length, which bounds
-#: the merge loop's time on one run.
-LONGEST_RUN = 2048
+#: White space as the pattern knows it, in runs so long that the pattern's look-ahead could outgrow its stack.
+_LONG_GAP = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
 
 
 class Band(NamedTuple):
@@ -155,27 +154,15 @@ def _encoder(file: bytes):
     return _ENCODERS[key]
 
 
-def _cut_runs(text: str) -> list[str]:
-    """The text in parts, none with a run without white space of more than LONGEST_RUN characters."""
-    if len(text) <= LONGEST_RUN:
-        return [text]
-    parts, start, run = [], 0, 0
-    for word in text.split(" "):
-        run += len(word) + 1
-        if len(word) > LONGEST_RUN:
-            end = run - 1
-            first = end - len(word)
-            if first > start:
-                parts.append(text[start:first])
-            parts += [text[i : min(i + LONGEST_RUN, end)] for i in range(first, end, LONGEST_RUN)]
-            start = end
-    parts.append(text[start:])
-    return parts
-
-
 def tokens(encoder, text: str) -> np.ndarray:
-    parts = _cut_runs(text)
-    ids = [np.asarray(encoder.encode_ordinary(p), dtype=np.int64) for p in parts]
+    """The ids of the whole text. A long run of white space before a word is one pretoken but for its last
+    character, which the word may take; cutting there changes no id."""
+    parts, start = [], 0
+    for gap in _LONG_GAP.finditer(text):
+        if gap.end() < len(text):
+            parts += [text[start : gap.start()], text[gap.start() : gap.end() - 1]]
+            start = gap.end() - 1
+    ids = [np.asarray(encoder.encode_ordinary(p), dtype=np.int64) for p in [*parts, text[start:]]]
     return ids[0] if len(ids) == 1 else np.concatenate(ids)
 
 
