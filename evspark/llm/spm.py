@@ -4,7 +4,7 @@ An Aho-Corasick automaton over the pieces reads a text once; at each position it
 every piece that ends there, and each relaxes the best score of the position: a single-pass Viterbi.
 Characters that no piece holds become byte pieces, at a cost below any path of real pieces.
 
-No piece has the word mark anywhere but in its leading marks, so the best path of a text is made of
+No piece has the word mark anywhere but in its leading marks (a model that has one is refused), so the best path of a text is made of
 the best paths of its words, each with the marks before it. Distinct words are therefore solved once
 and kept in a table of bounded size, and a text is put together from them.
 
@@ -57,6 +57,8 @@ def load(path: str = f"{TOKENIZERS}/{MODEL}") -> Pieces:
     real = [i for i in range(len(names)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
     ranks = all(own[i] == int(own[i]) for i in real)
     score = {names[i]: (i, -math.log(2.7 + min(-own[i], len(names))) if ranks else own[i]) for i in real}
+    if inner := [n for n in score if MARK in n.lstrip(MARK)]:
+        raise ValueError(f"pieces with a mark inside: {inner[:3]}")
     back = {i: b for b, i in bytes_.items()}
     text = _texts(names, back, set(real))
     return Pieces(score, tuple(bytes_[b] for b in range(256)), text)
@@ -108,10 +110,6 @@ def viterbi(a, pieces: Pieces, text: str) -> list[int]:
     return out[::-1]
 
 
-#: Stands for a mark of the text's own until it is encoded; no character of a text.
-_OWN_MARK = ""
-
-
 class Encoder:
     def __init__(self, pieces: Pieces):
         self.pieces, self.automaton, self.known = pieces, automaton(pieces), {}
