@@ -45,13 +45,18 @@ def _role_out(role: Column) -> Column:
 
 
 def _role_in(role: Column) -> Column:
-    # \\n with an even number of backslashes before it is a line end.
-    return F.replace(F.regexp_replace(F.regexp_replace(unescape(role), r"(?<!\\)((?:\\\\)*)\\n", "$1\n"), r"\\\\", "\u0000"), F.lit("\u0000"), F.lit("\\"))
+    # Between pairs of backslashes, each of which is one, \\n is a line end.
+    return F.array_join(F.transform(F.split(unescape(role), r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
+
+
+#: What counts as a token: a character of a script that is written without spaces, six letters or digits of
+#: a word or what is left of it, or a mark. Vocabularies spend about as many on such.
+TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsHangul}]|[\p{L}\p{M}\p{N}_&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsHangul}]]{1,6}|[^\p{L}\p{M}\p{N}_\s]"
 
 
 def n_tokens(text: Column) -> Column:
-    """Words and single marks."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"))
+    """Tokens of a text, as TOKEN counts them."""
+    return F.regexp_count(text, F.lit(TOKEN))
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
