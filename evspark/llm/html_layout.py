@@ -8,7 +8,9 @@ don't show (head, scripts, styles, templates, hidden attributes, display:none, v
 inside of closed details; of svg and math the definitions, descriptions and annotations) is left out. The
 text of formulas and drawings is shown: parts of fractions, scripts and the like stand apart by a space. Blocks begin lines, and those with margins have an empty line
 around them; white space is collapsed outside of pre; list items have their mark or number and are
-indented; cells of a table row stand side by side, aligned by column.
+indented; cells of a table row stand side by side, aligned by column. Text between a table's cells stands
+before the table, as browsers put it; formatting elements carry no layout, so they need no repair. Padding and
+indentation are bounded, so a page's text is of the order of its own length.
 
 Defined cases. A null page gives a null text, an empty one or one without visible text an empty text.
 Cut tags at the end of a page are text. Pages of any length and depth are rendered whole. Rows are
@@ -71,8 +73,10 @@ _CLOSES = {
 #: No end tag of something else closes past these.
 _WALLS = frozenset("table td th caption".split())
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-#: Columns are padded to this width at most; longer cells run over.
-WIDEST = 60
+#: Columns are padded to this width at most; longer cells run over. Cells beyond FARTHEST follow each other.
+WIDEST, FARTHEST = 60, 1000
+#: Items nested beyond so many characters of indentation are indented no further.
+DEEPEST = 120
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -85,24 +89,32 @@ def attributes(text: str) -> dict[str, str]:
 class _Canvas:
     """Lines of text under a changing indentation."""
 
-    __slots__ = ("lines", "current", "gap", "indents", "mark")
+    __slots__ = ("lines", "current", "gap", "leads", "mark")
 
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.current: list[str] = []
         self.gap = False
-        self.indents: list[str] = []
+        self.leads: list[str] = [""]  # indentation at each depth
         self.mark = ""  # of a list item, before its first line
 
     def put(self, line: str) -> None:
         if self.gap and self.lines and self.lines[-1]:
             self.lines.append("")
         self.gap = False
-        if self.indents:
-            lead = "".join(self.indents[:-1]) + self.mark if self.mark else "".join(self.indents)
+        if len(self.leads) > 1:
+            lead = self.leads[-2] + self.mark if self.mark else self.leads[-1]
             self.mark, line = "", lead + line
         self.lines.append(line)
 
+    def indent(self, by: int) -> None:
+        lead = self.leads[-1]
+        self.leads.append(lead + " " * by if len(lead) < DEEPEST else lead)
+
+    def outdent(self) -> None:
+        if len(self.leads) > 1:
+            self.leads.pop()
+
     def flush(self) -> None:
         if self.current:
             line = "".join(self.current).strip(" ")
@@ -130,30 +142,34 @@ class _Table:
 
     def lines(self) -> list[str]:
         """The rows with cells side by side."""
-        placed, taken = [], {}  # taken: columns that a cell above still spans, and for how many rows
-        for row in self.rows:
-            at, cells = 0, []
+        placed, spans = [], []  # spans: blocks of columns that cells above still hold, in order, and up to which row
+        for n, row in enumerate(self.rows):
+            spans = [s for s in spans if s[2] > n]
+            at, cells, new, k = 0, [], [], 0
             for lines, columns, deep in row:
-                while taken.get(at, 0):
-                    at += 1
+                while k < len(spans) and spans[k][0] <= at:
+                    at, k = max(at, spans[k][1]), k + 1
                 cells.append((at, columns, lines))
-                for c in range(at, at + columns):
-                    taken[c] = deep
+                if deep > 1:
+                    new.append((at, at + columns, n + deep))
                 at += columns
-            taken = {c: n - 1 for c, n in taken.items() if n > 1}
+            if new:
+                spans = sorted(spans + new)
             placed.append(cells)
-        width: dict[int, int] = {}
+        width: dict[int, int] = {}  # of the columns in which a cell begins; others take no room
         for cells in placed:
             for at, columns, lines in cells:
-                if columns == 1 and lines:
-                    width[at] = min(WIDEST, max(width.get(at, 0), *map(len, lines)))
+                width[at] = min(WIDEST, max(width.get(at, 0), *map(len, lines))) if columns == 1 and lines else width.get(at, 0)
+        starts, start = {}, 0
+        for at in sorted(width):
+            starts[at], start = min(start, FARTHEST), start + width[at] + 2
         out = []
         for cells in placed:
             for k in range(max([0, *(len(lines) for _, _, lines in cells)])):
                 line = ""
                 for at, _, lines in cells:
                     if k < len(lines) and lines[k]:
-                        start = sum(width.get(c, 0) + 2 for c in range(at))
+                        start = starts[at]
                         line = (line.ljust(start) if len(line) + 1 < start or not at else line + "  ") + lines[k]
                 out.append(line.rstrip())
         return out
@@ -294,9 +310,9 @@ class _Page:
             if canvas.mark:  # an item that begins with a list keeps its own mark's line
                 canvas.put("")
             canvas.mark = mark
-            canvas.indents.append(" " * len(mark))
+            canvas.indent(len(mark))
         elif tag in ("dd", "blockquote"):
-            canvas.indents.append("    " if tag == "dd" else "  ")
+            canvas.indent(4 if tag == "dd" else 2)
         elif tag == "table":
             self.tables.append(_Table())
         elif tag == "tr" and self.tables:
@@ -340,11 +356,11 @@ class _Page:
         elif tag in ("ul", "ol", "menu", "dir"):
             if self.lists:
                 self.lists.pop()
-        elif tag == "li" and canvas.indents:
-            canvas.indents.pop()
+        elif tag == "li":
+            canvas.outdent()
             canvas.mark = ""
-        elif tag in ("dd", "blockquote") and canvas.indents:
-            canvas.indents.pop()
+        elif tag in ("dd", "blockquote"):
+            canvas.outdent()
         elif tag == "table" and self.tables:
             lines = self.tables.pop().lines()
             for line in lines:
