@@ -17,8 +17,10 @@ the archives themselves, once, to meet their list of revisits.
 Defined cases. A null page is an empty payload, a null URL is written "-", white space and control
 characters of URLs are escaped. Pages with equal page_id are records of their own; of equal payloads
 with equal greatest ids the record with the greatest identifier is the response. A page without an id
-has none when read back. Bytes that no header line starts are reported as a record of type
-"malformed". Empty tables give empty ones.
+has none when read back. Bytes that no header line starts, what follows a damaged gzip member, and a WARC record
+without a length are reported as one record of type "malformed", without page, digest or reference. A version block
+of no known version is read as its field line says, or as version 1. Empty tables give empty ones. Record identifiers
+hang on the archive and so on how the pages are dealt; equal pages dealt alike get equal ones.
 """
 
 from __future__ import annotations
@@ -60,15 +62,27 @@ def _gz(data: bytes) -> bytes:
 
 
 def unpacked(data: bytes) -> bytes:
-    """All members of a gzip file one after the other, or the bytes as they are."""
-    if data[:2] != b"\x1f\x8b":
-        return data
+    """All members of a gzip file one after the other, or the bytes as they are. Of a damaged member what can be
+    had is taken, and bytes after the members stand as they are, so that nothing is lost silently."""
     out = []
-    while data:
+    while data[:2] == b"\x1f\x8b":
         d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
+        try:
+            out.append(d.decompress(data))
+        except zlib.error:
+            d = zlib.decompressobj(31)
+            for at in range(0, len(data), 1024):
+                try:
+                    out.append(d.decompress(data[at : at + 1024]))
+                except zlib.error:
+                    return b"".join([*out, data[at:]])
         data = d.unused_data
-    return b"".join(out)
+    return b"".join([*out, data])
+
+
+def _size(text: str) -> int | None:
+    """A declared length, or None if it is none."""
+    return int(text) if re.fullmatch(r"[0-9]{1,18}", text) else None
 
 
 # -- ARC
@@ -110,19 +124,28 @@ def arc_records(data: bytes) -> Iterator[ArcRecord]:
         line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
         parts = line.rsplit(" ", len(fields) - 1) if not first else line.rsplit(" ", 4)
         names = FIELDS[1].split() if first else fields
-        if end < 0 or len(parts) != len(names) or not parts[-1].isdigit() or end + 1 + int(parts[-1]) > len(data):
+        size = _size(parts[-1])
+        if end < 0 or len(parts) != len(names) or size is None or end + 1 + size > len(data):
             yield ArcRecord("", "", "", "", at, data[at:], True)
             return
-        row, body = dict(zip(names, parts, strict=True)), data[end + 1 : end + 1 + int(parts[-1])]
+        row, body = dict(zip(names, parts, strict=True)), data[end + 1 : end + 1 + size]
         if first:
             if not row["URL"].startswith("filedesc:"):
                 yield ArcRecord("", "", "", "", at, data[at:], True)
                 return
-            lines = body.decode("utf-8", "replace").splitlines()
-            fields = lines[1].split() if len(lines) > 1 and lines[1].endswith("Archive-length") else FIELDS[int(lines[0].split()[0]) if lines and lines[0][:1] in "12" and lines[0] else 1].split()
+            fields = _fields(body.decode("utf-8", "replace").splitlines())
         else:
             yield ArcRecord(row["URL"], row.get("IP-address", "0.0.0.0"), row.get("Archive-date", ""), row.get("Content-type", ""), at, body)
-        first, at = False, end + 1 + int(parts[-1])
+        first, at = False, end + 1 + size
+
+
+def _fields(lines: list[str]) -> list[str]:
+    """What a version block says that header lines hold: its field line, or that of its version."""
+    told = lines[1].split() if len(lines) > 1 else []
+    if told and told[0] == "URL" and told[-1] == "Archive-length":
+        return told
+    version = lines[0].split()[:1] if lines else []
+    return FIELDS[2 if version == ["2"] else 1].split()
 
 
 # -- WARC
@@ -186,15 +209,16 @@ def convert(archive: str, data: bytes, revisits: dict[int, dict]) -> bytes:
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a WARC file."""
+    """Headers and block of each record of a WARC file; what can't be read is one last malformed record."""
     data, at = unpacked(data), 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+        lines = data[at : max(end, at)].decode("utf-8", "replace").split("\r\n")
+        headers = {a.strip().title(): b.strip() for a, _, b in (x.partition(":") for x in lines[1:])}
+        size = _size(headers.get("Content-Length", ""))
+        if not lines[0].startswith("WARC/") or "Warc-Type" not in headers or size is None or end + 4 + size > len(data):
+            yield {"Warc-Type": "malformed"}, data[at:]
             return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        headers = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
-        size = int(headers["Content-Length"])
         yield headers, data[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
 
@@ -241,8 +265,7 @@ def index(arcs: DataFrame) -> DataFrame:
                 for n, r in enumerate(arc_records(data.as_py())):
                     if not r.malformed:
                         s = synthesise(archive, r)
-                        key = http_field(s.http, KEY_HEADER)
-                        rows.append((archive, n, int(key) if key else None, s.payload_digest, len(s.payload), s.record_id, s.date, r.url))
+                        rows.append((archive, n, _whole(http_field(s.http, KEY_HEADER)), s.payload_digest, len(s.payload), s.record_id, s.date, r.url))
                 kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _INDEX.split(", ")])
@@ -274,35 +297,57 @@ def to_warc(arcs: DataFrame, least_bytes: int = 0) -> DataFrame:
     return out
 
 
+_READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, digest_ok boolean"
+
+
 def read_warc(archives: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id and digest_ok (whether
-    the digests of block and payload are those of the bytes) of each record that isn't about the archive."""
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, digest_ok boolean"
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, refers_to_record and digest_ok of
+    each record that isn't about the archive. digest_ok says whether the digests of block and payload are those of
+    the bytes; a revisit's payload digest and length must be those of the record that it refers to."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for data in batch.column("data"):
                 for h, block in warc_records(data.as_py()):
-                    if h["WARC-Type"] in ("warcinfo", "malformed"):
-                        continue
-                    revisit = h["WARC-Type"] == "revisit"
-                    end = block.find(b"\r\n\r\n") if h["Content-Type"].startswith("application/http") else -4
-                    http, payload = block[: end + 4], block[end + 4 :]
-                    key, ok = http_field(http, KEY_HEADER), h["WARC-Block-Digest"] == f"sha1:{digest(block)}"
-                    ok = ok and (revisit or h["WARC-Payload-Digest"] == f"sha1:{digest(payload)}")
-                    to = h.get("X-Refers-To-Key")
-                    rows.append((int(key) if key else None, int(h["X-Payload-Length"]) if revisit else len(payload), h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], int(to) if to else None, h["WARC-Record-ID"], ok))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
+                    if h["Warc-Type"] == "malformed":
+                        rows.append((None, len(block), None, "malformed", None, h.get("Warc-Record-Id"), None, False))
+                    elif h["Warc-Type"] != "warcinfo":
+                        rows.append(_read(h, block))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
             cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _READ.split(", ")])
+
+    rows = written(archives.select("data").mapInArrow(work, _READ), "warc-rows")
+    referring = rows.filter("record_type = 'revisit'")
+    told = referring.groupBy("refers_to_record").agg(F.count("*").alias("_records"))
+    first = rows.filter("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to_record"), F.struct("payload_digest", "payload_bytes").alias("_first"))
+    told = written(told.join(first, "refers_to_record", "left"), "referred")
+    checked = join_groups(referring.withColumn("refers_to_record", F.coalesce("refers_to_record", F.lit(""))), told.fillna("", ["refers_to_record"]), "refers_to_record", "_records", rows.count())
+    same = F.coalesce(F.col("_first") == F.struct("payload_digest", "payload_bytes"), F.lit(False))
+    checked = checked.withColumn("digest_ok", F.col("digest_ok") & same).select(*rows.columns)
+    return rows.filter("record_type <> 'revisit'").unionByName(checked)
+
 
-    return archives.select("data").mapInArrow(work, schema)
+def _read(h: dict[str, str], block: bytes) -> tuple:
+    """A row of read_warc() but for what it takes another record to know."""
+    revisit = h["Warc-Type"] == "revisit"
+    end = block.find(b"\r\n\r\n") if h.get("Content-Type", "").startswith("application/http") else -4
+    http, payload = (block[: end + 4], block[end + 4 :]) if end != -1 else (block, b"")
+    key, told = _whole(http_field(http, KEY_HEADER)), h.get("Warc-Payload-Digest", "").removeprefix("sha1:")
+    ok = h.get("Warc-Block-Digest") == f"sha1:{digest(block)}" and (revisit or told == digest(payload))
+    length = _size(h.get("X-Payload-Length", "")) if revisit else len(payload)
+    return key, length, told or None, h["Warc-Type"], _whole(h.get("X-Refers-To-Key")), h.get("Warc-Record-Id"), h.get("Warc-Refers-To"), ok
+
+
+def _whole(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,19}", text) and -(1 << 63) <= int(text) < 1 << 63 else None
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """pages written as ARC, converted to WARC and read back."""
     arcs = written(write_arc(pages), "arc", "none")
     warcs = to_warc(arcs, least_bytes)
-    drop_written(arcs)
-    return read_warc(warcs)
+    out = read_warc(warcs)
+    drop_written(arcs, warcs)
+    return out
