@@ -42,7 +42,8 @@ def op4_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(s.path, s.bytes, s.rows) for s in now.shards] or [("", 0, 0)], "shard string, shard_bytes long, shard_rows long")
     path = F.concat_ws("/", F.lit("data"), F.slice(F.split(F.input_file_name(), "/"), -2, 2))
     rows = store.read().select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.length("text").cast("long").alias("text_chars"), path.alias("shard"))
-    return rows.join(F.broadcast(listed), "shard").withColumn("version", F.lit(now.version).cast("long"))
+    # The list grows with the table, so its size decides whether it is broadcast.
+    return rows.join(listed, "shard").withColumn("version", F.lit(now.version).cast("long"))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
