@@ -18,13 +18,12 @@ nothing, an empty table gives an empty one. Other columns don't matter.
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evspark.llm.common import WORD_GAPS, null_safe_text, written
+from evspark.llm.common import WORD_GAPS, drop_written, null_safe_text, written
 
 #: A document's words are used so many times at most.
 MAX_REPEATS = 3
@@ -59,56 +58,114 @@ def weighted_targets(sizes: list[int], weights: list[int], total: int, most: int
 def min_cost_flow(patterns: dict[tuple, int], quotas: dict, costs: tuple[int, ...] = REPEAT_COSTS) -> dict[tuple, int]:
     """Words that each pattern gives, so that the quotas get as much as they can for the least cost.
 
-    Successive cheapest augmenting paths with potentials. An edge from the source to a pattern has one
-    parallel part for each use of its words, with that use's cost.
+    An edge from the source to a pattern has one parallel part for each use of its words, with that use's cost;
+    no other edge costs anything. A cheapest augmenting path therefore costs what the use that it begins with
+    does, and taking cheapest paths first means: a maximum flow over first uses, augmented by one with second
+    uses, then by one with third uses. Each is Dinic's, on one connected part of the network at a time.
     """
-    names = ["S", *(("p", p) for p in patterns), *(("q", q) for q in quotas), "T"]
-    at = {n: i for i, n in enumerate(names)}
-    edges: list[list[int]] = []  # to, capacity left, cost
-    out = defaultdict(list)
+    given = {p: 0 for p in patterns}
+    for part in _connected(patterns, quotas):
+        given |= _flow_of(part, {q: int(quotas[q]) for p in part for q in p if q in quotas}, len(costs), sorted(range(len(costs)), key=lambda k: costs[k]))
+    return given
+
 
-    def add(a, b, capacity: int, cost: int) -> None:
-        out[at[a]].append(len(edges))
-        edges.append([at[b], capacity, cost])
-        out[at[b]].append(len(edges))
-        edges.append([at[a], 0, -cost])
+def _connected(patterns: dict[tuple, int], quotas: dict) -> list[dict[tuple, int]]:
+    """The patterns in groups that have no source in common; those without words or quota are left out."""
+    root: dict = {}
 
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for p, size in patterns.items():
+        own = [q for q in p if q in quotas] if size else []
+        for q in own:
+            root.setdefault(q, q)
+            root[find(q)] = find(own[0])
+    parts: dict = defaultdict(dict)
     for p, size in patterns.items():
-        for cost in costs:
-            add("S", ("p", p), size, cost)
+        if own := [q for q in p if q in quotas] if size else []:
+            parts[find(own[0])][p] = size
+    return list(parts.values())
+
+
+def _flow_of(patterns: dict[tuple, int], quotas: dict, uses: int, order: list[int]) -> dict[tuple, int]:
+    """The flow of one connected part, use by use."""
+    names = list(patterns)
+    place = {q: len(names) + k for k, q in enumerate(quotas)}
+    left = [quotas[q] for q in quotas]  # of each source's edge to its quota
+    offered = [0] * len(names)  # words of a pattern that may still flow
+    # Edges between a pattern and a source: capacity is no limit that way; `back` flows against it.
+    ends: list[list[int]] = [[] for _ in range(len(names) + len(place))]
+    to: list[int] = []
+    flow: list[int] = []
+    for i, p in enumerate(names):
         for q in p:
-            if q in quotas:
-                add(("p", p), ("q", q), len(costs) * size, 0)
-    for q, quota in quotas.items():
-        add(("q", q), "T", int(quota), 0)
-    start, end, potential = at["S"], at["T"], [0] * len(names)
-    while True:
-        best, via, heap = {start: 0}, {}, [(0, start)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > best[a]:
-                continue
-            for e in out[a]:
-                b, capacity, cost = edges[e]
-                if capacity and (new := d + cost + potential[a] - potential[b]) < best.get(b, 1 << 60):
-                    best[b], via[b] = new, e
-                    heapq.heappush(heap, (new, b))
-        if end not in best:
-            break
-        for i in range(len(names)):
-            potential[i] += best.get(i, max(best.values()))
-        path, a = [], end
-        while a != start:
-            path.append(via[a])
-            a = edges[via[a] ^ 1][0]
-        flow = min(edges[e][1] for e in path)
-        for e in path:
-            edges[e][1] -= flow
-            edges[e ^ 1][1] += flow
-    given = {p: 0 for p in patterns}
-    for e in out[start]:
-        given[names[edges[e][0]][1]] += edges[e ^ 1][1]
-    return given
+            if q in place:
+                ends[i].append(len(to))
+                ends[place[q]].append(len(to))
+                to.append(place[q])
+                flow.append(0)
+    start = [i for i, p in enumerate(names) for q in p if q in place]
+    given = [0] * len(names)
+    for _ in order[:uses]:
+        for i, p in enumerate(names):
+            offered[i] += patterns[p]
+        while _blocking(len(names), ends, start, to, flow, offered, left, given):
+            pass
+    return dict(zip(names, given, strict=True))
+
+
+def _blocking(n: int, ends: list, start: list, to: list, flow: list, offered: list, left: list, given: list) -> bool:
+    """One phase of Dinic's algorithm: levels from all patterns with words on offer, then a blocking flow."""
+    level = [-1] * len(ends)
+    front = [i for i in range(n) if offered[i]]
+    for i in front:
+        level[i] = 0
+    first, reached = list(front), False
+    while front and not reached:
+        after = []
+        for a in front:
+            for e in ends[a]:
+                b = to[e] if a < n else start[e]
+                if level[b] < 0 and (a < n or flow[e]):
+                    level[b] = level[a] + 1
+                    after.append(b)
+        front = after
+        reached = any(b >= n and left[b - n] for b in front)
+    if not reached:
+        return False
+    at = [0] * len(ends)
+    for i in first:
+        while offered[i]:
+            path, a = [], i
+            while True:
+                if a >= n and left[a - n]:
+                    most = min([offered[i], left[a - n], *(flow[e] for e, down in path if not down)])
+                    for e, down in path:
+                        flow[e] += most if down else -most
+                    offered[i] -= most
+                    left[a - n] -= most
+                    given[i] += most
+                    break
+                while at[a] < len(ends[a]):
+                    e = ends[a][at[a]]
+                    b = to[e] if a < n else start[e]
+                    if level[b] == level[a] + 1 and (a < n or flow[e]):
+                        path.append((e, a < n))
+                        a = b
+                        break
+                    at[a] += 1
+                else:
+                    if not path:
+                        break
+                    e, down = path.pop()
+                    a = start[e] if down else to[e]
+                    at[a] += 1
+            if not path and at[i] >= len(ends[i]):
+                break
+    return True
 
 
 def order_of(seed: int) -> Column:
@@ -116,7 +173,7 @@ def order_of(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
 
 
-#: Bits of the order that name its bucket: 4096 buckets for each pattern.
+#: Bits of the order that name its bucket: 4096 buckets for each pattern, in 64 blocks.
 BUCKET_BITS = 12
 #: Filling ends when what is left of a pattern's rest is below this share of it, or fits no document.
 CLOSE = 0.0005
@@ -149,10 +206,14 @@ def choice(docs: DataFrame, given: dict[tuple, int], sizes: dict[tuple, int], se
     open_ = [p for p in sizes if left[p]]
     while open_:
         fit = free(open_).filter("one <= left")
-        held = fit.groupBy("pattern", "left", "bucket").agg(F.sum("size").alias("held"))
-        upto = held.withColumn("upto", F.sum("held").over(Window.partitionBy("pattern").orderBy("bucket")))
-        found = upto.groupBy("pattern").agg(F.max("upto").alias("all"), F.min(F.when(F.col("upto") > F.col("left"), F.struct("bucket", (F.col("upto") - F.col("held")).alias("before")))).alias("edge")).collect()
-        edges = spark.createDataFrame([(r["pattern"], r["edge"]["bucket"], r["edge"]["before"]) for r in found if r["edge"]], "pattern array<string>, bucket long, before long")
+        # The bucket at which a pattern is full is found by sums over blocks of buckets, then over those of one block.
+        held = written(fit.groupBy("pattern", "left", "bucket").agg(F.sum("size").alias("held")), "held")
+        blocks = held.groupBy("pattern", "left", F.shiftright("bucket", BUCKET_BITS // 2).alias("block")).agg(F.sum("held").alias("held"))
+        found = _edges(blocks, ["pattern"], "block", F.lit(0)).collect()
+        edge_blocks = spark.createDataFrame([(r["pattern"], r["edge"]["block"], r["edge"]["before"]) for r in found if r["edge"]], "pattern array<string>, block long, before long")
+        inside = held.withColumn("block", F.shiftright("bucket", BUCKET_BITS // 2)).join(F.broadcast(edge_blocks), ["pattern", "block"])
+        edge_of = {tuple(r["pattern"]): r["edge"] for r in _edges(inside, ["pattern", "block"], "bucket", F.col("before")).collect()}
+        edges = spark.createDataFrame([(list(p), e["bucket"], e["before"]) for p, e in edge_of.items()], "pattern array<string>, bucket long, before long")
         within = Window.partitionBy("pattern", "bucket").orderBy("order")
         inside = fit.join(F.broadcast(edges), ["pattern", "bucket"]).withColumn("upto", F.sum("size").over(within) + F.col("before")).filter("upto <= left")
         cuts = {tuple(r["pattern"]): r for r in inside.groupBy("pattern").agg(F.max("upto").alias("filled"), F.max("order").alias("cut")).collect()}
@@ -164,12 +225,13 @@ def choice(docs: DataFrame, given: dict[tuple, int], sizes: dict[tuple, int], se
             elif p in cuts:
                 filled, cut = cuts[p]["filled"], cuts[p]["cut"]
             else:
-                filled, cut = r["edge"]["before"], (r["edge"]["bucket"] << (64 - BUCKET_BITS)) - 1
+                filled, cut = edge_of[p]["before"], (edge_of[p]["bucket"] << (64 - BUCKET_BITS)) - 1
             rounds[p].append((left[p], max(cut, -LAST - 1)))
             left[p] -= filled
             if r["edge"] is not None and filled and left[p] > CLOSE * rest[p]:
                 done.discard(p)
         open_ = [p for p in open_ if p not in done]
+        drop_written(held)
     if short := [p for p in sizes if left[p]]:
         gap = F.abs(F.col("left") - F.col("size"))
         best = free(short).groupBy("pattern", "left").agg(F.min(F.struct(gap.alias("gap"), "order")).alias("best")).filter("best.gap < left")
@@ -177,6 +239,13 @@ def choice(docs: DataFrame, given: dict[tuple, int], sizes: dict[tuple, int], se
     return spark.createDataFrame([(list(p), whole[p], rounds[p], last.get(p)) for p in sizes], "pattern array<string>, whole long, rounds array<struct<most:long,upto:long>>, last long")
 
 
+def _edges(held: DataFrame, by: list[str], place: str, before: Column) -> DataFrame:
+    """Per pattern, `all` that is held and, if that is more than `left`, the place at which it becomes so and what
+    is held before it."""
+    upto = held.withColumn("upto", F.sum("held").over(Window.partitionBy(*by).orderBy(place)) + before)
+    return upto.groupBy("pattern").agg(F.max("upto").alias("all"), F.min(F.when(F.col("upto") > F.col("left"), F.struct(place, (F.col("upto") - F.col("held")).alias("before")))).alias("edge"))
+
+
 def _in_rounds(size: Column) -> Column:
     return F.exists("rounds", lambda r: (size <= r["most"]) & (F.col("order") <= r["upto"]))
 
