@@ -16,7 +16,8 @@ of their wording) the templates that fit best are reported at each place: a matc
 of the family hold all of its shingles, at the same words of the text. What fits elsewhere is reported too.
 
 All is DataFrame expressions. One scan retrieves, without a shuffle but for what it finds; another reads
-the documents with hits again to verify them. The templates' bands are broadcast up to MOST_BANDS rows,
+the documents with hits again to verify them, by a join that broadcasts the hits only while they are small and
+deals the texts by id beyond that. The templates' bands are broadcast up to MOST_BANDS rows,
 beyond which they are joined by a shuffle.
 
 Defined cases. A null or empty text, or one of fewer than five words, has no match. Rows that share a
@@ -136,20 +137,21 @@ def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _word_hashes(null_safe_text()).alias("words"))
     hits = _windows(rows, ["doc_id"], WINDOW_SHINGLES).join(F.broadcast(bands) if small else bands, "band").select("doc_id", "template", "at").distinct()
     about = known.select("template", "license_id", "wanted", "length")
-    hits = hits.join(F.broadcast(about) if small else about, "template")
-    hits = written(hits.groupBy("doc_id").agg(F.collect_list(F.struct("template", "license_id", "at", "length", "wanted")).alias("hits")), "hits")
+    # A template's shingles stand in a document's row once, however often it is hit: places are all that adds up.
+    hits = hits.groupBy("doc_id", "template").agg(F.collect_set("at").alias("ats")).join(F.broadcast(about) if small else about, "template")
+    hits = written(hits.groupBy("doc_id").agg(F.collect_list(F.struct("template", "license_id", "ats", "length", "wanted")).alias("hits")), "hits")
 
-    def verified(h: Column) -> Column:
-        low, high = F.greatest(h["at"] - h["length"], F.lit(0)), F.least(h["at"] + h["length"], F.size("words") - SHINGLE)
+    def verified(h: Column, at: Column) -> Column:
+        low, high = F.greatest(at - h["length"], F.lit(0)), F.least(at + h["length"], F.size("words") - SHINGLE)
         near = F.transform(F.sequence(low, high), lambda p: F.struct(_shingle(F.col("words"), p).alias("s"), F.xxhash64("tag", p).alias("p")))
         held = F.filter(near, lambda x: F.array_contains(h["wanted"], x["s"]))
         matched = F.size(F.array_distinct(F.transform(held, lambda x: x["s"]))).cast("long")
-        return F.struct(h["template"].alias("template"), h["license_id"].alias("license_id"), h["at"].alias("at"), F.size(h["wanted"]).cast("long").alias("n_shingles"), matched.alias("matched"), F.transform(held, lambda x: x["p"]).alias("places"))
+        return F.struct(h["template"].alias("template"), h["license_id"].alias("license_id"), at.alias("at"), F.size(h["wanted"]).cast("long").alias("n_shingles"), matched.alias("matched"), F.transform(held, lambda x: x["p"]).alias("places"))
 
     same = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_safe_text().alias("text")).join(hits, "doc_id").select("doc_id", "hits", F.xxhash64("text").alias("tag"), _word_hashes(F.col("text")).alias("words"))
     # Of rows that share a doc_id, one may be too short for another's hit.
-    same = same.withColumn("hits", F.filter("hits", lambda h: F.greatest(h["at"] - h["length"], F.lit(0)) <= F.size("words") - SHINGLE))
-    found = same.select("doc_id", F.explode(F.transform("hits", verified)).alias("v")).select("doc_id", "v.*")
+    able = lambda h: F.filter(h["ats"], lambda at: F.greatest(at - h["length"], F.lit(0)) <= F.size("words") - SHINGLE)
+    found = same.select("doc_id", F.explode(F.flatten(F.transform("hits", lambda h: F.transform(able(h), lambda at: verified(h, at))))).alias("v")).select("doc_id", "v.*")
     found = found.filter(F.col("matched") >= F.lit(threshold) * F.col("n_shingles"))
     fits = found.groupBy("doc_id", "template", "license_id", "n_shingles", "matched").agg(F.min("at").alias("at"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     # Versions of a license differ by a word or two; the wording that fits a place best tells which it is.
