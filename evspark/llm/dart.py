@@ -15,7 +15,8 @@ with the exact similarity of whole texts. Members of a bucket that this hasn't b
 are then held against all members of other classes, so no candidate link between classes is left
 untried, while a large group of copies costs a few comparisons a member. Before texts are fetched, a
 pair's coordinates are compared by two bits each, 256 for hubs and 2048 for the rest, to which a hub's pair that
-fails belongs too; a pair of similarity 0.8 fails either test more seldom than it shares no band. Of the rest, the three likeliest partners of a text are tried
+fails belongs too; a pair of similarity 0.8 fails either test more seldom than it shares no band, and the parameter
+pretest leaves the test out. Of the rest, the three likeliest partners of a text are tried
 first, and the others only if it is still in another class. Classes are the components of all links.
 
 Defined cases. A null text counts as an empty one, and all texts without words are one class of
@@ -289,11 +290,14 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def classes(docs: DataFrame, **parameters) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class) and class_size for each row of docs(doc_id, text)."""
+    """doc_id, class_id (least doc_id of the class) and class_size for each row of docs(doc_id, text).
+
+    With pretest=False no pair of candidates is dropped by its signatures: every one that isn't yet in a class is
+    held against its partner by exact similarity, at the cost of fetching their texts."""
     return classified(docs, **parameters).drop("text_key")
 
 
-def classified(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
+def classified(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS, n_rows: int = ROWS, pretest: bool = True) -> DataFrame:
     """classes() with text_key."""
     sketch = written(sketches(docs, n_bands, n_rows), "sketches")
     total = sketch.count()
@@ -314,7 +318,7 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BAN
     most = most_mismatches(threshold)
     star = join_groups(inside.select("id", "key"), hubs, "key", "n", rows).select("id", F.explode("hubs").alias("hub")).filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     side = lambda c: bits.select(F.col("id").alias(c), F.col("bits").alias(f"bits_{c}"))
-    star = written(star.join(side("a"), "a").join(side("b"), "b").filter(mismatches(F.col("bits_a"), F.col("bits_b")) <= most).select("a", "b"), "star")
+    star = written(star.join(side("a"), "a").join(side("b"), "b").filter((mismatches(F.col("bits_a"), F.col("bits_b")) <= most) if pretest else F.lit(True)).select("a", "b"), "star")
     texts = texts_of(docs, company.select(F.col("id").alias("doc_id")))
     links = linked(star, texts, threshold)
     roots = components(links)
@@ -332,7 +336,9 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BAN
     y = several.select("key", F.col("id").alias("y"), F.col("root").alias("y_root"), "main", F.col("fine").alias("y_bits"), F.col("keys").alias("y_keys"))
     # A pair is made in the first bucket that it shares, and only if its signatures may be near enough.
     shared = F.get(F.filter(F.arrays_zip("x_keys", "y_keys"), lambda z: z["x_keys"] == z["y_keys"]), F.lit(0))["x_keys"]
-    near = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x") < F.col("y"))) & (mismatches(F.col("x_bits"), F.col("y_bits"), FINE) <= most_mismatches(threshold, FINE))
+    near = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x") < F.col("y")))
+    if pretest:
+        near = near & (mismatches(F.col("x_bits"), F.col("y_bits"), FINE) <= most_mismatches(threshold, FINE))
     apart = mismatches(F.col("x_bits"), F.col("y_bits"), FINE).alias("apart")
     pairs = x.withColumnRenamed("key", "x_key").join(y, (F.col("x_key") == F.col("key")) & near & (shared == F.col("key"))).select("x", "y", apart)
     pairs = written(pairs.withColumn("a", F.least("x", "y")).withColumn("b", F.greatest("x", "y")).join(star, ["a", "b"], "left_anti"), "pairs")
