@@ -115,6 +115,25 @@ def test_arc_versions():
         assert len(good) == 1 and bad.malformed
 
 
+def test_warc_malformed(spark):
+    """What is broken is told as malformed, and what stands before it is kept."""
+    good = warc.arc_header(1, "n", "20200101000000") + warc.arc_record(1, "http://x/a", "20200102030405", "text/html", b"hi", "n", 0)
+    for tail in ("http://x/b 0.0.0.0 20200102030405 text/html ².\n", "http://x/b 0.0.0.0 20200102030405 text/html -5\nabc", "rubbish", "a b c d 99\nshort"):
+        one, bad = warc.arc_records(good + tail.replace(".", "" if "²" in tail else ".").encode())
+        assert one.body == b"hi" and bad.malformed
+    for block in (b"10 0 x\nURL IP-address Archive-date Content-type Archive-length\n", b"3 0 x\nno fields Archive-length\n", b"", b"\n\n"):
+        head = f"filedesc://n 0.0.0.0 20200101000000 text/plain {len(block)}\n".encode() + block + b"\n"
+        assert [r.body for r in warc.arc_records(head + good.split(b"\n\n", 1)[1])] == [b"hi"]
+    zipped = b"".join(map(warc._gz, (good[: good.index(b"http://x")], good[good.index(b"http://x") :])))
+    assert [r.malformed for r in warc.arc_records(zipped + b"trailing bytes")] == [False, True] and len(list(warc.arc_records(zipped))) == 1
+    assert next(iter(warc.arc_records(zipped[:-20]))) is not None
+    record = warc.warc_record([("WARC-Type", "resource"), ("WARC-Record-ID", "<urn:a>"), ("Content-Type", "text/plain"), ("WARC-Payload-Digest", "sha1:" + warc.digest(b"x")), ("WARC-Block-Digest", "sha1:" + warc.digest(b"x"))], b"x")
+    lying = warc.warc_record([("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:b>"), ("Content-Type", "application/http"), ("WARC-Refers-To", "<urn:a>"), ("X-Payload-Length", "1"), ("WARC-Payload-Digest", "sha1:" + warc.digest(b"y")), ("WARC-Block-Digest", "sha1:" + warc.digest(b""))], b"")
+    broken = b"WARC/1.1\r\nWARC-Type: resource\r\n\r\nno length"
+    rows = warc.read_warc(spark.createDataFrame([("n", bytearray(record + lying + lying.replace(warc.digest(b"y").encode(), warc.digest(b"x").encode()) + broken))], "archive string, data binary")).collect()
+    assert sorted((r["record_type"], r["digest_ok"]) for r in rows) == [("malformed", False), ("resource", True), ("revisit", False), ("revisit", True)]
+
+
 # -- fertility
 
 
@@ -156,10 +175,27 @@ def test_fertility_languages(spark):
     assert {fertility.script_of(t) for t in ("日本語 漢字", "한국어", "ελληνικά", "العربية", "héllo", "ქართული")} == {"cjk", "hangul", "greek", "arabic", "latin", "other"}
 
 
-def test_cut_runs():
-    text = "a " + "x" * 5000 + " b " + "y" * 100
-    parts = fertility._cut_runs(text)
-    assert "".join(parts) == text and max(map(len, parts)) <= fertility.LONGEST_RUN + 200
+def test_fertility_measures():
+    """Tokens, byte share, entropy and verdict against plain encoding and counting, long runs included."""
+    import random
+
+    gaps = [" ", "\n", "\t", "\u3000"]
+    rng = random.Random(5)
+    texts = ["word\n" * 1500, "x" * 7500, "a" + " " * 9000 + "b  c\n\n" + "\n" * 5000 + "d" + "\t" * 5000, " " * 5000 + "x", " " * 6000, "日本語 テキスト ▁ \x00 \x85 <s>", "".join(rng.choice(["ab", "é", "'s", "12", "#", *gaps]) for _ in range(500)) + "\u3000" * 4096 + "z"]
+    for name in fertility.VOCABULARIES.values():
+        with open(f"/opt/tokenizers/{name}", "rb") as f:
+            encoder, partial = fertility._encoder(f.read())
+        for text in texts:
+            ids = encoder.encode_ordinary(text)
+            count = Counter(ids)
+            n, chars, share, entropy = fertility.measures(encoder, partial, text)
+            whole = lambda i: encoder.decode_single_token_bytes(i).decode("utf-8", "ignore").encode() == encoder.decode_single_token_bytes(i)
+            assert fertility.tokens(encoder, text).tolist() == ids and n == len(ids) and math.isclose(chars, len(text) / n)
+            assert math.isclose(share, sum(not whole(i) for i in ids) / n) and math.isclose(entropy, -sum(c / n * math.log2(c / n) for c in count.values()), abs_tol=1e-12)
+        # A look-ahead over a million characters would outgrow the pattern's stack.
+        assert len(fertility.tokens(encoder, "\n" * 1_000_000 + "a")) > 1
+    band = fertility.Band(2.0, 6.0, 0.1, 4.0)
+    assert [fertility.verdict(band, *m) for m in ((1.9, 0, 5), (6.1, 0, 5), (3, 0.2, 5), (3, 0, 3), (2.0, 0.1, 4.0))] == ["few characters per token", "many characters per token", "byte fallback", "low entropy", ""]
 
 
 # -- shards
@@ -175,6 +211,46 @@ def test_shards(spark, odd, none, tmp_path):
     assert store.vacuum() == 0
 
 
+def test_shard_columns(spark):
+    """Columns of any name and kind come back as they went in."""
+    rows = spark.range(200).select("id", F.col("id").alias("_wave"), F.create_map(F.lit("k"), F.col("id")).alias("m"), F.array(F.struct(F.create_map(F.col("id"), F.lit("v")).alias("x"))).alias("deep"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("a`b"))
+    back = shards.sharded(rows, waves=3).read()
+    assert back.schema.names == rows.schema.names and sorted(map(repr, back.collect())) == sorted(map(repr, rows.collect()))
+
+
+def test_shard_versions(spark, tmp_path):
+    """Every version reads as what had come till then, whatever was merged since, until it expires."""
+    store = shards.Store(spark, str(tmp_path / "v"), target_bytes=1 << 20, least_bytes=1 << 10, fanout=2)
+    rows = spark.range(400)
+    store.commit(shards.Manifest(0, rows.schema.json(), ()))
+    seen, want = {0: 0}, 0
+    for k, folder in enumerate(shards.arrivals(rows, store, 20)):
+        now = store.append(folder, rows.schema)
+        want = store.read().count()
+        seen[now.version] = want
+        if k % 4 == 3 and (merged := store.merge()):
+            seen[merged.version] = want
+    assert want == 400 and len(store.versions()) > shards.WHOLE_EVERY and {v: store.read(v).count() for v in seen} == seen
+    kept = store.versions()[-3:]
+    assert store.expire(3) >= 0 and store.versions() == kept and all(store.read(v).count() == seen[v] for v in kept)
+    with pytest.raises(FileNotFoundError):
+        store.read(0)
+    assert store.compact() and store.read().count() == 400
+
+
+def test_op4(spark, sf):
+    """The query against the table and the files themselves."""
+    import pyarrow.parquet as pq
+
+    from evspark.llm.queries import op4_size_tiered_shards
+
+    rows = op4_size_tiered_shards(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert sorted((r["doc_id"], r["text_md5"], r["text_chars"]) for r in rows) == sorted((r["doc_id"], hashlib.md5((r["text"] or "").encode()).hexdigest(), len(r["text"])) for r in docs)
+    held = Counter(r["shard"] for r in rows)
+    assert all(held[r["shard"]] == r["shard_rows"] for r in rows) and len({r["version"] for r in rows}) == 1 and pq is not None
+
+
 def test_tiers(spark, tmp_path):
     store = shards.Store(spark, str(tmp_path), target_bytes=1000, least_bytes=10, fanout=3)
     runs = store.runs(tuple(shards.Shard(str(i), n, 1) for i, n in enumerate([5, 6, 7, 200, 210, 220, 900, 60])))
@@ -208,6 +284,54 @@ def test_flow():
     assert sum(given_.values()) == 66 and given_[("y",)] == 6
 
 
+def brute_flow(patterns, quotas, costs):
+    """Greatest flow and its least cost, by cheapest paths found edge by edge."""
+    edges = []
+    for p, size in patterns.items():
+        edges += [["S", p, size, c] for c in costs] + [[p, q, 10**9, 0] for q in p if q in quotas]
+    edges += [[q, "T", n, 0] for q, n in quotas.items()]
+    edges += [[b, a, 0, -c] for a, b, _, c in edges]
+    half, flow, cost = len(edges) // 2, 0, 0
+    while True:
+        best, via = {"S": 0}, {}
+        for _ in range(len(edges)):
+            new = False
+            for i, (a, b, n, c) in enumerate(edges):
+                if n and a in best and best[a] + c < best.get(b, 10**9):
+                    best[b], via[b], new = best[a] + c, i, True
+            if not new:
+                break
+        if "T" not in best:
+            return flow, cost
+        path, at = [], "T"
+        while at != "S":
+            path.append(via[at])
+            at = edges[via[at]][0]
+        n = min(edges[i][2] for i in path)
+        for i in path:
+            edges[i][2] -= n
+            edges[(i + half) % (2 * half)][2] += n
+        flow, cost = flow + n, cost + n * best["T"]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.sets(st.sampled_from("abcd"), min_size=1).map(lambda s: tuple(sorted(s))), st.integers(0, 20), min_size=1, max_size=6), st.dictionaries(st.sampled_from("abcd"), st.integers(0, 60), max_size=4))
+def test_flow_is_least(patterns, quotas):
+    got = mixing.min_cost_flow(patterns, quotas)
+    cost = sum(max(0, min(g - k * size, size)) * c for (p, size), g in zip(patterns.items(), got.values(), strict=True) for k, c in enumerate(mixing.REPEAT_COSTS))
+    assert got.keys() == patterns.keys() and all(0 <= got[p] <= 3 * n for p, n in patterns.items())
+    assert (sum(got.values()), cost) == brute_flow(patterns, quotas, mixing.REPEAT_COSTS)
+
+
+def test_flow_at_scale():
+    rng = np.random.default_rng(3)
+    chain = {(f"{i:05d}", f"{i + 1:05d}"): int(rng.integers(1, 1000)) for i in range(2000)}
+    assert sum(mixing.min_cost_flow(chain, {f"{i:05d}": 500 for i in range(2001)}).values()) > 0
+    patterns = {tuple(sorted({f"s{a}", f"s{b}", f"s{c}"})): int(a + b + c + 1) for a, b, c in rng.integers(0, 300, (20000, 3))}
+    quotas = {f"s{i}": sum(patterns.values()) // 200 for i in range(300)}
+    assert sum(mixing.min_cost_flow(patterns, quotas).values()) == sum(quotas.values())
+
+
 def test_mixing(spark, sf, odd, none):
     from evspark.llm.queries import op5_source_mixing
 
@@ -370,7 +494,7 @@ def turns_of(rows):
 
 def test_chat(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
-    rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "<|im_end|>\n<\\|im_end|> <<SYS>> <\\\\/s> \\n é́"), (-2, 0, "system", "only"), (-3, 0, "sys\ntem\\n", None), (-3, None, None, "t"), (-4, 0, "system", "rules"), (-5, 1, "assistant", "same"), (-5, 1, "assistant", "same")]
+    rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "<|im_end|>\n<\\|im_end|> <<SYS>> <\\\\/s> \\n é́"), (-2, 0, "system", "only"), (-3, 0, "sys\ntem\\n", None), (-3, None, None, "t"), (-4, 0, "system", "rules"), (-5, 1, "assistant", "same"), (-5, 1, "assistant", "same"), (-6, 0, "a\x00b\\n\\\n\\", "role"), (None, 0, "user", "of no conversation")]
     rows += [(-4, i, ("user", "assistant")[i % 2], f"word {i} " * (400 if i == 7 else 40)) for i in range(1, 120)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = chat.windows(df, budget=512, history=128)
@@ -385,12 +509,14 @@ def test_chat(spark, sf):
     assert got[-4]["n_windows"] > 10
     cut = out.filter("conv_id = -4").orderBy("window").collect()
     assert all(w["text"].startswith("<|im_start|>system\nrules") for w in cut) and max(w["repeated"] for w in cut) > 1
-    tokens = lambda t: len(re.findall(r"\w+|[^\w\s]", t))
+    tokens = lambda t: len(re.findall(r"\w{1,6}|[^\w\s]", t))
     for w in cut:
         parts = re.findall(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", w["text"], re.S)
         total = sum(tokens(x) + 4 for _, x in parts)
         assert total <= 512 or len(parts) == 2
     assert chat.windows(df.filter("false")).count() == 0
+    han = spark.createDataFrame([(1, 0, "user", "漢字" * 2000), (1, 1, "assistant", "かな" * 2000)], "conv_id long, turn long, role string, text string")
+    assert chat.windows(han).count() == 2
 
 
 # -- SentencePiece
@@ -434,6 +560,18 @@ def test_spm_column(spark, odd, none, encoder):
     assert list(whole[1]) == [len(encoder.encode("ab cd ")), 1, len(encoder.encode("x"))]
 
 
+def test_op9(spark, sf, encoder):
+    """The query's columns against its own encoder, text by text, and a plain round trip."""
+    from evspark.llm.queries import op9_sentencepiece
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in op9_sentencepiece(spark, sf).collect():
+        text = docs[r["doc_id"]]
+        ids = encoder.encode(text)
+        assert (r["n_ids"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest())
+        assert r["n_byte_ids"] == sum(i in encoder.pieces.byte_ids for i in ids) and r["round_trip"] and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 # -- HTML
 
 
@@ -447,7 +585,7 @@ def test_html():
     assert render(page).split("\n") == [
         "Head & er", "", "one two three", "", "four", "five", "", "- a", "- b", "  3. x", "  4. y", "- c", "", "cap", "", "Name       Qty", "apple pie  3", "wide", "fig        1", "",
         "           2", "", "after", "", " a", "   b", "", "t", "    d", "", "end x yz", "s",
-    ] or render(page).split("\n")[-3:] == ["", "end x yz", "s"]
+    ]
     assert "no" not in re.sub(r"\bno\w+", "", render(page)).split() and render("") == "" and render("a < b &lt; c") == "a < b < c"
 
 
@@ -456,6 +594,55 @@ def test_html_hostile():
         assert isinstance(render(page), str)
 
 
+def test_html_bounds():
+    """Wide, deep and spanning pages take time and give text of the order of their length."""
+    import time
+
+    for page in ("<table><tr>" + "<td>x" * 20_000, "<ul><li>a" * 20_000, "<tr><td colspan=1000 rowspan=60000>a".join(["<table>"] * 3000), "<table><tr>" + "<td rowspan=9000>a" * 1000 + "<tr><td>b" * 1000):
+        began = time.perf_counter()
+        assert len(render(page)) < 60 * len(page) and time.perf_counter() - began < 20
+
+
+def visible(page):
+    """Words of a page's text by the standard library's parser, for pages without foreign or broken markup."""
+    from html.parser import HTMLParser
+
+    unseen, void = {"head", "script", "style", "template", "title", "noscript", "iframe"}, {"br", "hr", "img", "input", "link", "meta", "wbr", "area", "base", "col", "embed", "source", "track"}
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.skip = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in void and (self.skip or tag in unseen or "hidden" in dict(attrs) or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", dict(attrs).get("style") or "")):
+                self.skip += 1
+
+        def handle_endtag(self, tag):
+            if self.skip and tag not in void:
+                self.skip -= 1
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.out.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return "".join(re.findall(r"\w", "".join(reader.out)))
+
+
+def test_op10(spark, sf):
+    """All letters of the pages' visible text, in some order, by a plainer parser: marks and numbers of lists aside."""
+    from evspark.llm.queries import op10_html_layout
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = op10_html_layout(spark, sf).collect()
+    letters = lambda t: Counter(re.findall(r"[^\W\d]", t or ""))
+    same = [letters(r["text"]) == letters(visible(pages[r["page_id"]])) for r in rows]
+    assert len(rows) == len(pages) and np.mean(same) > 0.95, np.mean(same)
+
+
 def test_html_quotes():
     assert render("<p title=x'>hello, it's here</p><p>more") == "hello, it's here\n\nmore"
     assert render('<p title=x">a "b" c</p>d') == 'a "b" c\n\nd' and render("<p 'hidden'>a</p 'x'>b") == "a\n\nb"
@@ -488,15 +675,114 @@ def test_join_groups(spark):
     assert sorted(r["v"] for r in join_groups(left, groups, "k", "n", 1000).collect()) == list(range(1000))
 
 
-def test_pipeline(spark, sf):
+def brute_classes(texts):
+    """The least id of each text's component of links between equal texts and those of similarity 0.8 or more."""
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by_shingle = defaultdict(set)
+    for i, t in texts.items():
+        w = words(t)
+        for k in range(max(1, len(w) - 4) if w else 0):
+            by_shingle[tuple(w[k : k + 5])].add(i)
+    pairs = {(a, b) for ids in by_shingle.values() for a in ids for b in ids if a < b}
+    same = defaultdict(list)
+    for i, t in texts.items():
+        same[t].append(i)
+    pairs |= {(ids[0], b) for ids in same.values() for b in ids[1:]}
+    for a, b in pairs:
+        if texts[a] == texts[b] or exact(texts[a], texts[b]) >= 0.8:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: find(i) for i in texts}
+
+
+def brute_quality(rows):
+    kept = set()
+    encoders = {}
+    for lang, name in fertility.VOCABULARIES.items():
+        with open(f"/opt/tokenizers/{name}", "rb") as f:
+            encoders[lang] = fertility._encoder(f.read())
+    for r in rows:
+        n, _, _, _, repeated = base(r["text"])
+        if n < 50 or 100 * repeated > 50 * n:
+            continue
+        encoder, partial = encoders.get(r["lang"]) or encoders[""]
+        ids = encoder.encode_ordinary(r["text"])
+        share = float(np.mean(partial[ids]))
+        p = np.array(list(Counter(ids).values())) / len(ids)
+        band = fertility.BANDS.get(r["lang"]) or fertility.BANDS.get(fertility.script_of(r["text"])) or fertility.BANDS[""]
+        if r["lang"] in fertility.BANDS and share > band.max_byte_share and fertility.mixed(encoder, partial, band, r["text"]):
+            band = fertility.BANDS["mixed"]
+        chars, entropy = len(r["text"]) / len(ids), -(p * np.log2(p)).sum()
+        if band.min_chars_per_token <= chars <= band.max_chars_per_token and share <= band.max_byte_share and entropy >= band.min_entropy:
+            kept.add(r["doc_id"])
+    return kept
+
+
+def test_pipeline(spark, sf, encoder):
+    """Each stage on what the one before it kept, against brute force."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
     one = corpus_pipeline.quality(spark, docs, sf)
-    assert one.columns == docs.columns
+    kept = brute_quality(rows.values())
+    assert one.columns == docs.columns and sorted(r["doc_id"] for r in one.collect()) == sorted(kept)
     two = corpus_pipeline.near_duplicates(spark, one, sf)
+    classes = brute_classes({i: rows[i]["text"] for i in kept})
+    firsts = set(classes.values())
+    assert sorted(r["doc_id"] for r in two.collect()) == sorted(firsts)
     three = corpus_pipeline.mix(spark, two, sf)
     assert two.columns == three.columns == docs.columns
-    out = corpus_pipeline.run(spark, sf)
-    assert out.count() == three.count() and {len(words(r["text"])) >= 50 for r in three.collect()} == {True}
-    assert [n for n, _ in corpus_pipeline.STAGES] and "ids" in out.columns
+    used = Counter(r["doc_id"] for r in three.collect())
+    size = {i: len(words(rows[i]["text"])) for i in firsts}
+    sources = sorted({rows[i]["source"] for i in firsts})
+    totals = [sum(size[i] for i in firsts if rows[i]["source"] == s) for s in sources]
+    for s, want in zip(sources, brute_targets(totals, [1 + k % 3 for k in range(len(sources))], sum(totals)), strict=True):
+        own = [i for i in firsts if rows[i]["source"] == s]
+        # Near the target to the size of a document, and none is repeated where another has not come as often but once.
+        assert abs(sum(used[i] * size[i] for i in own) - want) <= max(size[i] for i in own) and max(used[i] for i in own) - min(used[i] for i in own) <= 1
+    assert used.keys() <= firsts and max(used.values()) <= 3
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert Counter(r["doc_id"] for r in out) == used
+    assert all(spm.decode(encoder.pieces, r["ids"]) == rows[r["doc_id"]]["text"] for r in out)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "mixing sources", "sentencepiece"]
+
+
+def test_pipeline_odd(spark, odd, none):
+    """Every stage takes nulls, empty and long texts, repeated rows, clashing columns and empty tables."""
+    import corpus_pipeline
+
+    for docs in (odd, none.withColumn("times", F.lit(1))):
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "")
+            assert out.count() <= 3 * max(1, docs.count()) and set(docs.columns) - {"text"} <= set(out.columns)
+
+
+@pytest.mark.parametrize("pretest", [True, False])
+def test_recall_by_similarity(spark, pretest):
+    """Of the pairs of each band of similarity from 0.8 on, all are in one class, with the test by signatures or without."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows = []
+    for g in range(60):
+        text = list(rng.choice(vocabulary, 300))
+        rows.append((10 * g, " ".join(text)))
+        for k, edits in enumerate((1, 3, 5, 6, 7, 12)):
+            copy = list(text)
+            for i in range(edits):
+                copy[i * 300 // edits] = f"e{g}.{k}.{i}"
+            rows.append((10 * g + 1 + k, " ".join(copy)))
+    texts = dict(rows)
+    got = {r["doc_id"]: r["class_id"] for r in dart.classes(spark.createDataFrame(rows, "doc_id long, text string"), pretest=pretest).collect()}
+    bands = defaultdict(list)
+    for a, _ in rows:
+        for b in range(a + 1, a - a % 10 + 7):
+            if (s := exact(texts[a], texts[b])) >= 0.8:
+                bands[int(s * 20)].append(got[a] == got[b])
+    assert len(bands) >= 4 and all(np.mean(x) == 1.0 for x in bands.values()) and got == brute_classes(texts)
