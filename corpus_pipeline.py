@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what a stage returns in
 the shared folder and reads it again as the next one's docs.
+
+Defined cases, of which the modules of the stages say more. A null, empty or short text fails the quality rules, so
+later stages meet none in run(); alone they take them. Rows alike in all columns are copies, of which one stays. A row
+without a doc_id stays if no other row has its text; a null source is a source of its own. Other columns go through
+unchanged, whatever their names, but that a column `ids` gives way in the last stage. An empty table gives an empty
+one. A column text, doc_id, lang or source that is missing is an error.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("mixing sources", mix), ("sentencepiece", tokenise)]
 
 #: No stage but the first part of the rules can be put in SQL: vocabularies, signatures and flows
-#: can't. The stages are tested against brute-force versions.
+#: can't. tests/llm tests every stage and run() against brute-force versions.
 ORACLE_SQL = None
 
 
