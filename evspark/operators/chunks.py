@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 
 
 def cut(rows: DataFrame, key: list[str], text: str, size: int, per_segment: int) -> DataFrame:
-    """The chunks of a text or binary column: chunk_no, segment, place in it, data and true length."""
-    n = F.ceil(F.length(text) / size).cast("int")
-    numbered = rows.select(*key, text, F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("chunk_no"))
-    data = F.substring(F.col(text), F.col("chunk_no") * size + 1, F.lit(size))
-    out = numbered.select(*key, "chunk_no", F.floor(F.col("chunk_no") / per_segment).cast("int").alias("segment"), (F.col("chunk_no") % per_segment).alias("place"), data.alias("data"))
-    return out.withColumn("length", F.length("data"))
+    """The chunks of a column's bytes (UTF-8 of a text): chunk_no, segment, place in it, data and true length.
+
+    A row is cut before it is dealt out, so that a chunk's row holds the chunk alone and time grows with length."""
+    data = F.col(text).cast("binary")
+    n = F.ceil(F.octet_length(data) / size).cast("int")
+    pieces = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(data, i * size + 1, F.lit(size))))
+    cut_up = rows.select(*key, F.posexplode(pieces).alias("chunk_no", "data"))
+    return cut_up.select(*key, "chunk_no", F.floor(F.col("chunk_no") / per_segment).cast("int").alias("segment"), (F.col("chunk_no") % per_segment).alias("place"), "data", F.octet_length("data").alias("length"))
+
+
+def content(data: str, pad: int) -> Column:
+    """The digest of a chunk's bytes, padded with zeros to the chunk size."""
+    return F.sha2(F.concat(F.col(data), F.unhex(F.repeat(F.lit("00"), F.greatest(F.lit(pad) - F.octet_length(data), F.lit(0))))), 256)
 
 
 def segments(text_length: Column, chunk: int, per_segment: int) -> Column:
@@ -25,16 +32,14 @@ def segments(text_length: Column, chunk: int, per_segment: int) -> Column:
 
 def dedupe(chunks: DataFrame, order: list[str], pad: int) -> DataFrame:
     """A row for each distinct content (padded to the chunk size): its digest, first place and uses."""
-    padded = F.rpad("data", pad, "\u0000")
     at = F.struct(*order)
-    return chunks.withColumn("content", F.sha2(padded.cast("binary"), 256)).groupBy("content").agg(F.min(at).alias("first_at"), F.count("*").alias("uses"), F.sum("length").alias("presented"))
+    return chunks.withColumn("content", content("data", pad)).groupBy("content").agg(F.min(at).alias("first_at"), F.count("*").alias("uses"), F.sum("length").alias("presented"))
 
 
 def slice_map(chunks: DataFrame, key: list[str], pad: int) -> DataFrame:
     """Each chunk as an entry of its stream's map: offset, length, and the target's number within the
     stream, by first use."""
-    content = F.sha2(F.rpad("data", pad, "\u0000").cast("binary"), 256)
-    rows = chunks.withColumn("content", content)
+    rows = chunks.withColumn("content", content("data", pad))
     first = F.min("chunk_no").over(Window.partitionBy(*key, "content"))
     rows = rows.withColumn("first_use", first)
     local = F.dense_rank().over(Window.partitionBy(*key).orderBy("first_use")) - 1
@@ -47,9 +52,9 @@ def in_order(value: Column, *order: str) -> Column:
 
 
 def block_digests(chunks: DataFrame, key: list[str]) -> DataFrame:
-    """By stream, the digest of its chunks' digests in order."""
+    """By stream, the digest of the bytes of its chunks' digests in order."""
     each = chunks.withColumn("d", F.sha2(F.col("data").cast("binary"), 256))
-    return each.groupBy(*key).agg(F.count("*").alias("blocks"), F.sha2(in_order(F.col("d"), "chunk_no").cast("binary"), 256).alias("block_hashes_hash"))
+    return each.groupBy(*key).agg(F.count("*").alias("blocks"), F.sha2(F.unhex(in_order(F.col("d"), "chunk_no")), 256).alias("block_hashes_hash"))
 
 
 def first_difference(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

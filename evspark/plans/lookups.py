@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from evspark.operators import intervals as I
 from evspark.operators import triples as T
 from evspark.session import table
 
@@ -38,7 +38,7 @@ def entry_targets(spark, sf_dir):
     lines = table(spark, sf_dir, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).otherwise("").alias("line")))).alias("l"))
     targets = lines.select(F.posexplode(F.filter(F.transform("l", lambda x: F.trim(x["line"])), lambda x: x != "")).alias("target_id", "target"))
     entries = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 25).alias("target_id"))
-    return entries.join(F.broadcast(targets), "target_id", "left").groupBy(F.when(F.col("target").isNull(), "malformed").otherwise("stored").alias("outcome"), "target").agg(F.count("*").alias("entries"))
+    return entries.join(targets, "target_id", "left").groupBy(F.when(F.col("target").isNull(), "malformed").otherwise("stored").alias("outcome"), "target").agg(F.count("*").alias("entries"))
 
 
 @query("SELECT n_name, r_name, count(*) AS orders FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2")
@@ -85,8 +85,7 @@ def strided_sample(spark, sf_dir):
 def first_appearance(spark, sf_dir):
     """Subjects in the order in which they first appear."""
     g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("first_event"), F.min_by("event_type", "event_id").alias("first_type"))
-    # A place among all subjects is asked for: one ordered task over a row for each of them.
-    return g.withColumn("place", F.row_number().over(Window.orderBy("first_event")).cast("long"))
+    return I.places(g, [F.col("first_event")])
 
 
 @query("SELECT source, CASE WHEN count(*) FILTER (lang = 'en') = 1 THEN 'en' WHEN count(*) FILTER (lang = 'en') = 0 AND count(*) FILTER (lang = 'de') > 0 THEN 'de' WHEN count(*) FILTER (lang = 'en') > 1 THEN 'ambiguous' ELSE 'none' END AS choice FROM documents GROUP BY 1")

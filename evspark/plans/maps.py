@@ -120,9 +120,10 @@ def shared_pack_offsets(spark, sf_dir):
     return I.running_offset(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"], "n_chars")
 
 
-# -- chunks of 64 characters, 8 to a segment
+# -- chunks of 64 bytes, 8 to a segment
 
-CHUNKS = "n AS (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 64.0) AS BIGINT))) AS chunk_no FROM documents), c AS (SELECT doc_id, chunk_no, text[chunk_no * 64 + 1 : chunk_no * 64 + 64] AS data FROM n), p AS (SELECT *, length(data) AS length, sha256(rpad(data, 64, chr(0))) AS content FROM c)"
+#: A blob's slice is taken from its hex digits, which DuckDB cuts by place.
+CHUNKS = "h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), n AS (SELECT doc_id, h, unnest(range(0, CAST(ceil(length(h) / 128.0) AS BIGINT))) AS chunk_no FROM h), c AS (SELECT doc_id, chunk_no, h[chunk_no * 128 + 1 : chunk_no * 128 + 128] AS x FROM n), p AS (SELECT doc_id, chunk_no, unhex(x) AS data, length(x) // 2 AS length, sha256(unhex(rpad(x, 128, '0'))) AS content FROM c)"
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,15 +152,14 @@ def slice_map(spark, sf_dir):
     return C.slice_map(_chunks(spark, sf_dir), ["doc_id"], 64).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "offset", F.col("length").cast("long").alias("length"), F.col("local_id").cast("long").alias("local_id"))
 
 
-@query(f"WITH {CHUNKS} SELECT doc_id, count(*) AS blocks, sha256(string_agg(sha256(data), '' ORDER BY chunk_no)) AS block_hashes_hash FROM p GROUP BY 1")
+@query(f"WITH {CHUNKS} SELECT doc_id, count(*) AS blocks, sha256(unhex(string_agg(sha256(data), '' ORDER BY chunk_no))) AS block_hashes_hash FROM p GROUP BY 1")
 def block_digests(spark, sf_dir):
     return C.block_digests(_chunks(spark, sf_dir), ["doc_id"])
 
 
 @query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, octet_length(encode(text)) AS bytes FROM documents")
 def multi_digest(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir).select("doc_id", "chunk_no", F.col("data").cast("binary").alias("data"))
-    out = C.stream_digests(chunks, "doc_id", "data", "chunk_no", ["md5", "sha1", "sha256"])
+    out = C.stream_digests(_chunks(spark, sf_dir).select("doc_id", "chunk_no", "data"), "doc_id", "data", "chunk_no", ["md5", "sha1", "sha256"])
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "md5", "sha1", "sha256", "bytes")
 
 
@@ -185,7 +185,10 @@ def first_difference(spark, sf_dir):
     return C.first_difference(c.filter("doc_id % 2 = 0"), c.filter("doc_id % 2 = 1"), ["pair"])
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+    w AS (SELECT source, n, n_chars, CAST(0 AS BIGINT) AS part, CAST(n_chars AS BIGINT) AS used FROM d WHERE n = 1
+      UNION ALL SELECT d.source, d.n, d.n_chars, w.part + CASE WHEN w.used >= 20000 THEN 1 ELSE 0 END, d.n_chars + CASE WHEN w.used >= 20000 THEN 0 ELSE w.used END FROM w JOIN d ON d.source = w.source AND d.n = w.n + 1)
+    SELECT source, part, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM w GROUP BY 1, 2""")
 def split_by_size(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
     return C.split_by_size(rows, "source", "doc_id", "n_chars", 20000).groupBy("source", "part").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evspark.functions import raw
 from evspark.functions import scalars as S
+from evspark.operators import intervals as I
 from evspark.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -123,11 +124,8 @@ def part_numbers(spark, sf_dir):
     k AS (SELECT *, array_to_string(list_transform(regexp_extract_all(name, '([0-9]+|[^0-9])'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '0' || lpad(regexp_replace(x, '^0+', ''), 40, '0') || lpad(length(x)::VARCHAR, 4, '0') ELSE x END), '') AS key FROM n)
     SELECT c_custkey, name, row_number() OVER (ORDER BY key COLLATE "C", c_custkey) AS place FROM k""".replace(' COLLATE "C"', ""))
 def natural_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
     n = _part_names(spark, sf_dir).withColumn("name", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("part_"), F.col("c_custkey").cast("string"))).otherwise(F.col("name")))
-    # A place in all rows is asked for, so the last step is one ordered task over names alone.
-    return n.select("c_custkey", "name", F.row_number().over(Window.orderBy(S.natural_key(F.col("name")), "c_custkey")).cast("long").alias("place"))
+    return I.places(n, [S.natural_key(F.col("name")), F.col("c_custkey")]).select("c_custkey", "name", "place")
 
 
 _PATHS = "SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'C:\\Users\\x' || page_id || '. ' WHEN 2 THEN '/a/../b/./nul.txt' WHEN 3 THEN '../..' WHEN 4 THEN 'dir/com1/' || page_id || '?' ELSE ' . /x ' END AS p FROM pages"

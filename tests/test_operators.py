@@ -125,3 +125,66 @@ def test_codecs(data, codec):
 def test_bad_chunks(codec):
     with pytest.raises((ValueError, OSError, IndexError, Exception)):
         raw.decode_chunk(codec, b"\x07bad", 4096)
+
+
+def test_order_in_two_levels(spark):
+    """Gaps, sums, islands and places over one hot key and many small ones, dealt over many ranges, as by plain loops."""
+    import random
+
+    from evspark.operators import intervals as I
+
+    rng = random.Random(4)
+    rows = [("hot" if i % 3 else f"k{i % 50}" if i % 7 else None, i, rng.randrange(100_000), rng.randrange(1, 200)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, i long, offset long, length long")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        gaps = {r["i"]: (r["gap"], r["overlap"]) for r in I.with_gaps(df, ["k"], ["i"]).collect()}
+        sums = {r["i"]: r["at"] for r in I.running_offset(df, ["k"], ["i"], "length").collect()}
+        islands = sorted(((r["k"] or "", r["island_start"], r["island_length"], r["extents"]) for r in I.islands(df, ["k"], ["i"]).collect()))
+        places = {r["i"]: r["place"] for r in I.places(df, [F.col("offset"), F.col("i")]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    by_key = {}
+    for r in sorted(rows, key=lambda r: (r[2], r[1])):
+        by_key.setdefault(r[0], []).append(r)
+    merged = []
+    for k, own in by_key.items():
+        end, total, now = None, 0, None
+        for _, i, offset, length in own:
+            lead = offset if end is None else offset - end
+            assert gaps[i] == (max(lead, 0), max(-lead, 0))
+            if end is None or offset > end:
+                now = [k or "", offset, offset, 0]
+                merged.append(now)
+            end = max(end or 0, offset + length)
+            now[2], now[3] = max(now[2], offset + length), now[3] + 1
+        for _, i, _, length in sorted(own, key=lambda r: r[1]):
+            assert sums[i] == total
+            total += length
+    assert islands == sorted((k, a, b - a, n) for k, a, b, n in merged)
+    assert places == {r[1]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[2], r[1])), 1)}
+
+
+def test_long_entries(spark):
+    """An entry of a terabyte takes as many rows as a small one."""
+    from evspark.operators import intervals as I
+
+    entries = spark.createDataFrame([(0, 0, 100, 1), (0, 100, 1 << 40, 2), (0, (1 << 40) + 100, 10, 3), (0, (1 << 41), 0, 4)], "m int, offset long, length long, id int")
+    points = spark.createDataFrame([(0, p) for p in (0, 99, 100, 12345, 1 << 39, (1 << 40) + 99, (1 << 40) + 105, (1 << 40) + 110)], "m int, p long")
+    found = {r["p"]: r["id"] for r in I.point_lookup(points, entries, ["m"], "p", 4096).collect()}
+    assert found == {0: 1, 99: 1, 100: 2, 12345: 2, 1 << 39: 2, (1 << 40) + 99: 2, (1 << 40) + 105: 3, (1 << 40) + 110: None}
+    assert I._levels(entries, 4096).count() <= 6
+    ranges = spark.createDataFrame([(0, 7, 90, 110), (0, 8, 1 << 39, (1 << 39) + 5), (0, 9, 50, 50)], "m int, r int, start long, stop long")
+    clipped = sorted((r["r"], r["id"], r["clip_start"], r["clip_length"], r["into"]) for r in I.range_clip(ranges, entries, ["m"], 4096).collect())
+    assert clipped == [(7, 1, 90, 10, 90), (7, 2, 100, 10, 0), (8, 2, 1 << 39, 5, (1 << 39) - 100)]
+
+
+def test_long_text_is_cut_in_linear_time(spark):
+    import time
+
+    from evspark.operators import chunks as C
+
+    text = spark.createDataFrame([(1, "é" * 4_000_000)], "id int, text string")
+    began = time.perf_counter()
+    n, size = C.cut(text, ["id"], "text", 64, 8).agg(F.count("*"), F.sum("length")).head()
+    assert (n, size) == (125_000, 8_000_000) and time.perf_counter() - began < 30

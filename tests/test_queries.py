@@ -46,4 +46,4 @@ def test_whole_reach(spark, sf, duck):
     depth, front = {"n1": 0}, ["n1"]
     while front:
         front = [b for a in front for b in edges[a] if b not in depth and not depth.update({b: depth[a] + 1})]
-    assert {r["node"]: r["depth"] for r in queries()["bfs_reach_whole"](spark, sf).collect()} == depth
+    assert {r["node"]: r["depth"] for r in queries()["bfs_reach"](spark, sf).collect()} == depth
