@@ -14,6 +14,10 @@ OPENABLE = ("DiskImage", "DiscontiguousImage", "ContiguousImage")
 MOST_READ = 256 << 20
 
 
+class UnknownRegion(ValueError):
+    """A read that begins where the image's content isn't known."""
+
+
 class Image:
     """The one image of the most specific role, or the one named."""
 
@@ -33,8 +37,9 @@ class Image:
         self._properties = {p["name"]: p["value"] for p in reversed(row["properties"])}
         self.map = self._properties.get("dataStream", self.arn)
 
-    def read(self, offset: int, length: int) -> bytes:
-        """The bytes of [offset, offset + length), fewer at the end of the image."""
+    def read(self, offset: int, length: int, unknown: str = "fill") -> bytes:
+        """The bytes of [offset, offset + length), fewer at the end of the image. Of regions whose content is unknown
+        "fill" gives the placeholder; "report" stops before one, and raises UnknownRegion at the start of one."""
         stop = min(offset + length, self.size)
         if offset < 0 or length < 0 or length > MOST_READ:
             raise ValueError(f"{length} bytes at {offset}")
@@ -43,6 +48,10 @@ class Image:
         rows = P.read_image(self.spark, self.paths, self.map, offset, stop).orderBy("at").collect()
         out, at = [], offset
         for r in rows:
+            if unknown == "report" and r["kind"] == "unknown":
+                if at == offset:
+                    raise UnknownRegion(f"{r['length']} bytes at {at} are unknown")
+                return b"".join(out)
             if r["at"] != at or r["data"] is None:
                 raise ValueError(f"no bytes at {at}")
             out.append(bytes(r["data"]))

@@ -7,15 +7,20 @@ last and only for what a digest is recorded of.
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evspark.functions import scalars as S
+from evspark.functions.raw import decode_chunk
 from evspark.operators import chunks as C
 from evspark.operators import findings as D
 from evspark.operators import intervals as I
 from evspark.operators import triples as T
+from evspark.session import written
 from evspark.sources import container as K
 from evspark.sources.turtle import RDF_TYPE
 
@@ -42,55 +47,164 @@ def info(spark: SparkSession, paths: list[str]) -> DataFrame:
     hashed = (F.col("obj_kind") == "literal") & F.lower(S.local_name(F.col("obj_datatype"))).isin(*[k.replace("-", "") for k in S.DIGEST_DIGITS])
     types = F.transform(F.array_sort(F.collect_list(F.when(F.col("predicate") == RDF_TYPE, F.struct("seq", "obj_lexical")))), lambda x: x["obj_lexical"])
     size = F.max(F.when(name == "size", F.struct("seq", T.as_whole_number(F.col("obj_lexical"), S.local_name(F.col("obj_datatype"))).alias("v"))))
-    digest = F.struct("seq", F.lower(S.local_name(F.col("obj_datatype"))).alias("algorithm"), F.col("obj_lexical").alias("digest"))
+    digest = F.struct("seq", name.alias("property"), F.lower(S.local_name(F.col("obj_datatype"))).alias("algorithm"), F.col("obj_lexical").alias("digest"))
     prop = F.struct("seq", name.alias("name"), F.col("obj_lexical").alias("value"))
     known = (F.col("predicate") == RDF_TYPE) | name.isin("size", "stored", "contains") | hashed
     out = s.groupBy("container", "subject").agg(
         F.min("seq").alias("first_seq"), types.alias("types"), size["v"].alias("size"),
         F.array_sort(F.collect_list(F.when(hashed, digest))).alias("digests"),
         F.array_sort(F.collect_list(F.when(~known, prop))).alias("properties"),
-        F.max(F.when(name == "stored", F.col("obj_lexical"))).alias("stored"),
+        F.array_distinct(F.collect_list(F.when(name == "stored", F.col("obj_lexical")))).alias("stored"),
     )
+    # Of several places that an object is said to be stored in, none counts.
+    out = out.withColumn("stored", F.when(F.size("stored") == 1, F.get("stored", F.lit(0))))
     return out.withColumn("role", role(F.col("types")))
 
 
 def recorded_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
     o = info(spark, paths)
-    return o.select("container", "subject", "role", "stored", F.explode("digests").alias("d")).select("container", "subject", "role", "stored", "d.algorithm", F.col("d.digest").alias("expected"))
+    return o.select("container", "subject", "role", "stored", F.explode("digests").alias("d")).select("container", "subject", "role", "stored", "d.property", "d.algorithm", F.col("d.digest").alias("expected"))
+
+
+# -- streams
+
+
+def streams(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """size, chunk_size, per_segment and codec of each stream, by the first volume that states them in whole."""
+    s, name = statements(spark, paths), S.local_name(F.col("predicate"))
+    number = lambda n: F.first(F.when(name == n, F.col("obj_lexical").try_cast("long")), ignorenulls=True)
+    codecs = F.create_map(*[x for iri, c in K.CODEC_IRIS.items() for x in (F.lit(iri), F.lit(c))])
+    iri = F.first(F.when(name == "compressionMethod", F.col("obj_lexical")), ignorenulls=True)
+    rows = s.groupBy("container", F.col("subject").alias("stream")).agg(number("size").alias("size"), number("chunkSize").alias("chunk_size"), number("chunksInSegment").alias("per_segment"), iri.alias("iri"))
+    rows = rows.filter("size >= 0 and chunk_size > 0 and per_segment > 0")
+    rows = rows.withColumn("codec", F.when(F.col("iri").isNull(), "stored").otherwise(F.coalesce(F.try_element_at(codecs, F.col("iri")), F.lit("unsupported"))))
+    first = F.min_by(F.struct("size", "chunk_size", "per_segment", "codec"), _place_of(paths))
+    return rows.groupBy("stream").agg(first.alias("x")).select("stream", "x.*")
+
+
+def _place_of(paths: list[str]) -> Column:
+    """A container's place in the list of paths."""
+    return F.array_position(F.array(*[F.lit(p) for p in paths]), F.col("container"))
+
+
+def chunks(spark: SparkSession, paths: list[str], only: list | None = None) -> DataFrame:
+    """container, stream, chunk_no and the decoded data of chunks; null for one that can't be decoded, or that is
+    shorter than the chunk size before its stream's end. Metadata is read once, and joined to chunks as stored."""
+    rows = K.read(spark, paths, "stored_chunks", only=only).join(streams(spark, paths), "stream")
+    number = F.col("bevy") * F.col("per_segment") + F.col("place")
+    rows = rows.select("container", "stream", number.alias("chunk_no"), "data", "codec", "chunk_size", (F.col("size") - number * F.col("chunk_size")).alias("left"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for data, codec, size, left in zip(*(batch.column(c).to_pylist() for c in ("data", "codec", "chunk_size", "left")), strict=True):
+                try:
+                    piece = None if data is None else decode_chunk(codec, data, size)
+                except (ValueError, OSError, IndexError, zlib.error):
+                    piece = None
+                out.append(None if piece is None or len(piece) < min(size, left) else piece[: max(0, left)])
+            yield pa.RecordBatch.from_arrays([batch.column("container"), batch.column("stream"), batch.column("chunk_no"), pa.array(out, pa.binary())], names=["container", "stream", "chunk_no", "data"])
+
+    return rows.mapInArrow(work, "container string, stream string, chunk_no long, data binary")
+
+
+# -- verification
+
+#: What a recorded digest's property says that it is over, where that isn't the resource's bytes. Fixed values.
+MAP_PARTS = {"mapPointHash": ("map",), "mapIdxHash": ("idx",), "mapPathHash": ("mapPath",), "mapHash": ("map", "idx", "mapPath")}
+#: The order of block hashes' algorithms in blockMapHash. Fixed values.
+BLOCK_ORDER = ("md5", "sha1", "sha256", "sha512", "blake2b")
+_PLAIN = {a.replace("_", "").replace("-", ""): a for a in C.ALGORITHMS}
+_KEY = ["container", "subject", "property"]
 
 
 def verify(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A check for each recorded digest of a file member or stream: container, subject, role, algorithm,
-    expected, actual, outcome. One pass over a stream's chunks makes all of its digests."""
+    """A check for each recorded digest: container, subject, role, property, algorithm, expected, actual, outcome.
+
+    Streams and file members by their bytes, maps by their parts, block hashes by their segments in order, and
+    blockMapHash by the digests of those. One pass over a resource's bytes makes all of its digests; bytes of what
+    nobody recorded a digest of, and bevies that aren't a stream's, are never read."""
     recorded = recorded_digests(spark, paths).withColumn("algorithm", F.lower("algorithm"))
-    names = {a.replace("_", "").replace("-", ""): a for a in C.ALGORITHMS}
-    # The streams and the members that someone has recorded a digest of.
-    streams = recorded.filter("role = 'ImageStream'").select("container", F.col("subject").alias("stream")).distinct()
-    chunks = K.read(spark, paths, "chunks").join(streams, ["container", "stream"], "left_semi")
-    keyed = chunks.select(F.concat_ws("\n", "container", "stream").alias("k"), "chunk_no", "data")
-    whole = recorded.filter("role <> 'ImageStream'").select("container", "subject", "stored").distinct()
+    rows = _stream_bytes(spark, paths, recorded).unionByName(_member_bytes(spark, paths, recorded))
+    made = C.stream_digests(rows.withColumn("k", F.concat_ws("\n", *_KEY)), "k", "data", "chunk_no", list(_PLAIN.values()))
+    pairs = F.array(*[F.struct(F.lit(plain).alias("algorithm"), F.col(a).alias("actual")) for plain, a in _PLAIN.items()])
+    part = lambda i: F.get(F.split("k", "\n"), F.lit(i))
+    computed = made.select(*[part(i).alias(c) for i, c in enumerate(_KEY)], F.explode(pairs).alias("p")).select(*_KEY, "p.algorithm", "p.actual")
+    computed = computed.unionByName(_block_map_hashes(spark, paths, recorded))
+    return D.compare_digests(recorded.drop("stored"), computed, [*_KEY, "algorithm"])
+
+
+def _stream_bytes(spark: SparkSession, paths: list[str], recorded: DataFrame) -> DataFrame:
+    wanted = recorded.filter("role = 'ImageStream' and property = 'hash'").select("container", F.col("subject").alias("stream")).distinct()
+    # Another volume of the set may hold a stream that this one describes; a stream that lacks a chunk has no digest.
+    rows = chunks(spark, paths).drop("container").join(wanted, "stream")
+    short = rows.groupBy("container", "stream").agg(F.count_distinct("chunk_no").alias("n"), F.bool_or(F.col("data").isNull()).alias("bad")).join(streams(spark, paths), "stream")
+    whole = short.filter(~F.col("bad") & (F.col("n") == F.ceil(F.col("size") / F.col("chunk_size")))).select("container", "stream")
+    return rows.join(whole, ["container", "stream"], "left_semi").select("container", F.col("stream").alias("subject"), F.lit("hash").alias("property"), "chunk_no", "data")
+
+
+def _member_bytes(spark: SparkSession, paths: list[str], recorded: DataFrame) -> DataFrame:
+    none = F.lit(0).cast("long")
     inner = F.when(F.startswith(F.col("subject"), F.concat("stored", F.lit("/"))), F.replace(F.substring(F.col("subject"), F.length("stored") + 2, F.length("subject")), F.lit("%20"), F.lit(" ")))
-    members = K.read(spark, paths, "members").join(whole.withColumn("name", inner), ["container", "name"])
-    keyed = keyed.unionByName(members.select(F.concat_ws("\n", "container", "subject").alias("k"), F.lit(0).cast("long").alias("chunk_no"), "data"))
-    made = C.stream_digests(keyed, "k", "data", "chunk_no", list(names.values()))
-    pairs = F.array(*[F.struct(F.lit(plain).alias("algorithm"), F.col(a).alias("actual")) for plain, a in names.items()])
-    computed = made.select(F.split("k", "\n").alias("k"), F.explode(pairs).alias("p")).select(F.get("k", F.lit(0)).alias("container"), F.get("k", F.lit(1)).alias("subject"), "p.algorithm", "p.actual")
-    return D.compare_digests(recorded.drop("stored"), computed, ["container", "subject", "algorithm"])
+    files = recorded.filter(~F.col("role").isin("ImageStream", "Map", "BlockHashes")).select("container", "subject", inner.alias("name")).distinct()
+    out = K.read(spark, paths, "members", kinds="file").join(files, ["container", "name"]).select("container", "subject", F.lit("hash").alias("property"), none.alias("chunk_no"), "data")
+    structures = K.read(spark, paths, "members", kinds="map_structure")
+    tail = F.element_at(F.split("name", "/"), -1)
+    for prop, parts in MAP_PARTS.items():
+        place = F.array_position(F.array(*[F.lit(x) for x in parts]), tail)
+        wanted = recorded.filter(F.col("property") == prop).select("container", F.col("subject").alias("owner")).distinct()
+        out = out.unionByName(structures.filter(tail.isin(*parts)).join(wanted, ["container", "owner"]).select("container", F.col("owner").alias("subject"), F.lit(prop).alias("property"), place.cast("long").alias("chunk_no"), "data"))
+    objects = recorded.filter("role = 'BlockHashes'").select("container", "subject", "property").distinct()
+    objects = objects.select("container", "subject", "property", F.regexp_extract("subject", r"^(.*)/blockhash\.\w+$", 1).alias("owner"), F.lower(F.regexp_extract("subject", r"\.(\w+)$", 1)).alias("suffix"))
+    return out.unionByName(_block_segments(spark, paths).join(objects, ["container", "owner", "suffix"]).select("container", "subject", "property", F.col("bevy").alias("chunk_no"), "data"))
+
+
+def _block_segments(spark: SparkSession, paths: list[str]) -> DataFrame:
+    name = r"(\d{8})\.blockHash\.(\w+)$"
+    return K.read(spark, paths, "members", kinds="block_hash").select("container", "owner", F.lower(F.regexp_extract("name", name, 2)).alias("suffix"), F.regexp_extract("name", name, 1).cast("long").alias("bevy"), "data")
+
+
+def _block_map_hashes(spark: SparkSession, paths: list[str], recorded: DataFrame) -> DataFrame:
+    """blockMapHash of maps, and of images by their map: a digest over the digests of the block hashes of the streams
+    that the volume holds, in the order of the map's targets and of BLOCK_ORDER, and of the three parts of the map."""
+    algorithms = [a for a in ("sha512", "sha256") if a in C.ALGORITHMS]
+    own = recorded.filter("property = 'blockMapHash'")
+    streams_of = statements(spark, paths).filter(S.local_name(F.col("predicate")) == "dataStream").select("container", "subject", F.col("obj_lexical").alias("map"))
+    maps = own.join(streams_of, ["container", "subject"], "left").select("container", "subject", F.coalesce("map", "subject").alias("map")).distinct()
+    held = K.read(spark, paths, "chunk_index").select("container", F.col("stream").alias("target")).distinct()
+    targets = K.read(spark, paths, "map_targets").filter("kind = 'stored'").join(held, ["container", "target"]).join(maps.select("container", "map").distinct(), ["container", "map"])
+    place = F.array_position(F.array(*[F.lit(a) for a in BLOCK_ORDER]), F.col("suffix"))
+    blocks = _block_segments(spark, paths).withColumn("o", place).filter("o > 0").join(targets.select("container", F.col("target").alias("owner"), "map", "target_id"), ["container", "owner"])
+    blocks = blocks.select("container", "map", (F.col("target_id") * 8 + F.col("o")).alias("ord"), F.col("bevy").alias("chunk_no"), "data")
+    tail = F.element_at(F.split("name", "/"), -1)
+    parts = K.read(spark, paths, "members", kinds="map_structure").withColumn("map", F.col("owner")).join(maps.select("container", "map").distinct(), ["container", "map"])
+    parts = parts.select("container", "map", (F.lit(1 << 40) + F.array_position(F.array(F.lit("map"), F.lit("idx"), F.lit("mapPath")), tail)).alias("ord"), F.lit(0).cast("long").alias("chunk_no"), "data")
+    inner = C.stream_digests(blocks.unionByName(parts).withColumn("k", F.concat_ws("\n", "container", "map", F.col("ord").cast("string"))), "k", "data", "chunk_no", algorithms)
+    split = F.split("k", "\n")
+    inner = inner.select(F.get(split, F.lit(0)).alias("container"), F.get(split, F.lit(1)).alias("map"), F.get(split, F.lit(2)).cast("long").alias("ord"), *algorithms)
+    whole = inner.groupBy("container", "map").agg(*[F.sha2(F.unhex(C.in_order(F.col(a), "ord")), int(a[3:])).alias(a) for a in algorithms])
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("algorithm"), F.col(a).alias("actual")) for a in algorithms])).alias("p")
+    return maps.join(whole, ["container", "map"]).select("container", "subject", F.lit("blockMapHash").alias("property"), each).select(*_KEY, "p.algorithm", "p.actual")
+
+
+def undigested_images(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Images for which no digest is recorded, neither of their own nor of a part."""
+    images = info(spark, paths).filter(F.col("role").isin(*ROLES[:3])).select("container", "subject")
+    return D.undigested(images, recorded_digests(spark, paths), "subject", "subject")
 
 
 def block_checks(spark: SparkSession, paths: list[str], algorithm: str = "sha256") -> DataFrame:
     """By stream, how many chunks have their recorded block digest and how many don't."""
-    names = K.read(spark, paths, "members").filter(F.col("name").rlike(rf"\d{{8}}\.blockHash\.{algorithm}$"))
     width = S.DIGEST_DIGITS[algorithm] // 2
     n = F.floor(F.octet_length("data") / width).cast("int")
-    at = names.select("container", F.regexp_extract("name", r"^(.*)/\d{8}\.blockHash", 1).alias("folder"), F.regexp_extract("name", r"(\d{8})\.blockHash", 1).cast("long").alias("bevy"), F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("place"), "data")
-    recorded = at.select("container", "folder", "bevy", "place", F.lower(F.hex(F.substring("data", F.col("place") * width + 1, F.lit(width)))).alias("expected"))
-    per = statements(spark, paths).filter(S.local_name(F.col("predicate")) == "chunksInSegment").select("container", F.col("subject").alias("stream"), F.col("obj_lexical").cast("long").alias("per"))
-    made = K.read(spark, paths, "chunks").join(per, ["container", "stream"])
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("digits", i * (2 * width) + 1, F.lit(2 * width)))
+    segments = _block_segments(spark, paths).filter(F.col("suffix") == algorithm).filter(n > 0).withColumn("digits", F.lower(F.hex("data")))
+    recorded = segments.select("container", F.col("owner").alias("stream"), "bevy", F.posexplode(cut).alias("place", "expected"))
     digest = F.sha2("data", 256) if algorithm == "sha256" else F.md5("data") if algorithm == "md5" else F.sha1("data")
-    made = made.select("container", "stream", F.regexp_extract("stream", r"^[a-z0-9+.-]+://[^/]*/(.*)$", 1).alias("folder"), F.floor(F.col("chunk_no") / F.col("per")).alias("bevy"), (F.col("chunk_no") % F.col("per")).cast("int").alias("place"), digest.alias("actual"))
-    both = recorded.join(made, ["container", "folder", "bevy", "place"], "left")
-    return both.groupBy("container", "folder").agg(F.count("*").alias("blocks"), F.count_if(F.col("expected") == F.col("actual")).alias("matched"), F.count_if(F.col("actual").isNull()).alias("not_verifiable"))
+    made = chunks(spark, paths).join(streams(spark, paths).select("stream", "per_segment"), "stream")
+    made = made.select("container", "stream", F.floor(F.col("chunk_no") / F.col("per_segment")).alias("bevy"), (F.col("chunk_no") % F.col("per_segment")).cast("int").alias("place"), digest.alias("actual"))
+    both = recorded.join(made, ["container", "stream", "bevy", "place"], "left")
+    return both.groupBy("container", "stream").agg(F.count("*").alias("blocks"), F.count_if(F.col("expected") == F.col("actual")).alias("matched"), F.count_if(F.col("actual").isNull()).alias("not_verifiable"))
 
 
 # -- conformance
@@ -214,25 +328,100 @@ def conformance(spark: SparkSession, paths: list[str], generation: str = "alpha"
 # -- reading
 
 
-def read_image(spark: SparkSession, paths: list[str], image_map: str, start: int, stop: int) -> DataFrame:
-    """The bytes of [start, stop) of a map, as pieces (at, data) that follow on from each other when
-    ordered by `at`. Entries are clipped to the range, cut at chunk borders and joined to their chunks."""
-    sized = statements(spark, paths).filter(S.local_name(F.col("predicate")) == "chunkSize").select(F.col("subject").alias("target"), F.col("obj_lexical").cast("long").alias("chunk_size"))
+#: Bytes of a region that isn't stored in one row, and what stands for what is unknown: a text that begins anew at
+#: every so many bytes of the target. Fixed values of the format.
+BLOCK = 1 << 20
+FILLERS = {"UnknownData": "UNKNOWN", "UnreadableData": "UNREADABLEDATA"}
+#: Streams whose bevies are asked for one by one; beyond that all are scanned.
+MOST_ASKED = 10_000
+
+
+def resolved_targets(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Targets of maps, those with block hashes followed to the slice of the stream that holds them: kind, target and
+    shift, which is to be added to a target offset. Those that lead nowhere keep their kind."""
+    targets = K.read(spark, paths, "map_targets")
+    slices = statements(spark, paths).filter((S.local_name(F.col("predicate")) == "dataStream") & F.col("subject").rlike("^aff4:sha(256|512):"))
+    slices = slices.groupBy(F.col("subject").alias("target")).agg(F.min("obj_lexical").alias("slice"), F.count_distinct("obj_lexical").alias("n")).filter("n = 1")
+    start = S.name_part(F.col("slice"), "range_start")
+    out = targets.join(slices.filter(start.isNotNull()), "target", "left")
+    bare = F.regexp_replace("slice", r"\[[^\]]*\]$", "")
+    return out.select("container", "map", "target_id", F.when(F.col("slice").isNull(), F.col("kind")).otherwise("stored").alias("kind"), F.coalesce(bare, "target").alias("target"), F.coalesce(start, F.lit(0)).alias("shift"))
+
+
+def gap_target(spark: SparkSession, paths: list[str], image_map: str) -> str:
+    """What fills the holes of a map: the stream that it names, or zeros."""
+    rows = statements(spark, paths).filter((F.col("subject") == image_map) & (S.local_name(F.col("predicate")) == "mapGapDefaultStream") & (F.col("obj_kind") == "iri")).select("obj_lexical").distinct().limit(2).collect()
+    return rows[0][0] if len(rows) == 1 else K.SCHEMA_NS + "Zero"
+
+
+def image_regions(spark: SparkSession, paths: list[str], image_map: str, start: int, stop: int) -> DataFrame:
+    """The regions of [start, stop) of a map: clip_start, clip_length, from (the place in the target), kind, target and
+    gap (whether it is a hole that is filled). The first volume that holds the map tells it. A region whose target
+    isn't listed has no kind."""
     entries = K.read(spark, paths, "map_entries").filter(F.col("map") == image_map)
-    targets = K.read(spark, paths, "map_targets").filter(F.col("map") == image_map).select("map", "target_id", "kind", "target")
+    first = entries.agg(F.min(F.struct(_place_of(paths).alias("i"), F.col("container"))).alias("x"), F.max(F.col("offset") + F.col("length")).alias("end")).head()
+    holder = first["x"]["container"] if first["x"] else None
+    entries = entries.filter(F.col("container") == F.lit(holder)) if holder else entries
+    fill = gap_target(spark, paths, image_map)
+    holes = I.with_gaps(entries.select("map", "ord", "offset", "length"), ["map"], ["ord"]).filter("gap > 0").select("map", (F.col("offset") - F.col("gap")).alias("offset"), F.col("gap").alias("length"))
+    end = first["end"] or 0
+    if stop > end:
+        holes = holes.unionByName(spark.createDataFrame([(image_map, end, stop - end)], "map string, offset long, length long"))
+    told = entries.select("map", "offset", "length", "target_offset", "target_id").unionByName(holes.select("map", "offset", "length", F.lit(0).cast("long").alias("target_offset"), F.lit(-1).cast("long").alias("target_id")))
     ranges = spark.createDataFrame([(image_map, start, stop)], "map string, start long, stop long")
-    clipped = I.range_clip(ranges, entries.select("map", "offset", "length", "target_offset", "target_id"), ["map"], 1 << 30).join(targets, ["map", "target_id"])
-    filled = clipped.filter("kind = 'repeated_byte'")
-    byte = F.when(S.local_name(F.col("target")) == "Zero", "00").when(S.local_name(F.col("target")).rlike("^[0-9A-Fa-f]{2}$"), S.local_name(F.col("target"))).otherwise(F.regexp_extract("target", "([0-9A-Fa-f]{2})$", 1))
-    filled = filled.select(F.col("clip_start").alias("at"), F.unhex(F.repeat(byte, F.col("clip_length").cast("int"))).alias("data"))
-    stored = clipped.filter("kind = 'stored'").join(sized, "target").withColumn("from", F.col("target_offset") + F.col("into")).withColumn("to", F.col("from") + F.col("clip_length"))
-    parts = stored.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("from") / F.col("chunk_size")), F.floor((F.col("to") - 1) / F.col("chunk_size")))))
-    chunks = K.read(spark, paths, "chunks").select(F.col("stream").alias("target"), "chunk_no", "data")
-    parts = parts.join(chunks, ["target", "chunk_no"])
-    low = F.greatest(F.col("from"), F.col("chunk_no") * F.col("chunk_size"))
-    high = F.least(F.col("to"), (F.col("chunk_no") + 1) * F.col("chunk_size"))
-    piece = F.substring(F.col("data"), (low - F.col("chunk_no") * F.col("chunk_size") + 1).cast("int"), (high - low).cast("int"))
-    return parts.select((F.col("clip_start") + low - F.col("from")).alias("at"), piece.alias("data")).unionByName(filled)
+    clipped = I.range_clip(ranges, told, ["map"], 1 << 30)
+    targets = resolved_targets(spark, paths).filter((F.col("map") == image_map) & (F.col("container") == F.lit(holder))).select("map", "target_id", "kind", "target", "shift")
+    targets = targets.unionByName(spark.createDataFrame([(image_map, -1, K.target_kind(fill), fill, 0)], targets.schema))
+    out = clipped.join(targets, ["map", "target_id"], "left")
+    return out.select("map", "clip_start", "clip_length", (F.col("target_offset") + F.coalesce("shift", F.lit(0)) + F.col("into")).alias("from"), "kind", "target", (F.col("target_id") < 0).alias("gap"))
+
+
+def read_accounting(spark: SparkSession, paths: list[str], image_map: str, size: int) -> DataFrame:
+    """Bytes of a map that are stored, described, placeholders for what is unknown, and fill of holes; one row."""
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("clip_length"))), F.lit(0))
+    gap, kind = F.col("gap"), F.col("kind")
+    return image_regions(spark, paths, image_map, 0, size).agg(n(~gap & (kind == "stored")).alias("stored"), n(~gap & (kind == "repeated_byte")).alias("described"), n(~gap & (kind == "unknown")).alias("unknown_placeholder"), n(gap).alias("gap_filled"))
+
+
+def filler(target: Column, place: Column, length: Column) -> Column:
+    """`length` bytes, BLOCK at most, of what stands for a target that isn't stored, from `place` in it, without passing
+    the end of its block."""
+    name = S.local_name(target)
+    byte = F.when(name == "Zero", "00").when(name.rlike("^[0-9A-Fa-f]{2}$"), name).otherwise(F.regexp_extract(target, "([0-9A-Fa-f]{2})$", 1))
+    n = length.cast("int")
+    out = F.unhex(F.repeat(byte, n))
+    for unknown, text in FILLERS.items():
+        phase = (place % BLOCK % len(text)).cast("int")
+        repeated = F.repeat(F.lit(text), F.floor(n / len(text)).cast("int") + 2)
+        out = F.when(name == unknown, F.substring(repeated, phase + 1, n).cast("binary")).otherwise(out)
+    return out
+
+
+def read_image(spark: SparkSession, paths: list[str], image_map: str, start: int, stop: int) -> DataFrame:
+    """The bytes of [start, stop) of a map, as pieces (at, data, kind, length) that follow on from each other when
+    ordered by `at`. Entries and holes are clipped to the range, cut at chunk borders and joined to their chunks, of
+    which only the bevies in question are opened. data is null where nothing tells the bytes."""
+    regions = written(image_regions(spark, paths, image_map, start, stop), "regions")
+    stored = regions.filter("kind = 'stored'").join(streams(spark, paths).withColumnRenamed("stream", "target"), "target", "left")
+    others = regions.filter("kind is null or kind <> 'stored'")
+    # What isn't stored is made in blocks, cut where the target's own blocks end.
+    block = F.explode(F.sequence(F.floor(F.col("from") / BLOCK), F.floor((F.col("from") + F.col("clip_length") - 1) / BLOCK)))
+    cut = others.withColumn("b", block).withColumn("low", F.greatest(F.col("from"), F.col("b") * BLOCK)).withColumn("length", F.least(F.col("from") + F.col("clip_length"), (F.col("b") + 1) * BLOCK) - F.col("low"))
+    made = F.when(F.col("kind").isin("repeated_byte", "unknown"), filler(F.col("target"), F.col("low"), F.col("length")))
+    filled = cut.select((F.col("clip_start") + F.col("low") - F.col("from")).alias("at"), made.alias("data"), "kind", "length")
+    size, end = F.col("chunk_size"), F.col("from") + F.col("clip_length")
+    lost = stored.filter("chunk_size is null").select(F.col("clip_start").alias("at"), F.lit(None).cast("binary").alias("data"), "kind", F.col("clip_length").alias("length"))
+    stored = stored.filter("chunk_size is not null")
+    spans = stored.groupBy("target").agg(F.min(F.floor(F.col("from") / size / F.col("per_segment"))).alias("first"), F.max(F.floor((end - 1) / size / F.col("per_segment"))).alias("last")).limit(MOST_ASKED + 1).collect()
+    only = [(r["target"], r["first"], r["last"]) for r in spans] if len(spans) <= MOST_ASKED else None
+    parts = stored.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("from") / size), F.floor((end - 1) / size))))
+    low, high = F.greatest(F.col("from"), F.col("chunk_no") * size), F.least(end, (F.col("chunk_no") + 1) * size)
+    parts = parts.select("target", "chunk_no", "kind", (F.col("clip_start") + low - F.col("from")).alias("at"), (low - F.col("chunk_no") * size + 1).cast("int").alias("skip"), (high - low).alias("length"))
+    held = chunks(spark, paths, only).groupBy(F.col("stream").alias("target"), "chunk_no").agg(F.first("data", ignorenulls=True).alias("bytes"))
+    parts = parts.join(held, ["target", "chunk_no"], "left")
+    piece = F.substring(F.col("bytes"), F.col("skip"), F.col("length").cast("int"))
+    right = F.when(F.octet_length(piece) == F.col("length"), piece)
+    return parts.select("at", right.alias("data"), "kind", "length").unionByName(filled).unionByName(lost)
 
 
 def export_image(spark: SparkSession, paths: list[str], image_map: str, size: int, out: str) -> int:
@@ -241,7 +430,7 @@ def export_image(spark: SparkSession, paths: list[str], image_map: str, size: in
     done = 0
     with open(out, "xb") as f:
         for row in pieces.toLocalIterator(prefetchPartitions=True):
-            if row["at"] != done:
+            if row["at"] != done or row["data"] is None:
                 raise ValueError(f"no bytes at {done}")
             f.write(row["data"])
             done += len(row["data"])
@@ -258,7 +447,7 @@ def export_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     named = o.select("container", "subject", "first_seq", F.coalesce(prop("originalPathName"), prop("originalFileName"), prop("fileName")).alias("recorded"), F.replace(F.substring(F.col("subject"), F.length("stored") + 2, F.length("subject")), F.lit("%20"), F.lit(" ")).alias("name"))
     named = named.withColumn("path", S.safe_path(F.coalesce("recorded", "name")))
     placed = D.deconflicted(named, "path", ["first_seq", "subject"])
-    return placed.join(K.read(spark, paths, "members"), ["container", "name"], "left").select("container", "subject", "recorded", "written", "data")
+    return placed.join(K.read(spark, paths, "members", kinds="file"), ["container", "name"], "left").select("container", "subject", "recorded", "written", "data")
 
 
 def digest_tsv(checks: DataFrame, algorithms: list[str]) -> DataFrame:

@@ -69,26 +69,6 @@ def spine(spark: SparkSession, paths: list[str]) -> DataFrame:
     return G.reach(edges, roots)
 
 
-def resolved_targets(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Targets of maps with block hashes followed to the slice of the stream that holds them: target and
-    shift, which is to be added to a target offset. Those that lead nowhere keep their kind."""
-    targets = K.read(spark, paths, "map_targets")
-    slices = P.statements(spark, paths).filter(S.local_name(F.col("predicate")) == "dataStream").select(F.col("subject").alias("target"), F.col("obj_lexical").alias("slice"))
-    slices = slices.filter(F.col("target").rlike("^aff4:sha(256|512):"))
-    out = targets.join(slices, "target", "left")
-    bare = F.regexp_replace("slice", r"\[[^\]]*\]$", "")
-    return out.select("container", "map", "target_id", F.when(F.col("slice").isNull(), F.col("kind")).otherwise("stored").alias("kind"), F.coalesce(bare, "target").alias("target"), F.coalesce(S.name_part(F.col("slice"), "range_start"), F.lit(0)).alias("shift"))
-
-
-def map_digests(path: str, folder: str, algorithm: str = "sha256", local_digests: tuple[bytes, ...] = ()) -> dict[str, str]:
-    """mapHash over the bytes of map, idx and mapPath, and blockMapHash over the digests of the local
-    streams' blocks followed by those of the three."""
-    with K.opened(path) as z:
-        parts = [K.member(z, f"{folder}/{n}") for n in ("map", "idx", "mapPath")]
-    h = lambda b: hashlib.new(algorithm, b)
-    return {"mapHash": h(b"".join(parts)).hexdigest(), "blockMapHash": h(b"".join((*local_digests, *(h(p).digest() for p in parts)))).hexdigest(), **{f"{n}Hash": h(p).hexdigest() for n, p in zip(("mapPoint", "mapIdx", "mapPath"), parts, strict=True)}}
-
-
 def striped_root(stripes: DataFrame, recorded: str, algorithm: str = "sha256") -> tuple[str, str | None]:
     """Whether a recorded digest over the stripes' digests (columns file, map, stream and digest, in hex) is
     right, and by which order of them it is; stripes are as many as volumes."""
@@ -108,5 +88,3 @@ def work_estimate(spark: SparkSession, paths: list[str]) -> DataFrame:
     a = streams.groupBy("container").agg(F.count("*").alias("streams"), F.sum("size").alias("stream_bytes"), F.sum(F.ceil(F.col("size") / F.col("segment_bytes"))).alias("bevies"), F.max(F.size("digests")).alias("most_digests"))
     b = K.read(spark, paths, "segments").filter("kind = 'bevy'").groupBy("container").agg(F.sum("compressed").alias("stored_bytes"))
     return a.join(b, "container", "full")
-
-

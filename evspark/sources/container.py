@@ -5,16 +5,22 @@ segments ("bevies") with an index each, maps of 28-byte entries with a list of t
 members. ContainerSource is a Python data source: the driver reads only the archive's directory and
 deals members to partitions; workers read the bytes. Paths may be any that pyarrow's file systems open.
 
-Tables (option `table`): segments, statements, members (name, data), map_entries, map_targets,
-chunk_index and chunks. What can't be read is a row of the table `problems` instead of a failure.
+Tables (option `table`): segments, statements, members (name, kind, the resource that owns it, data), map_entries,
+map_targets, chunk_index, stored_chunks (as they are stored; the plan that joins them to their streams decodes them)
+and volumes. What can't be read is left out there and is a row of the table `problems`, never a failure.
+
+Options prune what is opened: `kinds` names the kinds of members to read, and `only` lists streams with the first and
+last bevy that is wanted. The driver deals out names from the directory, so what is pruned is never read.
 """
 
 from __future__ import annotations
 
 import contextlib
+import json
 import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from evspark.functions.raw import decode_chunk
 from evspark.sources import turtle
 
 #: Namespace of the terms, and the fixed names of members. Fixed values of the format.
@@ -37,11 +42,11 @@ MOST_BYTES, MOST_RATIO = 1 << 30, 1000
 SCHEMAS = {
     "segments": "container string, pos long, name string, kind string, method int, compressed long, uncompressed long, header_offset long",
     "statements": "container string, seq long, subject string, predicate string, obj_kind string, obj_lexical string, obj_datatype string",
-    "members": "container string, name string, data binary",
+    "members": "container string, name string, kind string, owner string, data binary",
     "map_entries": "container string, map string, ord long, offset long, length long, target_offset long, target_id long",
     "map_targets": "container string, map string, target_id long, kind string, target string",
     "chunk_index": "container string, stream string, bevy long, place long, offset long, length long",
-    "chunks": "container string, stream string, chunk_no long, data binary",
+    "stored_chunks": "container string, stream string, bevy long, place long, data binary",
     "volumes": "container string, comment string, description string, major int, minor int, tool string, namespace string, metadata_hashes string",
     "problems": "container string, name string, severity string, detail string",
 }
@@ -133,18 +138,8 @@ def target_kind(target: str) -> str:
     return "stored" if target.startswith(SCHEME) else "unrecognised"
 
 
-def _streams(statements: list[turtle.Statement]) -> dict[str, dict]:
-    """Size, chunk size, chunks in a segment and codec of each stream that states them."""
-    wanted = {SCHEMA_NS + "size": "size", SCHEMA_NS + "chunkSize": "chunk_size", SCHEMA_NS + "chunksInSegment": "per_segment", SCHEMA_NS + "compressionMethod": "codec"}
-    out: dict[str, dict] = {}
-    for s in statements:
-        if s.predicate in wanted:
-            out.setdefault(s.subject, {})[wanted[s.predicate]] = s.obj_lexical
-    full = {}
-    for name, x in out.items():
-        if all(str(x.get(k, "")).isdigit() for k in ("size", "chunk_size", "per_segment")) and int(x["chunk_size"]) > 0 and int(x["per_segment"]) > 0:
-            full[name] = {"size": int(x["size"]), "chunk_size": int(x["chunk_size"]), "per_segment": int(x["per_segment"]), "codec": CODEC_IRIS.get(x.get("codec", SCHEMA_NS + "NullCompressor"), "unsupported")}
-    return full
+#: What may go wrong with a member that is read. A damaged one is a finding about it.
+_DAMAGE = (ValueError, KeyError, EOFError, zipfile.BadZipFile, zlib.error, struct.error, NotImplementedError)
 
 
 class _Part(InputPartition):
@@ -157,10 +152,12 @@ class _Reader(DataSourceReader):
         self.paths = [p for p in options["paths"].split("\n") if p]
         self.table = options.get("table", "segments")
         self.members = int(options.get("members_per_partition", 64))
+        self.kinds = set(options["kinds"].split(",")) if options.get("kinds") else None
+        self.only = {s: (first, last) for s, first, last in json.loads(options["only"])} if options.get("only") else None
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        wanted = {"members": None, "map_entries": r"(?:.*/)?map", "map_targets": r"(?:.*/)?idx", "chunk_index": r"(?:.*/)?\d{8}(?:\.index|/index)", "chunks": r"(?:.*/)?\d{8}"}
+        wanted = {"members": None, "map_entries": r"(?:.*/)?map", "map_targets": r"(?:.*/)?idx", "chunk_index": r"(?:.*/)?\d{8}(?:\.index|/index)", "stored_chunks": r"(?:.*/)?\d{8}"}
         for path in self.paths:
             if self.table not in wanted:
                 out.append(_Part(path, []))
@@ -168,18 +165,27 @@ class _Reader(DataSourceReader):
             try:
                 with opened(path) as z:
                     names = [n for n in dict.fromkeys(z.namelist()) if wanted[self.table] is None or re.fullmatch(wanted[self.table], n, re.S)]
-            except (OSError, zipfile.BadZipFile, pa.ArrowException):
+                    names = [n for n in names if self._asked(z, n)]
+            except (OSError, pa.ArrowException, *_DAMAGE):
                 continue
             out += [_Part(path, names[i : i + self.members]) for i in range(0, len(names), self.members)]
         return out or [_Part("", [])]
 
+    def _asked(self, z: zipfile.ZipFile, name: str) -> bool:
+        if self.kinds is not None and kind_of(name) not in self.kinds:
+            return False
+        if self.only is None or self.table != "stored_chunks":
+            return True
+        first, last = self.only.get(self._owner(z, name), (1, 0))
+        return first <= int(name[-8:]) <= last
+
     def read(self, partition: _Part) -> Iterator[tuple]:
         if not partition.path:
             return
         try:
             with opened(partition.path) as z:
                 yield from getattr(self, f"_{self.table}")(z, partition)
-        except (OSError, zipfile.BadZipFile, pa.ArrowException, NotImplementedError) as e:
+        except (OSError, pa.ArrowException, *_DAMAGE) as e:
             if self.table == "problems":
                 yield partition.path, None, "io" if isinstance(e, OSError) else "malformed", str(e)[:500]
 
@@ -187,80 +193,55 @@ class _Reader(DataSourceReader):
         for i, info in enumerate(z.infolist()):
             yield p.path, i, info.filename, kind_of(info.filename), info.compress_type, info.compress_size, info.file_size, info.header_offset
 
-    def _parsed(self, z) -> list[turtle.Statement]:
-        """The statements up to the first error, and the error."""
-        out: list[turtle.Statement] = []
-        if METADATA in z.namelist():
-            out.extend(turtle.parse(member(z, METADATA).decode("utf-8", "replace")))
-        return out
-
     def _statements(self, z, p):
-        try:
-            rows = self._parsed(z)
-        except (ValueError, zipfile.BadZipFile):
-            return
-        for s in rows:
-            yield p.path, s.seq, s.subject, s.predicate, s.obj_kind, s.obj_lexical, s.obj_datatype
+        """The statements up to the first error, which is a problem."""
+        if METADATA in z.NameToInfo:
+            with contextlib.suppress(*_DAMAGE):
+                for s in turtle.parse(member(z, METADATA).decode("utf-8", "replace")):
+                    yield p.path, s.seq, s.subject, s.predicate, s.obj_kind, s.obj_lexical, s.obj_datatype
 
     def _members(self, z, p):
         for name in p.names:
-            try:
-                yield p.path, name, member(z, name)
-            except (ValueError, zipfile.BadZipFile):
-                continue
+            with contextlib.suppress(*_DAMAGE):
+                yield p.path, name, kind_of(name), self._owner(z, name), member(z, name)
 
     def _owner(self, z, path: str) -> str:
-        volume = volume_name(z) or ""
+        if not hasattr(self, "_volume") or self._volume[0] is not z:
+            self._volume = z, volume_name(z) or ""
         folder = path.rsplit("/", 1)[0]
-        return f"{volume.rstrip('/')}/{folder}" if not folder.startswith("aff4%3A") else folder.replace("%3A", ":").replace("%2F", "/")
+        return f"{self._volume[1].rstrip('/')}/{folder}" if not folder.startswith("aff4%3A") else folder.replace("%3A", ":").replace("%2F", "/")
 
     def _map_entries(self, z, p):
         for name in p.names:
-            try:
-                rows = decode_entries(member(z, name))
-            except (ValueError, zipfile.BadZipFile):
-                continue
-            owner = self._owner(z, name)
-            for i, r in enumerate(rows.tolist()):
-                if max(r[:3]) < 1 << 63:
-                    yield p.path, owner, i, *r
+            with contextlib.suppress(*_DAMAGE):
+                owner = self._owner(z, name)
+                for i, r in enumerate(decode_entries(member(z, name)).tolist()):
+                    if max(r[:3]) < 1 << 63:
+                        yield p.path, owner, i, *r
 
     def _map_targets(self, z, p):
         for name in p.names:
-            lines = [x.strip() for x in member(z, name).decode("utf-8", "replace").splitlines()]
-            for i, target in enumerate(x for x in lines if x):
-                yield p.path, self._owner(z, name), i, target_kind(target), target
+            with contextlib.suppress(*_DAMAGE):
+                lines = [x.strip() for x in member(z, name).decode("utf-8", "replace").splitlines()]
+                for i, target in enumerate(x for x in lines if x):
+                    yield p.path, self._owner(z, name), i, target_kind(target), target
 
     def _chunk_index(self, z, p):
         for name in p.names:
-            try:
-                rows = decode_index(member(z, name))
-            except (ValueError, zipfile.BadZipFile):
-                continue
-            bevy = name.removesuffix(".index").removesuffix("/index")
-            for i, (offset, length) in enumerate(rows.tolist()):
-                yield p.path, self._owner(z, bevy), int(bevy[-8:]), i, offset, length
+            with contextlib.suppress(*_DAMAGE):
+                bevy = name.removesuffix(".index").removesuffix("/index")
+                for i, (offset, length) in enumerate(decode_index(member(z, name)).tolist()):
+                    yield p.path, self._owner(z, bevy), int(bevy[-8:]), i, offset, length
 
-    def _chunks(self, z, p):
-        try:
-            streams = _streams(self._parsed(z))
-        except ValueError:
-            return
+    def _stored_chunks(self, z, p):
         for name in p.names:
-            owner, bevy = self._owner(z, name), int(name[-8:])
-            about = streams.get(owner)
-            if not about:
-                continue
-            data = member(z, name)
-            index = next((n for n in (f"{name}.index", f"{name}/index") if n in z.NameToInfo), None)
-            for i, (offset, length) in enumerate(decode_index(member(z, index)).tolist() if index else []):
-                number = bevy * about["per_segment"] + i
-                try:
-                    piece = decode_chunk(about["codec"], data[offset : offset + length], about["chunk_size"])
-                except (ValueError, OSError, IndexError):
-                    piece = None
-                left = about["size"] - number * about["chunk_size"]
-                yield p.path, owner, number, None if piece is None else piece[: max(0, left)]
+            with contextlib.suppress(*_DAMAGE):
+                index = next(n for n in (f"{name}.index", f"{name}/index", "") if n in z.NameToInfo or not n)
+                places = decode_index(member(z, index)).tolist() if index else []
+                data = member(z, name) if places else b""
+                for i, (offset, length) in enumerate(places):
+                    # A place beyond the bevy has no bytes: null, as what can't be decoded will be.
+                    yield p.path, self._owner(z, name), int(name[-8:]), i, data[offset : offset + length] if offset + length <= len(data) else None
 
     def _volumes(self, z, p):
         names = z.NameToInfo
@@ -276,17 +257,40 @@ class _Reader(DataSourceReader):
         yield p.path, z.comment.decode("utf-8", "replace") or None, text(DESCRIPTION), major, minor, tool, turtle.prefixes(head).get("aff4"), hashes
 
     def _problems(self, z, p):
-        for name in z.namelist():
+        for name in dict.fromkeys(z.namelist()):
             try:
-                data = member(z, name)
-                if name == METADATA:
-                    list(turtle.parse(data.decode("utf-8", "replace")))
-                elif kind_of(name) == "bevy_index":
-                    decode_index(data)
-                elif re.fullmatch(r"(?:.*/)?map", name):
-                    decode_entries(data)
-            except (ValueError, zipfile.BadZipFile, struct.error, NotImplementedError) as e:
+                yield from ((p.path, name, "malformed", detail) for detail in self._faults(z, name))
+            except _DAMAGE as e:
                 yield p.path, name, "unsupported" if isinstance(e, NotImplementedError) else "malformed", str(e)[:500]
+        if VERSION not in z.NameToInfo:
+            yield p.path, VERSION, "unsupported", "no version is declared: older than the standard"
+
+    def _faults(self, z, name: str) -> Iterator[str]:
+        data = member(z, name)
+        if name == METADATA:
+            for _ in turtle.parse(data.decode("utf-8", "replace")):
+                pass
+        elif name == VERSION:
+            major, minor, _ = version_of(data.decode("utf-8", "replace"))
+            if major is None or minor is None:
+                yield "no whole numbers for major and minor"
+        elif kind_of(name) == "bevy_index":
+            bevy = z.NameToInfo.get(name.removesuffix(".index").removesuffix("/index"))
+            beyond = sum(o + n > bevy.file_size for o, n in decode_index(data).tolist()) if bevy else 0
+            if beyond:
+                yield f"{beyond} chunks lie beyond the bevy's {bevy.file_size} bytes"
+        elif kind_of(name) == "bevy":
+            if not {f"{name}.index", f"{name}/index"} & z.NameToInfo.keys():
+                yield "a bevy without an index"
+        elif re.fullmatch(r"(?:.*/)?map", name):
+            rows = decode_entries(data)
+            idx = name[:-3] + "idx"
+            n = sum(1 for x in member(z, idx).splitlines() if x.strip()) if idx in z.NameToInfo else 0
+            for i, r in enumerate(rows.tolist()):
+                if max(r[:3]) >= 1 << 63 or r[0] + r[1] >= 1 << 63:
+                    yield f"entry {i} reaches beyond 2^63"
+                elif r[3] >= n:
+                    yield f"entry {i} names target {r[3]} of {n}"
 
 
 class ContainerSource(DataSource):
@@ -301,7 +305,11 @@ class ContainerSource(DataSource):
         return _Reader(dict(self.options))
 
 
-def read(spark: SparkSession, paths: list[str], table: str) -> DataFrame:
-    """A table of containers."""
+def read(spark: SparkSession, paths: list[str], table: str, kinds: str | None = None, only: list | None = None) -> DataFrame:
+    """A table of containers; of members those of the kinds (a list with commas), of stored chunks those of the
+    streams and bevies (stream, first, last)."""
     spark.dataSource.register(ContainerSource)
-    return spark.read.format("evidence").option("paths", "\n".join(paths)).option("table", table).load()
+    reader = spark.read.format("evidence").option("paths", "\n".join(paths)).option("table", table)
+    if kinds is not None:
+        reader = reader.option("kinds", kinds)
+    return (reader if only is None else reader.option("only", json.dumps(only))).load()

@@ -117,3 +117,94 @@ def test_turtle():
     for wrong in ("<a> <b> .", "<a> x:y 5 .", "<a> <b> 5", '<a> <b> "x .'):
         with pytest.raises(turtle.Malformed):
             list(turtle.parse(wrong))
+
+
+def test_regions_that_are_not_stored(spark, tmp_path):
+    """Holes, unknown regions and block hashes against the bytes that they stand for."""
+    from evspark.api import Image, UnknownRegion
+
+    random.seed(9)
+    data, path = random.randbytes(4000), str(tmp_path / "holes.aff4")
+    w = ContainerWriter(path, chunk_size=512, per_segment=2)
+    stream, _ = w.stream([data])
+    block = "aff4:sha512:" + "ab" * 32
+    w.state(block, "dataStream", f"{stream}[0x200:0x100]")
+    targets = [stream, K.SCHEMA_NS + "UnknownData", K.SCHEMA_NS + "UnreadableData", block, "aff4:sha512:nowhere"]
+    mib = 1 << 20
+    entries = [(100, 1000, 50, 0), (2000, 30, 3, 1), (2030, 40, mib - 20, 2), (3000, 256, 0, 3), (5000, 3, 0, 4)]
+    name = w.image(entries, targets, 6000)
+    w.state(name + "/data", "mapGapDefaultStream", K.SCHEMA_NS + "SymbolicStream7F")
+    w.close()
+    whole = bytearray(b"\x7f" * 6000)
+    whole[100:1100] = data[50:1050]
+    whole[2000:2030] = (b"UNKNOWN" * 10)[3:33]
+    fill = b"UNREADABLEDATA" * mib
+    whole[2030:2050], whole[2050:2070] = fill[mib - 20 : mib], fill[:20]
+    whole[3000:3256] = data[512 : 512 + 256]
+    image = Image(spark, [path])
+    for offset, length in ((0, 5000), (90, 20), (1999, 80), (2040, 3), (3100, 300), (5003, 5000), (4000, 1)):
+        assert image.read(offset, length) == bytes(whole[offset : min(6000, offset + length)]), offset
+    with pytest.raises(ValueError, match="no bytes at 5000"):
+        image.read(4999, 10)
+    assert image.read(1990, 100, unknown="report") == bytes(whole[1990:2000])
+    with pytest.raises(UnknownRegion):
+        image.read(2035, 5, unknown="report")
+    counted = P.read_accounting(spark, [path], name + "/data", 6000).first().asDict()
+    assert counted == {"stored": 1256, "described": 0, "unknown_placeholder": 70, "gap_filled": 6000 - 1256 - 70 - 3}
+    with pytest.raises(ValueError):
+        P.export_image(spark, [path], name + "/data", 6000, str(tmp_path / "out"))
+
+
+def test_composite_digests(spark, tmp_path):
+    """Digests of a map's parts, of block hashes and of both, and one that is wrong."""
+    random.seed(11)
+    path = str(tmp_path / "maps.aff4")
+    w = ContainerWriter(path, chunk_size=512, per_segment=2, algorithms=())
+    stream, _ = w.stream([random.randbytes(3000)])
+    image = w.image([(0, 3000, 0, 0)], [stream], 3000)
+    of_map, folder, bevies = image + "/data", (image + "/data")[len(w.volume) + 1 :], stream[len(w.volume) + 1 :]
+    w.zip.close()
+    with zipfile.ZipFile(path) as z:
+        parts = [z.read(f"{folder}/{n}") for n in ("map", "idx", "mapPath")]
+        blocks = b"".join(z.read(n) for n in sorted(z.namelist()) if n.startswith(bevies) and n.endswith(".blockHash.sha256"))
+    w.file = open(path, "r+b")
+    w.zip = zipfile.ZipFile(w.file, "a")
+    sha = lambda b: hashlib.sha256(b).digest()
+    whole = hashlib.sha512(b"".join(hashlib.sha512(x).digest() for x in (blocks, *parts))).hexdigest()
+    wanted = {(of_map, "mapPointHash"): sha(parts[0]), (of_map, "mapIdxHash"): sha(parts[1]), (of_map, "mapPathHash"): b"wrong".ljust(32), (of_map, "mapHash"): sha(b"".join(parts)), (stream + "/blockhash.sha256", "hash"): sha(blocks)}
+    for (subject, prop), d in wanted.items():
+        w.state(subject, prop, d.hex(), K.SCHEMA_NS + "SHA256")
+    for subject in (of_map, image):
+        w.state(subject, "blockMapHash", whole, K.SCHEMA_NS + "SHA512")
+    w.state(stream + "/blockhash.sha256", turtle.RDF_TYPE, K.SCHEMA_NS + "BlockHashes")
+    w.close()
+    got = {(r["subject"], r["property"]): r["outcome"] for r in P.verify(spark, [path]).collect()}
+    assert got == {k: "matched" for k in [*wanted, (of_map, "blockMapHash"), (image, "blockMapHash")]} | {(of_map, "mapPathHash"): "mismatch"}
+    assert P.undigested_images(spark, [path]).count() == 0
+
+
+def test_damage_is_a_finding(spark, made, tmp_path):
+    """A damaged index, a map that reaches too far, a short bevy and bad metadata are rows; all else is still verified."""
+    good, bad = made["zlib"][0], str(tmp_path / "damaged.aff4")
+    image = made["zlib"][3]
+    with zipfile.ZipFile(good) as a, zipfile.ZipFile(bad, "w") as b:
+        for info in a.infolist():
+            x = a.read(info)
+            if info.filename.endswith("/00000001.index"):
+                x = x[:-3]
+            elif info.filename.endswith("/00000002"):
+                x = x[:4]
+            elif info.filename.endswith("/map"):
+                x = (1 << 63).to_bytes(8, "little") + x[8:28] + x[28:52] + (9).to_bytes(4, "little") + x[56:]
+            elif info.filename == "information.turtle":
+                x += b"\n<broken <"
+            elif info.filename == "version.txt":
+                x = b"major=x\n"
+            b.writestr(info, x)
+        b.comment = a.comment
+    found = {r["name"].rsplit("/", 1)[-1]: r["detail"] for r in K.read(spark, [bad], "problems").collect()}
+    assert found.keys() == {"00000001.index", "00000002.index", "map", "information.turtle", "version.txt"}
+    outcomes = {(r["role"], r["outcome"]) for r in P.verify(spark, [bad, good]).filter(f"container = '{bad}'").collect()}
+    assert outcomes >= {("FileImage", "matched")} and image
+    assert K.read(spark, [bad], "map_entries").count() == 2
+    assert P.block_checks(spark, [bad]).first()["not_verifiable"] > 0
