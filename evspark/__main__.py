@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("paths", nargs="+")
         s.add_argument("--format", choices=("text", "json"), default="text")
         s.add_argument("--brief", action="store_true")
-        s.add_argument("--generation", choices=tuple(D.GOVERNING), default="alpha")
+        s.add_argument("--generation", choices=tuple(D.GOVERNING), default=None, help="cite by this one instead of each container's own")
     s = sub.add_parser("acquire")
     s.add_argument("source")
     s.add_argument("out")
@@ -80,7 +80,7 @@ def main(argv: list[str] | None = None) -> int:
         return OK
     if o.command == "verify":
         checks = P.verify(spark, o.paths).persist()
-        for line in checks.toJSON().toLocalIterator() if o.format == "json" else render.verification_text(checks):
+        for line in checks.toJSON().toLocalIterator() if o.format == "json" else render.verification_text(checks, P.notes(spark, o.paths)):
             print(line)
         worst = checks.agg(F.max(D.severity(F.col("outcome")))).head()[0] or 0
         return {2: MISMATCH, 1: NOT_VERIFIABLE}.get(worst, OK)

@@ -8,123 +8,156 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rules: document, clause, number, requirement, state, who it governs, the kind of deviation that cites
-#: it, and whether that is routine. Documents: a standard 1.0a, paper 2019, standard 1.0 alpha. Fixed values.
+#: Rules: document, clause, number, requirement, the kind of deviation that cites it, and whether that is routine.
+#: Documents: a standard 1.0a, paper 2019, standard 1.0 alpha. Fixed values.
 RULES = """
-standard|§1.1|1|Must|Honored|Container||
-standard|§1.1|2|Must|Enforced|Reader||
-standard|§2.2|1|Should|NotImplemented|Container|UntypedNumericLiteral|
-standard|§2.2|2|Should|NotImplemented|Container|NonstandardDatatype|
-standard|§2.2|3|Must|Detected|Container|UnexpectedDatatype|
-standard|§4|1|May|Detected|Container|MapGap|
-standard|§5|1|Must|Detected|Container|DuplicateSegmentName|
-standard|§5.1|1|Must|Detected|Container|ByteRangeArn|
-standard|§5.4|1|Must|Detected|Container|ArnNotAtCommentStart|
-standard|§5.4|2|Must|Detected|Container|InconsistentVolumeArn|
-standard|§5.4|3|Must|Detected|Container|DescriptionNotFirst|
-standard|§6.1|1|Must|Detected|Container|DigestLengthMismatch|
-standard|§6.2|1|May|Honored|ReaderWriter||
-standard|§6.2|2|Must|NotImplemented|Container||
-standard|§6.2|3|Must|NotImplemented|Container||
-standard|§6.2|5|Must|NotImplemented|Container||
-standard|§6.2|6|Must|NotImplemented|Container||
-standard|§6.2|7|Must|NotImplemented|Container||
-standard|§6.2|8|Must|NotImplemented|Container||
-standard|§6.2|9|Must|NotImplemented|Container||
-standard|§6.2|10|May|Honored|Writer||
-standard|§6.2|11|Must|Honored|ReaderWriter||
-standard|§6.2|12|Must|Honored|ReaderWriter||
-standard|§6.2|13|May|Honored|Writer||
-standard|§6.2|14|May|NotCheckable|Unsettled||
-standard|§6.2|15|Must|NotCheckable|Unsettled||
-standard|§7.1|1|May|Detected|Container|ExternalReference|routine
-standard|§7.1|2|Must|Detected|Container|ConflictingStreamValue|
-paper|§3.8|1|Must|Detected|Container|MissingZipSegmentType|
-standard|none|1|May|Detected|Container|ContentAddressedSubject|
-standard|none|2|May|Detected|Container|DanglingReference|
-standard|none|3|May|Honored|Container||
-alpha|§1.1|1|Must|Detected|Container|NonGuidArn|
-alpha|§1.1|2|Must|Detected|Container|MissingRecordedPath|
-alpha|§1.2|1|Must|Detected|Container|EscapedV21MemberName|
-alpha|§2|1|Must|Detected|Container|UppercaseGuidArn|
-alpha|§2|2|May|NotCheckable|Unsettled||
-alpha|§4.1|1|Must|Detected|Container|WrongTermNamespace|
-alpha|§4.1|2|May|Honored|Reader||
-alpha|§4.2|1|May|Honored|Writer||
-alpha|§4.2|2|May|Honored|Writer||
-alpha|§4.3|1|May|Honored|Writer||
-alpha|§4.3|2|May|NotCheckable|Unsettled||
-alpha|§4.3|3|May|Honored|Writer||
-alpha|§4.3|4|May|Honored|Writer||
-alpha|§4.3|5|May|Honored|Writer||
-alpha|§4.3|6|May|NotCheckable|Unsettled||
-alpha|§4.4|1|May|Honored|Writer||
-alpha|§4.4|2|Must|Honored|Reader||
-alpha|§4.4|3|May|NotCheckable|Unsettled||
-alpha|§5|1|Must|Detected|Container|RedundantRawName|
-alpha|§5|2|Must|Detected|Container|MissingRawName|
-alpha|§5|3|Must|Detected|Container|MalformedRawName|
-alpha|§5|4|Must|Detected|Container|ContradictoryRawName|
-alpha|§5|5|Must|Detected|Container|LowercaseNameEscape|
-alpha|§5|6|May|NotCheckable|Unsettled||
-alpha|§6|1|Must|Honored|Reader||
-alpha|§6|2|Must|Honored|Writer||
-alpha|§6|3|Must|Detected|Container|StorageFormNotFound|
-alpha|§6|4|Must|Detected|Container|AmbiguousStorageForm|
-alpha|§6.1|1|Must|Detected|Container|UnsupportedSegmentCompression|
-alpha|§6.1|2|ShouldNot|Detected|Container|OversizedZipSegment|
-alpha|§6.1|3|Must|Detected|Container|MissingZipSegmentHash|
-alpha|§6.2|1|MustNot|Detected|Container|OversizedResidentStream|
-alpha|§6.2|2|May|Honored|Writer||
-alpha|§6.3|1|May|Honored|Writer||
-alpha|§6.3.1|1|Must|NotImplemented|Writer||
-alpha|§6.3.1|2|Must|Honored|Reader||
-alpha|§6.4|1|May|Honored|ReaderWriter||
-alpha|§7|1|May|Honored|Reader||
-alpha|§8|1|Should|Detected|Container|MultiPartNamingScheme|
-alpha|§9|1|Must|NotImplemented|Reader||
-alpha|§9a|1|May|NotImplemented|Container||
-alpha|§9a|2|May|NotImplemented|Reader||
-alpha|§9a.1|1|Must|NotImplemented|Container||
-alpha|§10.1|1|Must|Detected|Container|MissingMetadataHash|
-alpha|§10.1|2|Must|Detected|Container|WeakMetadataHash|
-alpha|§10.2|1|May|NotImplemented|Container||
-alpha|§10.2|2|Must|NotImplemented|Writer||
-alpha|§10.2|3|Must|NotImplemented|Writer||
-alpha|§10.2|4|Must|NotImplemented|Writer||
-alpha|§10.3|1|Must|NotImplemented|Container||
-alpha|§10.3|2|Must|NotImplemented|Container||
+standard|§1.1|1|Must||
+standard|§1.1|2|Must||
+standard|§2.2|1|Should|UntypedNumericLiteral|
+standard|§2.2|2|Should|NonstandardDatatype|
+standard|§2.2|3|Must|UnexpectedDatatype|
+standard|§4|1|May|MapGap|
+standard|§5|1|Must|DuplicateSegmentName|
+standard|§5.1|1|Must|ByteRangeArn|
+standard|§5.4|1|Must|ArnNotAtCommentStart|
+standard|§5.4|2|Must|InconsistentVolumeArn|
+standard|§5.4|3|Must|DescriptionNotFirst|
+standard|§6.1|1|Must|DigestLengthMismatch|
+standard|§6.2|1|May||
+standard|§6.2|2|Must||
+standard|§6.2|3|Must||
+standard|§6.2|5|Must||
+standard|§6.2|6|Must||
+standard|§6.2|7|Must||
+standard|§6.2|8|Must||
+standard|§6.2|9|Must||
+standard|§6.2|10|May||
+standard|§6.2|11|Must||
+standard|§6.2|12|Must||
+standard|§6.2|13|May||
+standard|§6.2|14|May||
+standard|§6.2|15|Must||
+standard|§7.1|1|May|ExternalReference|routine
+standard|§7.1|2|Must|ConflictingStreamValue|
+paper|§3.8|1|Must|MissingZipSegmentType|
+standard|none|1|May|ContentAddressedSubject|
+standard|none|2|May|DanglingReference|
+standard|none|3|May||
+alpha|§1.1|1|Must|NonGuidArn|
+alpha|§1.1|2|Must|MissingRecordedPath|
+alpha|§1.2|1|Must|EscapedV21MemberName|
+alpha|§2|1|Must|UppercaseGuidArn|
+alpha|§2|2|May||
+alpha|§4.1|1|Must|WrongTermNamespace|
+alpha|§4.1|2|May||
+alpha|§4.2|1|May||
+alpha|§4.2|2|May||
+alpha|§4.3|1|May||
+alpha|§4.3|2|May||
+alpha|§4.3|3|May||
+alpha|§4.3|4|May||
+alpha|§4.3|5|May||
+alpha|§4.3|6|May||
+alpha|§4.4|1|May||
+alpha|§4.4|2|Must||
+alpha|§4.4|3|May||
+alpha|§5|1|Must|RedundantRawName|
+alpha|§5|2|Must|MissingRawName|
+alpha|§5|3|Must|MalformedRawName|
+alpha|§5|4|Must|ContradictoryRawName|
+alpha|§5|5|Must|LowercaseNameEscape|
+alpha|§5|6|May||
+alpha|§6|1|Must||
+alpha|§6|2|Must||
+alpha|§6|3|Must|StorageFormNotFound|
+alpha|§6|4|Must|AmbiguousStorageForm|
+alpha|§6.1|1|Must|UnsupportedSegmentCompression|
+alpha|§6.1|2|ShouldNot|OversizedZipSegment|
+alpha|§6.1|3|Must|MissingZipSegmentHash|
+alpha|§6.2|1|MustNot|OversizedResidentStream|
+alpha|§6.2|2|May||
+alpha|§6.3|1|May||
+alpha|§6.3.1|1|Must||
+alpha|§6.3.1|2|Must||
+alpha|§6.4|1|May||
+alpha|§7|1|May||
+alpha|§8|1|Should|MultiPartNamingScheme|
+alpha|§9|1|Must||
+alpha|§9a|1|May||
+alpha|§9a|2|May||
+alpha|§9a.1|1|Must||
+alpha|§10.1|1|Must|MissingMetadataHash|
+alpha|§10.1|2|Must|WeakMetadataHash|
+alpha|§10.2|1|May||
+alpha|§10.2|2|Must||
+alpha|§10.2|3|Must||
+alpha|§10.2|4|Must||
+alpha|§10.3|1|Must||
+alpha|§10.3|2|Must||
 """.strip().splitlines()
 
 #: By generation of container, the document that governs it and the one layered over that. Fixed values.
 GOVERNING = {"standard10": ("standard", None), "logical": ("standard", "paper"), "alpha": ("standard", "alpha")}
 
-RULE_COLUMNS = "document string, clause string, ordinal int, requirement string, state string, governs string, kind string, routine boolean"
+#: The kinds of deviations that this engine looks for; a rule's state follows from them.
+DETECTED = frozenset("""
+AmbiguousStorageForm ArnNotAtCommentStart ByteRangeArn ConflictingStreamValue ContentAddressedSubject ContradictoryRawName
+DanglingReference DescriptionNotFirst DigestLengthMismatch DuplicateSegmentName EscapedV21MemberName ExternalReference
+InconsistentVolumeArn LowercaseNameEscape MalformedRawName MissingMetadataHash MissingRawName MissingRecordedPath
+MissingZipSegmentHash MissingZipSegmentType MultiPartNamingScheme NonGuidArn OversizedResidentStream OversizedZipSegment
+RedundantRawName StorageFormNotFound UnexpectedDatatype UnsupportedSegmentCompression UppercaseGuidArn WeakMetadataHash
+WrongTermNamespace
+""".split())
+#: Kinds that a verification notes, as they are no fault of the container.
+NOTED = frozenset({"MapGap"})
+
+RULE_COLUMNS = "document string, clause string, ordinal int, requirement string, state string, kind string, routine boolean"
+
+
+def state_of(kind: str | None) -> str:
+    """What this engine does about a rule."""
+    return "Detected" if kind in DETECTED else "Noted" if kind in NOTED else "Unchecked"
 
 
 def rule_rows() -> list[tuple]:
-    return [(d, c, int(n), q, s, g, k or None, r == "routine") for d, c, n, q, s, g, k, r in (x.split("|") for x in RULES)]
+    return [(d, c, int(n), q, state_of(k or None), k or None, r == "routine") for d, c, n, q, k, r in (x.split("|") for x in RULES)]
 
 
 def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rule_rows(), RULE_COLUMNS)
 
 
-def cited(deviations: DataFrame, rule_table: DataFrame, generation: str) -> DataFrame:
+def governing(generation: Column, place: int) -> Column:
+    """The document that governs a generation (0), or the one layered over that (1)."""
+    out = F.lit(None).cast("string")
+    for name, documents in GOVERNING.items():
+        out = F.when(generation == name, F.lit(documents[place])).otherwise(out)
+    return out
+
+
+def in_force(deviations: DataFrame, rule_table: DataFrame) -> DataFrame:
+    """deviations(kind, generation, ...) less those of kinds that are only a rule of the layered standard of another
+    generation, and those of containers whose generation isn't known."""
+    own = F.broadcast(rule_table.filter("kind is not null and document = 'alpha'").select("kind", F.lit(True).alias("_alpha")))
+    out = deviations.filter("generation is not null").join(own, "kind", "left")
+    return out.filter(F.col("_alpha").isNull() | (governing(F.col("generation"), 1) == "alpha")).drop("_alpha")
+
+
+def cited(deviations: DataFrame, rule_table: DataFrame, generation: str | Column) -> DataFrame:
     """deviations(kind, ...) with the section of the governing document that they cite, or that of the
-    document layered over it; null where neither has one."""
-    base, layered = GOVERNING[generation]
+    document layered over it; null where neither has one. The generation is one for all, or a column."""
+    g = F.lit(generation) if isinstance(generation, str) else generation
     r = F.broadcast(rule_table.filter("kind is not null").select("kind", "document", "clause", "requirement", "routine"))
     out = deviations.join(r, "kind", "left")
-    section = F.when((F.col("document") == base) & (F.col("clause") != "none"), F.col("clause"))
-    other = F.when(F.col("document") == F.lit(layered), F.concat_ws(" ", "document", "clause"))
+    section = F.when((F.col("document") == governing(g, 0)) & (F.col("clause") != "none"), F.col("clause"))
+    other = F.when(F.col("document") == governing(g, 1), F.concat_ws(" ", "document", "clause"))
     return out.withColumn("section", section).withColumn("other_specification", other).drop("document", "clause")
 
 
 def coverage_gaps(rule_table: DataFrame, generation: str) -> DataFrame:
-    """Rules in scope that nothing detects, enforces or honours, and whether any is binding."""
+    """Rules in scope that nothing detects, and whether any is binding."""
     scope = [d for d in GOVERNING[generation] if d]
-    gaps = rule_table.filter(F.col("document").isin(*scope) & ~F.col("state").isin("Detected", "Enforced", "Honored"))
+    gaps = rule_table.filter(F.col("document").isin(*scope) & (F.col("state") != "Detected"))
     return gaps.groupBy("document", "state").agg(F.count("*").alias("rules"), F.bool_or(F.col("requirement").isin("Must", "MustNot")).alias("any_binding"))
 
 

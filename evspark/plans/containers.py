@@ -42,7 +42,10 @@ def role(types: Column) -> Column:
 
 def info(spark: SparkSession, paths: list[str]) -> DataFrame:
     """A row for each object of each container: role, types, size, properties, digests, where stored."""
-    s = statements(spark, paths)
+    return _objects(statements(spark, paths))
+
+
+def _objects(s: DataFrame) -> DataFrame:
     name = S.local_name(F.col("predicate"))
     hashed = (F.col("obj_kind") == "literal") & F.lower(S.local_name(F.col("obj_datatype"))).isin(*[k.replace("-", "") for k in S.DIGEST_DIGITS])
     types = F.transform(F.array_sort(F.collect_list(F.when(F.col("predicate") == RDF_TYPE, F.struct("seq", "obj_lexical")))), lambda x: x["obj_lexical"])
@@ -211,9 +214,11 @@ def block_checks(spark: SparkSession, paths: list[str], algorithm: str = "sha256
 
 
 def deviations(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A row for each deviation: container, kind, subject, detail."""
-    s, o = statements(spark, paths), info(spark, paths)
-    seg = K.read(spark, paths, "segments")
+    """A row for each deviation: container, generation, kind, subject, detail. A rule of one generation's standard
+    applies to containers of that generation. What the many rules read is read from the containers once and written."""
+    s = written(statements(spark, paths), "statements")
+    o = written(_objects(s), "objects")
+    seg = written(K.read(spark, paths, "segments"), "segments")
     members = seg.select("container", F.col("name")).distinct()
 
     def found(rows: DataFrame, kind, subject: Column, detail: Column) -> DataFrame:
@@ -230,7 +235,11 @@ def deviations(spark: SparkSession, paths: list[str]) -> DataFrame:
     known = s.select("container", F.col("subject").alias("obj_lexical")).distinct()
     refs = s.filter(F.col("predicate").isin(*REFERENCES) & (F.col("obj_kind") == "iri") & ~S.local_name(F.col("obj_lexical")).rlike("^(SymbolicStream.*|Zero|FF|UnknownData|UnreadableData|[0-9A-Fa-f]{2})$"))
     digests = o.select("container", "subject", F.explode("digests").alias("d"))
-    conflicts = s.filter(S.local_name(F.col("predicate")).isin("size", "chunkSize", "chunksInSegment", "compressionMethod")).groupBy("container", "subject", "predicate").agg(F.count_distinct("obj_lexical").alias("n"), F.min("obj_lexical").alias("a"), F.max("obj_lexical").alias("b"))
+    # Across all volumes: the first value of a stream's property, and the first that another statement differs in.
+    stated = s.filter(S.local_name(F.col("predicate")).isin("size", "chunkSize", "chunksInSegment", "compressionMethod")).withColumn("volume_ix", _place_of(paths))
+    where = stated.groupBy("subject", "predicate", F.col("obj_lexical").alias("other_value")).agg(F.min_by("container", "volume_ix").alias("container"))
+    conflicts = T.first_conflict(stated, ["subject", "predicate"], "obj_lexical", ["volume_ix", "seq"]).join(where, ["subject", "predicate", "other_value"])
+    listed = s.filter((S.local_name(F.col("predicate")) == "contains") & (F.col("obj_kind") == "iri"))
     out = [
         found(seg.groupBy("container", "name").agg(F.count("*").alias("n")).filter("n > 1"), "DuplicateSegmentName", F.col("name"), F.col("n")),
         found(seg.filter("kind = 'description' and pos <> 0"), "DescriptionNotFirst", F.col("name"), F.col("pos")),
@@ -249,13 +258,14 @@ def deviations(spark: SparkSession, paths: list[str]) -> DataFrame:
         found(with_member.filter("method not in (0, 8)"), "UnsupportedSegmentCompression", F.col("subject"), F.col("method")),
         found(with_member.filter(F.col("bytes") >= K.MOST_BYTES), "OversizedZipSegment", F.col("subject"), F.col("bytes")),
         found(with_member.filter(F.array_contains("types_", "ZipSegment") & (F.size("digests") == 0)), "MissingZipSegmentHash", F.col("subject"), F.lit(None)),
-        found(conflicts.filter("n > 1"), "ConflictingStreamValue", F.col("subject"), F.concat_ws(" / ", "a", "b")),
+        found(conflicts, "ConflictingStreamValue", F.col("subject"), F.concat_ws(" / ", "first_value", "other_value")),
+        found(listed.join(known, ["container", "obj_lexical"], "left_anti"), "DanglingReference", F.col("subject"), F.col("obj_lexical")),
     ]
     out += [found(r, k, u, d) for r, k, u, d in _volume_rules(spark, paths, s, o, files, members)]
     whole = out[0]
     for rows in out[1:]:
         whole = whole.unionByName(rows)
-    return whole
+    return D.in_force(whole.join(generations(spark, paths), "container", "left"), D.rules(spark))
 
 
 #: Namespaces of the standard's terms and of those that the logical standard adds, and such terms. Fixed values.
@@ -294,17 +304,20 @@ def _volume_rules(spark: SparkSession, paths: list[str], s: DataFrame, o: DataFr
         (resident.filter("bytes is null"), "StorageFormNotFound", F.col("subject"), F.lit("not base 64")),
         (alpha.filter("metadata_hashes is null"), "MissingMetadataHash", none, none),
         (alpha.filter((F.col("metadata_hashes") != "") & ~S.strong_enough(algorithms)), "WeakMetadataHash", none, F.col("metadata_hashes")),
-        (_image_gaps(spark, paths, o), "MapGap", F.col("map"), F.col("gap_bytes")),
         (_misnamed(spark, paths), "MultiPartNamingScheme", none, F.col("name")),
     ]
 
 
-def _image_gaps(spark: SparkSession, paths: list[str], o: DataFrame) -> DataFrame:
-    """Maps of discontiguous images that leave holes."""
-    entries = K.read(spark, paths, "map_entries")
-    holes = I.coverage(entries, ["container", "map"], ["ord"]).filter("gaps > 0")
+def notes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """What a verification says beside its checks: maps of discontiguous images that leave holes, images without a
+    digest, and members that can't be read: container, kind, subject, detail."""
+    o = info(spark, paths)
+    holes = I.coverage(K.read(spark, paths, "map_entries"), ["container", "map"], ["ord"]).filter("gaps > 0")
     images = o.filter("role = 'DiscontiguousImage'").select("container", F.explode(F.filter("properties", lambda p: p["name"] == "dataStream")).alias("p")).select("container", F.col("p.value").alias("map"))
-    return holes.join(images, ["container", "map"], "left_semi")
+    gaps = holes.join(images, ["container", "map"], "left_semi").select("container", F.lit("MapGap").alias("kind"), F.col("map").alias("subject"), F.concat_ws(" ", "gaps", F.lit("holes of"), "gap_bytes", F.lit("bytes")).alias("detail"))
+    bare = undigested_images(spark, paths).select("container", F.lit("NoDigest").alias("kind"), "subject", F.lit("no digest is recorded").alias("detail"))
+    bad = K.read(spark, paths, "problems").select("container", F.lit("Unreadable").alias("kind"), F.col("name").alias("subject"), "detail")
+    return gaps.unionByName(bare).unionByName(bad)
 
 
 def _misnamed(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -320,9 +333,17 @@ def _misnamed(spark: SparkSession, paths: list[str]) -> DataFrame:
 GENERATIONS = {(1, 0): "standard10", (1, 1): "logical", (2, 1): "alpha"}
 
 
-def conformance(spark: SparkSession, paths: list[str], generation: str = "alpha") -> DataFrame:
-    """Deviations with the sections that they cite."""
-    return D.cited(deviations(spark, paths), D.rules(spark), generation)
+def generations(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """container and generation: by the version that it declares, null for one that declares none that is known."""
+    versions = F.lit(None).cast("string")
+    for (major, minor), name in GENERATIONS.items():
+        versions = F.when((F.col("major") == major) & (F.col("minor") == minor), name).otherwise(versions)
+    return K.read(spark, paths, "volumes").select("container", versions.alias("generation"))
+
+
+def conformance(spark: SparkSession, paths: list[str], generation: str | None = None) -> DataFrame:
+    """Deviations with the sections that they cite, by each container's own generation or by the one given."""
+    return D.cited(deviations(spark, paths), D.rules(spark), generation or F.col("generation"))
 
 
 # -- reading

@@ -42,9 +42,11 @@ def info_json(spark: SparkSession, paths: list[str]) -> str:
     return json.dumps({"containers": [{"path": p, "objects": x} for p, x in objects.items()], "errors": errors})
 
 
-def verification_text(checks: DataFrame) -> Iterator[str]:
+def verification_text(checks: DataFrame, notes: DataFrame | None = None) -> Iterator[str]:
     for r in checks.orderBy("container", "subject", "algorithm").toLocalIterator():
         yield f"{r['outcome']:15} {r['algorithm']:8} {r['subject']}" + (f"  expected {r['expected']} found {r['actual']}" if r["outcome"] == "mismatch" else "")
+    for r in notes.toLocalIterator() if notes is not None else ():
+        yield f"note: {r['kind']} {r['subject']}: {r['detail']}"
     c = D.report_counters(checks).head()
     yield f"{c['checked']} checked, {c['matched']} matched, {c['mismatched']} mismatched, {c['not_verifiable']} not verifiable"
 
@@ -59,7 +61,7 @@ def rules_markdown() -> str:
     """The catalogue of rules by document, and how many of them something checks."""
     rows, out = D.rule_rows(), []
     for document in dict.fromkeys(r[0] for r in rows):
-        out += [f"## {document}", "", "| clause | requirement | state | governs | kind |", "| --- | --- | --- | --- | --- |"]
-        out += [f"| {c} ({n}) | {q} | {s} | {g} | {k or ''} |" for d, c, n, q, s, g, k, _ in rows if d == document] + [""]
+        out += [f"## {document}", "", "| clause | requirement | state | kind |", "| --- | --- | --- | --- |"]
+        out += [f"| {c} ({n}) | {q} | {s} | {k or ''} |" for d, c, n, q, s, k, _ in rows if d == document] + [""]
     out.append(f"{sum(r[4] == 'Detected' for r in rows)} of {len(rows)} rules have a check.")
     return "\n".join(out)

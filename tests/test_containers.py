@@ -208,3 +208,40 @@ def test_damage_is_a_finding(spark, made, tmp_path):
     assert outcomes >= {("FileImage", "matched")} and image
     assert K.read(spark, [bad], "map_entries").count() == 2
     assert P.block_checks(spark, [bad]).first()["not_verifiable"] > 0
+
+
+def test_generations(spark, tmp_path):
+    """A rule of the layered standard applies to containers of its generation alone; conflicts reach across volumes."""
+    paths = []
+    for version in ((1, 0), (1, 1), (2, 1), (3, 0)):
+        path = str(tmp_path / f"v{version[0]}{version[1]}.aff4")
+        w = ContainerWriter(path, version=version)
+        name = f"{w.volume}/notguid"
+        for kind in ("FileImage", "ZipSegment"):
+            w.state(name, turtle.RDF_TYPE, K.SCHEMA_NS + kind)
+        w.state(name, "size", "x", turtle.XSD + "long")
+        w.state(w.volume, "contains", f"{w.volume}/nothing")
+        w.state("aff4://shared", "chunkSize", str(512 + version[0]), turtle.XSD + "int")
+        w.close()
+        paths.append(path)
+    found = {}
+    for r in P.conformance(spark, paths).collect():
+        found.setdefault(r["container"], set()).add((r["kind"], r["section"], r["other_specification"]))
+    kinds = {p: {k for k, _, _ in x} for p, x in found.items()}
+    assert set(kinds) == set(paths[:3])
+    assert kinds[paths[0]] == kinds[paths[1]] == {"UnexpectedDatatype", "DanglingReference"}
+    assert kinds[paths[2]] >= {"UnexpectedDatatype", "DanglingReference", "NonGuidArn", "MissingRecordedPath", "ConflictingStreamValue"}
+    assert ("UnexpectedDatatype", "§2.2", None) in found[paths[0]] and ("NonGuidArn", None, "alpha §1.1") in found[paths[2]]
+    assert [r["generation"] for r in P.generations(spark, paths).orderBy("container").collect()] == ["standard10", "logical", "alpha", None]
+
+
+def test_states_follow_from_what_is_found(spark):
+    """Every kind that a rule calls detected is emitted by the plans, and no other is."""
+    import inspect
+    import re
+
+    from evspark.functions import scalars
+    from evspark.operators import findings as D
+
+    emitted = set(re.findall(r'"([A-Z][A-Za-z0-9]+)"', inspect.getsource(P.deviations) + inspect.getsource(P._volume_rules) + inspect.getsource(scalars.name_pair_rule)))
+    assert emitted >= D.DETECTED and {k for *_, s, k, _ in D.rule_rows() if s == "Detected"} == D.DETECTED
