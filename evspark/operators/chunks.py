@@ -25,6 +25,14 @@ def content(data: str, pad: int) -> Column:
     return F.sha2(F.concat(F.col(data), F.unhex(F.repeat(F.lit("00"), F.greatest(F.lit(pad) - F.octet_length(data), F.lit(0))))), 256)
 
 
+def of_regions(regions: DataFrame, start: Column, stop: Column, size: Column) -> DataFrame:
+    """The regions [start, stop) of streams cut at chunk borders: chunk_no, the place within the chunk and the length."""
+    cut_up = regions.withColumn("chunk_no", F.explode(F.sequence(F.floor(start / size), F.floor((stop - 1) / size))))
+    first = F.col("chunk_no") * size
+    low = F.greatest(start, first)
+    return cut_up.withColumn("within", low - first).withColumn("length", F.least(stop, first + size) - low)
+
+
 def segments(text_length: Column, chunk: int, per_segment: int) -> Column:
     """How many segments a stream of a length takes."""
     return F.ceil(text_length / (chunk * per_segment)).cast("long")

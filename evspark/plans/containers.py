@@ -435,9 +435,9 @@ def read_image(spark: SparkSession, paths: list[str], image_map: str, start: int
     stored = stored.filter("chunk_size is not null")
     spans = stored.groupBy("target").agg(F.min(F.floor(F.col("from") / size / F.col("per_segment"))).alias("first"), F.max(F.floor((end - 1) / size / F.col("per_segment"))).alias("last")).limit(MOST_ASKED + 1).collect()
     only = [(r["target"], r["first"], r["last"]) for r in spans] if len(spans) <= MOST_ASKED else None
-    parts = stored.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("from") / size), F.floor((end - 1) / size))))
-    low, high = F.greatest(F.col("from"), F.col("chunk_no") * size), F.least(end, (F.col("chunk_no") + 1) * size)
-    parts = parts.select("target", "chunk_no", "kind", (F.col("clip_start") + low - F.col("from")).alias("at"), (low - F.col("chunk_no") * size + 1).cast("int").alias("skip"), (high - low).alias("length"))
+    parts = C.of_regions(stored, F.col("from"), end, size)
+    at = F.col("clip_start") + F.col("chunk_no") * size + F.col("within") - F.col("from")
+    parts = parts.select("target", "chunk_no", "kind", at.alias("at"), (F.col("within") + 1).cast("int").alias("skip"), "length")
     held = chunks(spark, paths, only).groupBy(F.col("stream").alias("target"), "chunk_no").agg(F.first("data", ignorenulls=True).alias("bytes"))
     parts = parts.join(held, ["target", "chunk_no"], "left")
     piece = F.substring(F.col("bytes"), F.col("skip"), F.col("length").cast("int"))

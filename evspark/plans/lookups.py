@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evspark.operators import chunks as C
 from evspark.operators import intervals as I
 from evspark.operators import triples as T
+from evspark.plans import containers as P
 from evspark.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -68,9 +70,8 @@ def regions_to_chunks(spark, sf_dir):
     """Regions of a stream cut at chunk borders: chunk, its bevy and place, and the part of it."""
     start = F.col("p_partkey") * 37
     r = table(spark, sf_dir, "part").select("p_partkey", start.alias("start"), (start + F.col("p_size") * 5 + 1).alias("stop"))
-    r = r.withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("start") / 64), F.floor((F.col("stop") - 1) / 64))))
-    low, high = F.greatest(F.col("start"), F.col("chunk_no") * 64), F.least(F.col("stop"), F.col("chunk_no") * 64 + 64)
-    return r.select("p_partkey", "chunk_no", F.floor(F.col("chunk_no") / 8).alias("bevy"), (F.col("chunk_no") % 8).alias("place"), (low - F.col("chunk_no") * 64).alias("within"), (high - low).alias("length"))
+    parts = C.of_regions(r, F.col("start"), F.col("stop"), F.lit(64))
+    return parts.select("p_partkey", "chunk_no", F.floor(F.col("chunk_no") / 8).alias("bevy"), (F.col("chunk_no") % 8).alias("place"), "within", "length")
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 256 THEN md5(text) ELSE md5(text[1:64] || text[length(text) // 4 + 1 : length(text) // 4 + 64] || text[length(text) // 2 + 1 : length(text) // 2 + 64] || text[length(text) * 3 // 4 + 1 : length(text) * 3 // 4 + 64]) END AS sample FROM documents")
@@ -98,9 +99,9 @@ def role_choice(spark, sf_dir):
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN repeat('0', p_size) WHEN 1 THEN substr(repeat('UNKNOWN', 20), p_partkey % 7 + 1, p_size) ELSE substr(repeat('UNREADABLEDATA', 10), p_partkey % 14 + 1, p_size) END AS filler FROM part")
 def filler_bytes(spark, sf_dir):
     """What stands for bytes that aren't stored: a repeated byte, or a text whose phase is its place."""
-    key, n = F.col("p_partkey"), F.col("p_size")
-    phased = lambda text, times: F.substring(F.repeat(F.lit(text), F.lit(times)), (key % len(text) + 1).cast("int"), n)
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(key % 3 == 0, F.repeat(F.lit("0"), n)).when(key % 3 == 1, phased("UNKNOWN", 20)).otherwise(phased("UNREADABLEDATA", 10)).alias("filler"))
+    key = F.col("p_partkey")
+    target = F.when(key % 3 == 0, "urn:bytes#30").when(key % 3 == 1, "urn:bytes#UnknownData").otherwise("urn:bytes#UnreadableData")
+    return table(spark, sf_dir, "part").select("p_partkey", P.filler(target, key, F.col("p_size")).cast("string").alias("filler"))
 
 
 @query("SELECT event_type, user_id, min(event_id) AS event_id FROM events GROUP BY 1, 2 HAVING count(*) > 0 AND min(event_id) % 2 = 0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evspark.operators import objects as O
 from evspark.operators import triples as T
 from evspark.session import table
 
@@ -154,12 +155,8 @@ def recorded_path(spark, sf_dir):
 @query("""WITH n AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS total FROM events)
     SELECT event_type, rn, event_id, total - 3 AS more FROM n WHERE rn <= 3""")
 def brief_listing(spark, sf_dir):
-    from pyspark.sql import Window
-
     e = table(spark, sf_dir, "events").select("event_type", "event_id")
-    top = e.withColumn("rn", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))).filter("rn <= 3")
-    total = e.groupBy("event_type").agg((F.count("*") - 3).alias("more"))
-    return top.join(total, "event_type").select("event_type", F.col("rn").cast("long").alias("rn"), "event_id", "more")
+    return O.first_of_each(e, ["event_type"], ["event_id"], 3).withColumnRenamed("place", "rn")
 
 
 @query("""SELECT CASE WHEN predicate = 'nation' AND starts_with(subject, 'urn:supplier') THEN 'describes' WHEN predicate = 'nation' THEN 'target_stream' WHEN predicate = 'type' THEN 'type' ELSE 'other' END AS kind, count(*) AS n

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evspark.operators import findings as D
+from evspark.operators import objects as O
 from evspark.plans import containers as P
 
 
@@ -20,9 +21,7 @@ def info_text(spark: SparkSession, paths: list[str], brief: bool = False) -> Ite
         yield f"{r['container']}: {r['count']} {r['role']}"
     rows = o
     if brief:
-        from pyspark.sql import Window
-
-        rows = o.withColumn("_n", F.row_number().over(Window.partitionBy("container", "role").orderBy("first_seq"))).filter("_n <= 3")
+        rows = O.first_of_each(o, ["container", "role"], ["first_seq"], 3)
     for r in rows.orderBy("container", "first_seq").toLocalIterator():
         yield f"{r['subject']}  {r['role']}" + (f"  {r['size']} bytes" if r["size"] is not None else "")
         for d in r["digests"]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evspark.plans import lookups, maps, metadata, report, streams, text
+from evspark.plans import lookups, maps, metadata, objects, report, streams, text
 
-_PLANS = (metadata, maps, lookups, text, report, streams)
+_PLANS = (metadata, maps, lookups, objects, text, report, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
