@@ -55,6 +55,16 @@ def storage_form(types: Column, resident: Column, referred: Column, empty: Colum
     return F.when(n == 1, forms[0]).when(n > 1, "ambiguous").when(referred, "reference").when(empty, "no_content").otherwise("missing")
 
 
+#: Sizes up to which a file is kept in the metadata, as a member, and in a stream that files share. Fixed values.
+STORAGE_BANDS = (1 << 10, 1 << 20, 16 << 20)
+
+
+def storage_choice(size: Column, bands: tuple[int, int, int] = STORAGE_BANDS) -> Column:
+    """The form in which a writer keeps a file of a size."""
+    resident, member, shared = bands
+    return F.when(size == 0, "no_content").when(size <= resident, "in_metadata").when(size <= member, "zip_segment").when(size <= shared, "shared_map").otherwise("own_stream")
+
+
 def vendor_terms(statements: DataFrame, known: list[str]) -> DataFrame:
     """By namespace that isn't one of the known ones: statements, subjects and distinct terms."""
     space = S.namespace(F.col("predicate"))

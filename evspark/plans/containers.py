@@ -128,7 +128,7 @@ def verify(spark: SparkSession, paths: list[str]) -> DataFrame:
     blockMapHash by the digests of those. One pass over a resource's bytes makes all of its digests; bytes of what
     nobody recorded a digest of, and bevies that aren't a stream's, are never read."""
     recorded = recorded_digests(spark, paths).withColumn("algorithm", F.lower("algorithm"))
-    rows = _stream_bytes(spark, paths, recorded).unionByName(_member_bytes(spark, paths, recorded))
+    rows = _stream_bytes(spark, paths, recorded).unionByName(_member_bytes(spark, paths, recorded)).unionByName(_object_bytes(spark, paths, recorded))
     made = C.stream_digests(rows.withColumn("k", F.concat_ws("\n", *_KEY)), "k", "data", "chunk_no", list(_PLAIN.values()))
     pairs = F.array(*[F.struct(F.lit(plain).alias("algorithm"), F.col(a).alias("actual")) for plain, a in _PLAIN.items()])
     part = lambda i: F.get(F.split("k", "\n"), F.lit(i))
@@ -146,6 +146,13 @@ def _stream_bytes(spark: SparkSession, paths: list[str], recorded: DataFrame) ->
     return rows.join(whole, ["container", "stream"], "left_semi").select("container", F.col("stream").alias("subject"), F.lit("hash").alias("property"), "chunk_no", "data")
 
 
+def _object_bytes(spark: SparkSession, paths: list[str], recorded: DataFrame) -> DataFrame:
+    """Of objects that are neither streams nor members: files in maps or metadata, and images by their maps."""
+    wanted = recorded.filter("property = 'hash' and role not in ('ImageStream', 'BlockHashes')").select("container", "subject").distinct()
+    objects = info(spark, paths).join(wanted, ["container", "subject"], "left_semi")
+    return object_bytes(spark, paths, objects.filter(~F.exists("types", lambda t: S.local_name(t).isin("ZipSegment", "zip_segment")))).withColumn("property", F.lit("hash"))
+
+
 def _member_bytes(spark: SparkSession, paths: list[str], recorded: DataFrame) -> DataFrame:
     none = F.lit(0).cast("long")
     inner = F.when(F.startswith(F.col("subject"), F.concat("stored", F.lit("/"))), F.replace(F.substring(F.col("subject"), F.length("stored") + 2, F.length("subject")), F.lit("%20"), F.lit(" ")))
@@ -422,27 +429,77 @@ def read_image(spark: SparkSession, paths: list[str], image_map: str, start: int
     """The bytes of [start, stop) of a map, as pieces (at, data, kind, length) that follow on from each other when
     ordered by `at`. Entries and holes are clipped to the range, cut at chunk borders and joined to their chunks, of
     which only the bevies in question are opened. data is null where nothing tells the bytes."""
-    regions = written(image_regions(spark, paths, image_map, start, stop), "regions")
+    return _pieces(spark, paths, image_regions(spark, paths, image_map, start, stop)).drop("map")
+
+
+def _pieces(spark: SparkSession, paths: list[str], regions: DataFrame) -> DataFrame:
+    """The bytes of regions(map, clip_start, clip_length, from, kind, target) of any number of maps: map, at, data, kind, length."""
+    regions = written(regions, "regions")
     stored = regions.filter("kind = 'stored'").join(streams(spark, paths).withColumnRenamed("stream", "target"), "target", "left")
     others = regions.filter("kind is null or kind <> 'stored'")
     # What isn't stored is made in blocks, cut where the target's own blocks end.
     block = F.explode(F.sequence(F.floor(F.col("from") / BLOCK), F.floor((F.col("from") + F.col("clip_length") - 1) / BLOCK)))
     cut = others.withColumn("b", block).withColumn("low", F.greatest(F.col("from"), F.col("b") * BLOCK)).withColumn("length", F.least(F.col("from") + F.col("clip_length"), (F.col("b") + 1) * BLOCK) - F.col("low"))
     made = F.when(F.col("kind").isin("repeated_byte", "unknown"), filler(F.col("target"), F.col("low"), F.col("length")))
-    filled = cut.select((F.col("clip_start") + F.col("low") - F.col("from")).alias("at"), made.alias("data"), "kind", "length")
+    filled = cut.select("map", (F.col("clip_start") + F.col("low") - F.col("from")).alias("at"), made.alias("data"), "kind", "length")
     size, end = F.col("chunk_size"), F.col("from") + F.col("clip_length")
-    lost = stored.filter("chunk_size is null").select(F.col("clip_start").alias("at"), F.lit(None).cast("binary").alias("data"), "kind", F.col("clip_length").alias("length"))
+    lost = stored.filter("chunk_size is null").select("map", F.col("clip_start").alias("at"), F.lit(None).cast("binary").alias("data"), "kind", F.col("clip_length").alias("length"))
     stored = stored.filter("chunk_size is not null")
     spans = stored.groupBy("target").agg(F.min(F.floor(F.col("from") / size / F.col("per_segment"))).alias("first"), F.max(F.floor((end - 1) / size / F.col("per_segment"))).alias("last")).limit(MOST_ASKED + 1).collect()
     only = [(r["target"], r["first"], r["last"]) for r in spans] if len(spans) <= MOST_ASKED else None
     parts = C.of_regions(stored, F.col("from"), end, size)
     at = F.col("clip_start") + F.col("chunk_no") * size + F.col("within") - F.col("from")
-    parts = parts.select("target", "chunk_no", "kind", at.alias("at"), (F.col("within") + 1).cast("int").alias("skip"), "length")
+    parts = parts.select("map", "target", "chunk_no", "kind", at.alias("at"), (F.col("within") + 1).cast("int").alias("skip"), "length")
     held = chunks(spark, paths, only).groupBy(F.col("stream").alias("target"), "chunk_no").agg(F.first("data", ignorenulls=True).alias("bytes"))
     parts = parts.join(held, ["target", "chunk_no"], "left")
     piece = F.substring(F.col("bytes"), F.col("skip"), F.col("length").cast("int"))
     right = F.when(F.octet_length(piece) == F.col("length"), piece)
-    return parts.select("at", right.alias("data"), "kind", "length").unionByName(filled).unionByName(lost)
+    return parts.select("map", "at", right.alias("data"), "kind", "length").unionByName(filled).unionByName(lost)
+
+
+def map_regions(spark: SparkSession, paths: list[str], maps: DataFrame) -> DataFrame:
+    """The regions of all of maps(map, size), holes filled as image_regions() fills those of one."""
+    entries = K.read(spark, paths, "map_entries").join(maps.select("map", "size"), "map")
+    # The first volume that holds a map tells it.
+    entries = entries.join(entries.groupBy("map").agg(F.min_by("container", _place_of(paths)).alias("container")), ["map", "container"], "left_semi")
+    entries = written(entries, "entries")
+    holes = I.with_gaps(entries.select("map", "size", "ord", "offset", "length"), ["map"], ["ord"]).filter("gap > 0").select("map", "size", (F.col("offset") - F.col("gap")).alias("offset"), F.col("gap").alias("length"))
+    ends = entries.groupBy("map", "size").agg(F.max(F.col("offset") + F.col("length")).alias("offset"))
+    holes = holes.unionByName(ends.select("map", "size", "offset", (F.col("size") - F.col("offset")).alias("length")).filter("length > 0"))
+    s = statements(spark, paths).filter((S.local_name(F.col("predicate")) == "mapGapDefaultStream") & (F.col("obj_kind") == "iri"))
+    named = s.groupBy(F.col("subject").alias("map")).agg(F.min("obj_lexical").alias("named"), F.count_distinct("obj_lexical").alias("n")).filter("n = 1")
+    fill = F.coalesce("named", F.lit(K.SCHEMA_NS + "Zero"))
+    filled = holes.join(named, "map", "left").select("map", "size", "offset", "length", F.lit(0).cast("long").alias("from"), _kind_of(fill).alias("kind"), fill.alias("target"), F.lit(True).alias("gap"))
+    told = entries.join(resolved_targets(spark, paths), ["container", "map", "target_id"], "left")
+    told = told.select("map", "size", "offset", "length", (F.col("target_offset") + F.coalesce("shift", F.lit(0))).alias("from"), "kind", "target", F.lit(False).alias("gap"))
+    rows = told.unionByName(filled).withColumn("clip_length", F.least("length", F.col("size") - F.col("offset"))).filter("clip_length > 0")
+    return rows.select("map", F.col("offset").alias("clip_start"), "clip_length", "from", "kind", "target", "gap")
+
+
+def _kind_of(target: Column) -> Column:
+    """K.target_kind() as an expression."""
+    tail = S.local_name(target)
+    kind = F.when(target.rlike("^aff4:sha(256|512):"), "block_hash").when(tail.rlike("^(Zero|FF|SymbolicStream.*|[0-9A-Fa-f]{2})$"), "repeated_byte").when(tail.isin(*FILLERS), "unknown")
+    return kind.when(F.startswith(target, F.lit(K.SCHEME)), "stored").otherwise("unrecognised")
+
+
+def object_bytes(spark: SparkSession, paths: list[str], objects: DataFrame) -> DataFrame:
+    """The bytes of objects(container, subject, size), however they are stored: in a member, in the metadata, as a stream,
+    or as a map, the object's own or the one that its dataStream names. Pieces (container, subject, chunk_no, data) in
+    the order of chunk_no; an object whose bytes aren't there in whole has none."""
+    o, s = objects.select("container", "subject", "size"), statements(spark, paths)
+    told = s.filter(S.local_name(F.col("predicate")) == "dataStream").join(o.select("container", "subject"), ["container", "subject"], "left_semi")
+    none = F.lit(0).cast("long").alias("chunk_no")
+    resident = told.filter("obj_kind = 'literal'").select("container", "subject", none, S.strict_base64(F.col("obj_lexical")).alias("data"))
+    stream = streams(spark, paths).select(F.col("stream").alias("subject"))
+    maps = o.join(stream, "subject", "left_anti").join(told.filter("obj_kind = 'iri'").groupBy("container", "subject").agg(F.min("obj_lexical").alias("via")), ["container", "subject"], "left")
+    maps = maps.withColumn("map", F.coalesce("via", "subject")).join(K.read(spark, paths, "map_targets").select("map").distinct(), "map", "left_semi").filter("size >= 0")
+    pieces = _pieces(spark, paths, map_regions(spark, paths, maps.groupBy("map").agg(F.max("size").alias("size"))))
+    mapped = pieces.join(maps.select("container", "subject", "map"), "map").select("container", "subject", F.col("at").alias("chunk_no"), "data")
+    streamed = chunks(spark, paths).drop("container").join(o.join(stream, "subject", "left_semi").select("container", "subject"), F.col("stream") == F.col("subject")).select("container", "subject", "chunk_no", "data")
+    rows = written(resident.unionByName(mapped).unionByName(streamed), "bytes")
+    held = rows.groupBy("container", "subject").agg(F.sum(F.octet_length("data")).alias("n"), F.bool_or(F.col("data").isNull()).alias("bad")).join(o, ["container", "subject"])
+    return rows.join(held.filter("not bad and n = size").select("container", "subject"), ["container", "subject"], "left_semi")
 
 
 def export_image(spark: SparkSession, paths: list[str], image_map: str, size: int, out: str) -> int:
@@ -462,13 +519,19 @@ def export_image(spark: SparkSession, paths: list[str], image_map: str, size: in
 
 def export_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The logical files of containers with the safe and distinct paths that they are to be written to:
-    container, subject, recorded, written and data."""
+    container, subject, recorded, written, lastWritten, chunk_no and data, in pieces of which a file has one or more."""
     o = info(spark, paths).filter("role = 'FileImage'")
     prop = lambda n: F.nullif(F.get(F.filter("properties", lambda p: p["name"] == n), F.lit(0))["value"], F.lit(""))
-    named = o.select("container", "subject", "first_seq", F.coalesce(prop("originalPathName"), prop("originalFileName"), prop("fileName")).alias("recorded"), F.replace(F.substring(F.col("subject"), F.length("stored") + 2, F.length("subject")), F.lit("%20"), F.lit(" ")).alias("name"))
+    named = o.select("container", "subject", "first_seq", prop("lastWritten").alias("lastWritten"), F.coalesce(prop("originalPathName"), prop("originalFileName"), prop("fileName")).alias("recorded"), F.replace(F.substring(F.col("subject"), F.length("stored") + 2, F.length("subject")), F.lit("%20"), F.lit(" ")).alias("name"))
     named = named.withColumn("path", S.safe_path(F.coalesce("recorded", "name")))
     placed = D.deconflicted(named, "path", ["first_seq", "subject"])
-    return placed.join(K.read(spark, paths, "members", kinds="file"), ["container", "name"], "left").select("container", "subject", "recorded", "written", "data")
+    members = K.read(spark, paths, "members", kinds="file").select("container", "name", F.lit(0).cast("long").alias("chunk_no"), "data")
+    held = placed.join(members, ["container", "name"])
+    others = placed.join(held.select("container", "subject").distinct(), ["container", "subject"], "left_anti")
+    rest = object_bytes(spark, paths, o.join(others.select("container", "subject"), ["container", "subject"], "left_semi"))
+    others = others.join(rest, ["container", "subject"], "left")
+    out = ["container", "subject", "recorded", "written", "lastWritten", "chunk_no", "data"]
+    return held.select(out).unionByName(others.select(out))
 
 
 def digest_tsv(checks: DataFrame, algorithms: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evspark.operators import chunks as C
 from evspark.operators import intervals as I
+from evspark.operators import objects as O
 from evspark.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -198,8 +199,7 @@ def split_by_size(spark, sf_dir):
     n_chars + CASE WHEN n_chars <= 1048576 THEN 4096 ELSE 0 END AS cost, CAST(ceil(n_chars / 512.0) AS BIGINT) AS segments FROM documents""")
 def storage_choice(spark, sf_dir):
     n = F.col("n_chars")
-    form = F.when(n == 0, "no_content").when(n <= 1024, "in_metadata").when(n <= 4096, "zip_segment").when(n <= 16384, "shared_map").otherwise("own_stream")
-    return table(spark, sf_dir, "documents").select("doc_id", form.alias("storage"), (n + F.when(n <= 1048576, 4096).otherwise(0)).alias("cost"), C.segments(n, 64, 8).alias("segments"))
+    return table(spark, sf_dir, "documents").select("doc_id", O.storage_choice(n, (1024, 4096, 16384)).alias("storage"), (n + F.when(n <= 1048576, 4096).otherwise(0)).alias("cost"), C.segments(n, 64, 8).alias("segments"))
 
 
 @query("SELECT lang, count(*) AS streams, CAST(sum(n_chars) AS BIGINT) AS bytes, CAST(sum(ceil(n_chars / 512.0)) AS BIGINT) AS segments, count(DISTINCT source) AS codecs, max(n_chars) AS largest FROM documents GROUP BY 1")

@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import random
 
 import pytest
 
 from evspark import __main__ as cli
+from evspark.api import Image
+from evspark.plans import containers as P
 from evspark.plans import volumes as V
 from evspark.sources import container as K
 from evspark.sources import files as S
@@ -34,6 +38,74 @@ def test_acquire_and_export(spark, tmp_path, capsys):
     assert cli.main(["rules"]) == cli.OK and "of 83 rules" in capsys.readouterr().out
 
 
+@pytest.fixture
+def many(tmp_path):
+    """Files of every storage form, with chunks that are alike, and their bytes."""
+    random.seed(3)
+    same, files = random.randbytes(32768 * 3), {"empty": b"", "small": b"few bytes", "text": b"line\n" * 3000}
+    files |= {"one": same + b"tail of one", "two": same + b"of two", "d/large": random.randbytes(1_300_000), "d/huge": bytes(17 << 20) + b"end"}
+    for name, data in files.items():
+        path = tmp_path / "source" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+        os.utime(path, (1_600_000_000, 1_600_000_000))
+    return tmp_path / "source", files
+
+
+@pytest.mark.parametrize("options", [[], ["--dedupe"], ["--part-size", "200000"]])
+def test_storage_forms(spark, tmp_path, capsys, many, options):
+    source, files = many
+    out = str(tmp_path / "c.aff4")
+    assert cli.main(["--log", str(tmp_path / "log"), "acquire", str(source), out, "--verify", *options]) == cli.OK
+    text = capsys.readouterr().out
+    checked = 2 * (len(files) + ("--dedupe" not in options))  # a stream of one file has digests of its own
+    assert f"{checked} checked, {checked} matched" in text and (tmp_path / "log").read_text() == text
+    names = [out] + sorted(str(p) for p in tmp_path.glob("c.aff4.*"))
+    assert (len(names) > 1) == ("--part-size" in options)
+    forms = {"/".join(sorted({t.rsplit("#", 1)[-1] for t in r["types"]} & {"Map", "ZipSegment"})) for r in P.info(spark, names).filter("role = 'FileImage'").collect()}
+    assert forms == {"", "Map", "ZipSegment"}
+    found = {r["kind"] for r in P.conformance(spark, names).filter("not coalesce(routine, false)").collect()}
+    assert not found
+    if "--dedupe" in options:
+        assert P.streams(spark, names).agg({"size": "max"}).head()[0] < 3 << 20  # zeros are one chunk
+    target = tmp_path / "target"
+    assert cli.main(["export", str(target), *names]) == cli.OK
+    assert {str(p.relative_to(target)): p.read_bytes() for p in target.rglob("*") if p.is_file()} == files
+    assert {int(p.stat().st_mtime) for p in target.rglob("*") if p.is_file()} == {1_600_000_000}
+
+
+def test_mapped_damage(spark, tmp_path):
+    """A file whose stream lacks bytes isn't verifiable, and one whose recorded digest is another's mismatches."""
+    path = str(tmp_path / "c.aff4")
+    w = ContainerWriter(path, chunk_size=512, per_segment=2)
+    w.mapped("whole", [b"a" * 700], "shared_map")
+    w.mapped("beyond", [b"b" * 700], "shared_map")
+    name, folder = w.member_of("lost")
+    w._map_members(folder, [(0, 100, 0, 0)], ["aff4://nowhere"], name)
+    w._file(name, ("Map",), 100, "lost", None, None, {"sha256": hashlib.sha256(b"")})
+    name, folder = w.member_of("wrong")
+    w._map_members(folder, [(10, 90, 0, 0)], [w.shared["shared_map"].name], name)
+    w._file(name, ("Map",), 110, "wrong", None, None, {"sha256": hashlib.sha256(b"\0" * 10 + b"a" * 90)})
+    name, folder = w.member_of("filled")
+    w._map_members(folder, [(10, 90, 0, 0)], [w.shared["shared_map"].name], name)
+    w._file(name, ("Map",), 110, "filled", None, None, {"sha256": hashlib.sha256(b"\0" * 10 + b"a" * 90 + b"\0" * 10)})
+    w.close()
+    got = {r["subject"]: r["outcome"] for r in P.verify(spark, [path]).collect()}
+    assert {n: got[w.member_of(n)[0]] for n in ("whole", "beyond", "lost", "wrong", "filled")} == {"whole": "matched", "beyond": "matched", "lost": "not_verifiable", "wrong": "mismatch", "filled": "matched"}
+
+
+def test_acquired_image(spark, tmp_path):
+    data = random.Random(4).randbytes((1 << 20) + 700)
+    (tmp_path / "disk.raw").write_bytes(data)
+    out = str(tmp_path / "disk.aff4")
+    assert cli.main(["acquire", "--image", "--verify", str(tmp_path / "disk.raw"), out]) == cli.OK
+    assert Image(spark, [out]).read(0, len(data)) == data
+    with pytest.raises(FileExistsError):
+        cli.main(["acquire", "--image", str(tmp_path / "disk.raw"), out])
+    listing = tmp_path / "listing"
+    assert cli.main(["info", out, "--full-listing", str(listing)]) == cli.OK and "DiskImage" in listing.read_text()
+
+
 def test_walk_and_split(spark, tmp_path):
     for k in (1, 2, 3):
         (tmp_path / f"image.00{k}").write_bytes(bytes([k]) * k * 10)
