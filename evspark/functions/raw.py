@@ -122,36 +122,27 @@ def decode_chunk(codec: str, data: bytes, chunk_size: int) -> bytes:
 
 
 def _lz4_block(data: bytes, most: int) -> bytes:
-    """A raw LZ4 block, whose length nothing states."""
-    out, i = bytearray(), 0
-    while i < len(data):
+    """A raw LZ4 block, whose length nothing states: it is summed over the block's sequences, and the codec does the rest."""
+    size, i, end = 0, 0, len(data)
+
+    def more(n: int, i: int) -> tuple[int, int]:
+        while n >= 15:
+            n, i = n + data[i], i + 1
+            if data[i - 1] != 255:
+                break
+        return n, i
+
+    while i < end:
         token = data[i]
-        i += 1
-        n = token >> 4
-        if n == 15:
-            while True:
-                n += data[i]
-                i += 1
-                if data[i - 1] != 255:
-                    break
-        out += data[i : i + n]
-        i += n
-        if i >= len(data):
+        literals, i = more(token >> 4, i + 1)
+        size, i = size + literals, i + literals
+        if i >= end:
             break
-        back = data[i] | data[i + 1] << 8
-        i += 2
-        n = (token & 15) + 4
-        if token & 15 == 15:
-            while True:
-                n += data[i]
-                i += 1
-                if data[i - 1] != 255:
-                    break
-        if not 0 < back <= len(out) or len(out) + n > most:
-            raise ValueError("a bad LZ4 block")
-        for _ in range(n):
-            out.append(out[-back])
-    return bytes(out)
+        matched, i = more(token & 15, i + 2)
+        size += matched + 4
+    if size > most:
+        raise ValueError("a chunk is larger than the chunk size")
+    return pa.Codec("lz4_raw").decompress(data, size, asbytes=True)
 
 
 def decode_udf(codec: str, chunk_size: int):
