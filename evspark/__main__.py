@@ -160,6 +160,8 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--brief", action="store_true")
         if name == "info":
             s.add_argument("--full-listing", metavar="FILE", help="write the whole listing to a new file")
+        if name == "verify":
+            s.add_argument("--digests", metavar="FILE", help="write a table of the files' digests to a new file")
         s.add_argument("--generation", choices=tuple(D.GOVERNING), default=None, help="cite by this one instead of each container's own")
     s = sub.add_parser("acquire")
     s.add_argument("source")
@@ -182,10 +184,13 @@ def main(argv: list[str] | None = None) -> int:
         return run(o)
 
 
-def _verified(spark: SparkSession, paths: list[str], as_json: bool) -> int:
-    checks = P.verify(spark, paths).persist()
-    for line in checks.toJSON().toLocalIterator() if as_json else render.verification_text(checks, P.notes(spark, paths)):
+def _verified(spark: SparkSession, paths: list[str], as_json: bool, digests: str | None = None) -> int:
+    checks, notes = P.verify(spark, paths).persist(), P.notes(spark, paths)
+    for line in render.rows_json(checks=checks, notes=notes, counters=D.report_counters(checks)) if as_json else render.verification_text(checks, notes):
         print(line)
+    if digests:
+        with open(digests, "x", encoding="utf-8") as f:
+            f.writelines(f"{line}\n" for line in render.digests_text(spark, paths, checks))
     worst = checks.agg(F.max(D.severity(F.col("outcome")))).head()[0] or 0
     return {2: MISMATCH, 1: NOT_VERIFIABLE}.get(worst, OK)
 
@@ -206,10 +211,10 @@ def run(o: argparse.Namespace) -> int:
                 print(line)
         return OK
     if o.command == "verify":
-        return _verified(spark, o.paths, o.format == "json")
+        return _verified(spark, o.paths, o.format == "json", o.digests)
     if o.command == "conformance":
         found = P.conformance(spark, o.paths, o.generation).persist()
-        for line in found.toJSON().toLocalIterator() if o.format == "json" else render.conformance_text(found):
+        for line in render.rows_json(deviations=found) if o.format == "json" else render.conformance_text(found):
             print(line)
         return DEVIATES if found.filter("not coalesce(routine, false)").limit(1).count() else OK
     if o.command == "acquire":

@@ -42,6 +42,15 @@ def role_counts(objects: DataFrame, by: list[str] = ()) -> DataFrame:
     )
 
 
+def content_types(objects: DataFrame, by: list[str], content: Column) -> DataFrame:
+    """What a container is of: a disk image, files, folders or both, else the content types that its objects state."""
+    has = lambda *roles: F.bool_or(F.col("role").isin(*roles))
+    files, folders = has("FileImage"), has("FolderImage", "Folder")
+    stated = F.array_join(F.array_sort(F.collect_set(content)), ", ")
+    kind = F.when(has(*IMAGE_ROLES[:3]), "disk image").when(files & folders, "files and folders").when(files, "files").when(folders, "folders")
+    return objects.groupBy(*by).agg(F.coalesce(kind, F.nullif(stated, F.lit("")), F.lit("not stated")).alias("content_type"))
+
+
 def is_substantial(size: Column) -> Column:
     return F.coalesce(size >= SUBSTANTIAL, F.lit(False))
 

@@ -534,10 +534,10 @@ def export_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return held.select(out).unionByName(others.select(out))
 
 
-def digest_tsv(checks: DataFrame, algorithms: list[str]) -> DataFrame:
-    """The wide table of file digests as escaped lines of tab-separated values."""
-    wide = D.digest_table(checks.filter("role = 'FileImage'"), "subject", algorithms)
-    return wide.select(F.concat_ws("\t", *[F.coalesce(S.tsv_escape(F.col(c)), F.lit("")) for c in wide.columns]).alias("value"))
+def recorded_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """container, subject and recorded path of each logical file; null where none is recorded."""
+    prop = lambda n: F.nullif(F.get(F.filter("properties", lambda p: p["name"] == n), F.lit(0))["value"], F.lit(""))
+    return info(spark, paths).filter("role = 'FileImage'").select("container", "subject", F.coalesce(prop("originalPathName"), prop("originalFileName"), prop("fileName")).alias("recorded"))
 
 
 def natural_parts(names: list[str]) -> list[str]:

@@ -146,3 +146,13 @@ def offset_stamps(spark, sf_dir):
     k, stamp = F.col("event_id") % 4, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     text = F.concat(stamp, F.when(k == 0, ".125Z").when(k == 1, "+05:30").when(k == 2, "-08:00").otherwise(" nowhere"))
     return table(spark, sf_dir, "events").select("event_id", text.alias("text")).select("event_id", O.offset_stamp(F.col("text")).alias("seconds"))
+
+
+@query("""WITH o AS (SELECT c_custkey // 3 AS container, CASE c_custkey * 7 % 11 WHEN 0 THEN 'DiskImage' WHEN 1 THEN 'FileImage' WHEN 2 THEN 'Folder' ELSE 'Map' END AS role, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS content FROM customer)
+    SELECT container, CASE WHEN bool_or(role = 'DiskImage') THEN 'disk image' WHEN bool_or(role = 'FileImage') AND bool_or(role = 'Folder') THEN 'files and folders' WHEN bool_or(role = 'FileImage') THEN 'files' WHEN bool_or(role = 'Folder') THEN 'folders'
+      WHEN count(content) > 0 THEN array_to_string(list_sort(list(DISTINCT content) FILTER (content IS NOT NULL)), ', ') ELSE 'not stated' END AS content_type FROM o GROUP BY 1""")
+def content_types(spark, sf_dir):
+    k = F.col("c_custkey")
+    role = F.when(k * 7 % 11 == 0, "DiskImage").when(k * 7 % 11 == 1, "FileImage").when(k * 7 % 11 == 2, "Folder").otherwise("Map")
+    objects = table(spark, sf_dir, "customer").select(F.floor(k / 3).alias("container"), role.alias("role"), F.when(k % 4 == 0, F.col("c_mktsegment")).alias("content"))
+    return O.content_types(objects, ["container"], F.col("content"))

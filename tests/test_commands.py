@@ -27,10 +27,18 @@ def test_acquire_and_export(spark, tmp_path, capsys):
     assert cli.main(["acquire", str(source), out]) == cli.SKIPPED
     assert cli.main(["verify", out]) == cli.OK
     assert "6 checked, 6 matched" in capsys.readouterr().out
+    assert cli.main(["verify", out, "--format", "json", "--digests", str(tmp_path / "digests")]) == cli.OK
+    x = json.loads(capsys.readouterr().out)
+    assert len(x["checks"]) == 6 and x["counters"][0]["matched"] == 6 and x["notes"] == []
+    heading, *lines = [line.split("\t") for line in (tmp_path / "digests").read_text().splitlines()]
+    assert [line[heading.index("recorded")] for line in lines] == ["a.txt", "d/tab%09%25.bin", "empty"]  # the display form
+    assert lines[0][heading.index("md5_actual")] == hashlib.md5(b"abc" * 1000).hexdigest()
     assert cli.main(["info", out, "--format", "json"]) == cli.OK
     x = json.loads(capsys.readouterr().out)
     assert len(x["containers"][0]["objects"]) == 3 and x["errors"] == []
-    assert cli.main(["info", out, "--brief"]) == cli.OK and "3 FileImage" in capsys.readouterr().out
+    assert cli.main(["info", out, "--brief"]) == cli.OK
+    text = capsys.readouterr().out
+    assert "3 FileImage" in text and "2.1, written by evspark, files" in text
     assert cli.main(["conformance", out]) == cli.OK
     target = tmp_path / "target"
     assert cli.main(["export", str(target), out]) == cli.OK
