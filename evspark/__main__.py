@@ -72,11 +72,13 @@ def acquire(spark: SparkSession, source: str, out: str, version: tuple[int, int]
         raw, times = os.fsencode(path), {"lastWritten": datetime.fromtimestamp(r["modified"], UTC).isoformat().replace("+00:00", "Z")}
         if r["form"] == "in_metadata":
             with open(r["path"], "rb") as f:
-                w.resident(path, f.read(), raw, times)
+                name = w.resident(path, f.read(), raw, times)
         elif r["form"] in ("no_content", "zip_segment") and not (dedupe and r["size"]):
-            w.file_member(path, _pieces(r["path"]), raw, times)
+            name = w.file_member(path, _pieces(r["path"]), raw, times)
         else:
-            w.mapped(path, _pieces(r["path"]), "deduplicated" if dedupe else r["form"], raw, times)
+            name = w.mapped(path, _pieces(r["path"]), "deduplicated" if dedupe else r["form"], raw, times)
+        if version >= (2, 1):
+            w.attributes(name, S.attributes(r["path"]))
     w.close()
     return names, skipped
 

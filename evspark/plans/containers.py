@@ -280,10 +280,6 @@ LOGICAL_NS = "http://aff4.org/Schema/2022/#"
 KNOWN_NS = (K.SCHEMA_NS, LOGICAL_NS, "https://aff4.org/Schema/2022/#", "http://afflib.org/2009/aff4#")
 STANDARD_TERMS = ("Image", "ContiguousImage", "DiskImage", "ImageStream", "Map", "ZipVolume", "BlockHashes", "size", "chunkSize", "chunksInSegment", "compressionMethod", "hash", "stored", "dataStream", "dependentStream", "target", "mapGapDefaultStream", "contains")
 
-#: Bytes that metadata may hold itself.
-MOST_RESIDENT = 1024
-
-
 def _volume_rules(spark: SparkSession, paths: list[str], s: DataFrame, o: DataFrame, files: DataFrame, members: DataFrame) -> list[tuple]:
     """Deviations of volumes as wholes: rows, kind, subject and detail."""
     none = F.lit(None).cast("string")
@@ -307,7 +303,7 @@ def _volume_rules(spark: SparkSession, paths: list[str], s: DataFrame, o: DataFr
         (ranges, "ByteRangeArn", none, F.col("n")),
         (wrong, "WrongTermNamespace", F.col("subject"), F.col("predicate")),
         (spelt.join(members, ["container", "name"], "left_anti").join(members.withColumnRenamed("name", "escaped"), ["container", "escaped"], "left_semi"), "EscapedV21MemberName", F.col("subject"), F.col("escaped")),
-        (resident.filter(F.col("bytes") > MOST_RESIDENT), "OversizedResidentStream", F.col("subject"), F.col("bytes")),
+        (resident.filter(F.col("bytes") > K.MOST_RESIDENT), "OversizedResidentStream", F.col("subject"), F.col("bytes")),
         (resident.filter("bytes is null"), "StorageFormNotFound", F.col("subject"), F.lit("not base 64")),
         (alpha.filter("metadata_hashes is null"), "MissingMetadataHash", none, none),
         (alpha.filter((F.col("metadata_hashes") != "") & ~S.strong_enough(algorithms)), "WeakMetadataHash", none, F.col("metadata_hashes")),

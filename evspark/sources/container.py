@@ -39,6 +39,9 @@ CODEC_IRIS = {"http://code.google.com/p/snappy/": "snappy", "https://www.ietf.or
 #: Declared sizes beyond this, or ratios beyond the other, are refused.
 MOST_BYTES, MOST_RATIO = 1 << 30, 1000
 
+#: Bytes that metadata may hold itself. Fixed value.
+MOST_RESIDENT = 1024
+
 SCHEMAS = {
     "segments": "container string, pos long, name string, kind string, method int, compressed long, uncompressed long, header_offset long",
     "statements": "container string, seq long, subject string, predicate string, obj_kind string, obj_lexical string, obj_datatype string",

@@ -102,6 +102,24 @@ def test_mapped_damage(spark, tmp_path):
     assert {n: got[w.member_of(n)[0]] for n in ("whole", "beyond", "lost", "wrong", "filled")} == {"whole": "matched", "beyond": "matched", "lost": "not_verifiable", "wrong": "mismatch", "filled": "matched"}
 
 
+def test_attributes(spark, tmp_path, monkeypatch):
+    (tmp_path / "source").mkdir()
+    (tmp_path / "source" / "a").write_bytes(b"abc" * 900)
+    values = {"user.few": b"few \xff bytes", "user.many": bytes(range(256)) * 20}
+    monkeypatch.setattr(S, "attributes", lambda path: values)
+    out = str(tmp_path / "c.aff4")
+    assert cli.acquire(spark, str(tmp_path / "source"), out) == ([out], 0)
+    found = {}
+    for r in P.info(spark, [out]).filter("exists(types, t -> t like '%FileExtendedAttribute')").collect():
+        found[next(p["value"] for p in r["properties"] if p["name"] == "name")] = (r["subject"], r["size"])
+    assert {k: n for k, (_, n) in found.items()} == {k: len(v) for k, v in values.items()}
+    few = P.object_bytes(spark, [out], P.info(spark, [out]).filter(P.F.col("subject") == found["user.few"][0])).collect()
+    assert [bytes(r["data"]) for r in few] == [values["user.few"]]
+    members = {r["name"]: bytes(r["data"]) for r in K.read(spark, [out], "members", kinds="file").collect()}
+    assert values["user.many"] in members.values()
+    assert cli.main(["verify", out]) == cli.OK and cli.main(["conformance", out]) == cli.OK
+
+
 def test_acquired_image(spark, tmp_path):
     data = random.Random(4).randbytes((1 << 20) + 700)
     (tmp_path / "disk.raw").write_bytes(data)
