@@ -132,6 +132,27 @@ def test_acquired_image(spark, tmp_path):
     assert cli.main(["info", out, "--full-listing", str(listing)]) == cli.OK and "DiskImage" in listing.read_text()
 
 
+def test_image_with_bad_sectors(spark, tmp_path, monkeypatch):
+    data, whole = random.Random(6).randbytes(9 * 512 + 100), S.read_tolerantly
+    (tmp_path / "disk.raw").write_bytes(data)
+
+    def failing(read, size):
+        def bad(at, n):
+            if at < 5 * 512 and at + n > 3 * 512:
+                raise OSError("bad")
+            return read(at, n)
+
+        return whole(bad, size)
+
+    monkeypatch.setattr(S, "read_tolerantly", failing)
+    out = str(tmp_path / "disk.aff4")
+    assert cli.acquire_image(str(tmp_path / "disk.raw"), out) == [(3 * 512, 2 * 512)]
+    image = Image(spark, [out])
+    unread = (b"UNREADABLEDATA" * 400)[3 * 512 % 14 :][:1024]
+    assert image.read(0, len(data)) == data[: 3 * 512] + unread + data[5 * 512 :]
+    assert image.read(0, len(data), "report") == data[: 3 * 512]
+
+
 def test_walk_and_split(spark, tmp_path):
     for k in (1, 2, 3):
         (tmp_path / f"image.00{k}").write_bytes(bytes([k]) * k * 10)
