@@ -3,8 +3,10 @@ joins and Arrow slicing."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,46 @@ def null_safe_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: What a Python worker keeps between tasks, by key, and the operator whose it is.
+_RESIDENT: dict = {}
+_OWNER: list[str] = []
+
+
+def _enter(owner: str) -> None:
+    if _OWNER != [owner]:
+        _RESIDENT.clear()
+        _OWNER[:] = [owner]
+
+
+def resident(owner: str, key, build: Callable):
+    """build(), which a worker makes once and keeps until another operator works in it."""
+    _enter(owner)
+    if key not in _RESIDENT:
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
+def _give_back() -> None:
+    """Memory that is free again goes back to the system; allocators would keep it beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_worker(owner: str, work: Callable) -> Callable:
+    """`work` as mapInArrow takes it. Workers outlive stages: what another operator kept there goes before
+    the task, and what the task no longer needs after it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _enter(owner)
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return whole
+
+
 def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """The batches cut to `most` bytes in column `name` and so many rows, or to one row where it has more."""
     for batch in batches:

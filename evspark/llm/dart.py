@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evspark.llm.common import drop_written, join_groups, null_safe_text, numbered, slices, words_of, written
+from evspark.llm.common import drop_written, in_worker, join_groups, null_safe_text, numbered, slices, words_of, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -209,7 +209,7 @@ def sketches(docs: DataFrame, n_bands: int = BANDS, n_rows: int = ROWS) -> DataF
 
     text = null_safe_text()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _text_key(text).alias("text_key"))
-    return rows.mapInArrow(work, "doc_id long, text_key string, keys array<long>, bits array<long>")
+    return rows.mapInArrow(in_worker("dart", work), "doc_id long, text_key string, keys array<long>, bits array<long>")
 
 
 def finer(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def finer(texts: DataFrame, ids: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * bits.shape[1], pa.int32()), pa.array(bits.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "fine"])
 
-    out = texts.join(ids, "doc_id", "left_semi").mapInArrow(work, "doc_id long, fine array<long>")
+    out = texts.join(ids, "doc_id", "left_semi").mapInArrow(in_worker("dart", work), "doc_id long, fine array<long>")
     # Of texts that share an id, one; they are one document.
     return written(out.groupBy("doc_id").agg(F.first("fine").alias("fine")), "fine")
 
@@ -248,7 +248,7 @@ def linked(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
                 for part in slices(iter([batch]), "text_b", 1 << 20):
                     yield part.select(["a", "b"]).filter(pa.array(_similarities(part.column("text_a"), part.column("text_b")) >= threshold))
 
-    return written(both.mapInArrow(work, "a long, b long"), "links")
+    return written(both.mapInArrow(in_worker("dart", work), "a long, b long"), "links")
 
 
 def _similarities(left: pa.Array, right: pa.Array) -> np.ndarray:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm.common import TOKENIZERS, numbered, per_row, slices, utf8, words_of
+from evspark.llm.common import TOKENIZERS, in_worker, numbered, per_row, resident, slices, utf8, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -134,15 +134,14 @@ def base_fails(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
-#: By content: a worker builds each encoder once.
-_ENCODERS: dict[str, tuple] = {}
-
-
 def _encoder(file: bytes):
-    """The encoder of a ranks file, and for each id whether its bytes aren't whole characters."""
+    """The encoder of a ranks file, and for each id whether its bytes aren't whole characters. By content: a
+    worker builds each encoder once."""
     import tiktoken
 
-    if (key := hashlib.sha256(file).hexdigest()) not in _ENCODERS:
+    key = hashlib.sha256(file).hexdigest()
+
+    def build() -> tuple:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines()) if a}
         partial = np.zeros(max(ranks.values()) + 1, bool)
         for token, i in ranks.items():
@@ -150,8 +149,9 @@ def _encoder(file: bytes):
                 token.decode()
             except UnicodeDecodeError:
                 partial[i] = True
-        _ENCODERS[key] = tiktoken.Encoding(key, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), partial
-    return _ENCODERS[key]
+        return tiktoken.Encoding(key, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), partial
+
+    return resident("fertility", key, build)
 
 
 def tokens(encoder, text: str) -> np.ndarray:
@@ -257,7 +257,7 @@ def score(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabularies: dict[str,
             names, types = zip(*(x.split() for x in SCHEMA.split(", ")[1:]), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out[c], kinds[k]) for c, k in zip(names, types, strict=True))], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(work, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(in_worker("fertility", work), SCHEMA)
 
 
 def keep(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabularies: dict[str, str] = VOCABULARIES, bands: dict[str, Band] = BANDS) -> DataFrame:
@@ -270,4 +270,4 @@ def keep(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabularies: dict[str,
             out = _judged(sent, bands, pc.fill_null(batch.column("text"), ""), batch.column("lang").to_pylist())
             yield batch.filter(pa.array(out["kept"]))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(in_worker("fertility", work), docs.schema)

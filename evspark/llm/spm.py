@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from evspark.llm.common import TOKENIZERS, numbered, slices
+from evspark.llm.common import TOKENIZERS, in_worker, numbered, resident, slices
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -134,12 +134,12 @@ class Encoder:
         for w in words.to_pylist():
             got = self.known.get(w)
             if got is None:
-                got = np.asarray(self.word(w), dtype=np.int32)
+                got = np.asarray(self.word(w), dtype=np.int32).tobytes()  # an array takes three times as much
                 if len(w) <= 64:
                     self.known[w] = got
             parts.append(got)
-        sizes = np.array([len(p) for p in parts], dtype=np.int64)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)
+        flat = np.frombuffer(b"".join(parts), np.int32)
         starts = np.cumsum(sizes) - sizes
         n = sizes[code]
         ends = np.cumsum(n)
@@ -174,9 +174,6 @@ def decode(pieces: Pieces, ids) -> str:
     return b"".join([pieces.text[i] for i in ids])[1:].decode("utf-8", "replace")
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encode_column(docs: DataFrame, text: str = "text", into: str = "ids", model: str = f"{TOKENIZERS}/{MODEL}") -> DataFrame:
     """docs with the ids of a text column. Map-only. The driver reads the model file and broadcasts its
     pieces, whose number the vocabulary fixes."""
@@ -191,9 +188,7 @@ def with_ids(docs: DataFrame, derive, fields: list[StructField], text: str = "te
     key = hash(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _ENCODERS:
-            _ENCODERS[key] = Encoder(Pieces(*sent.value))
-        encoder = _ENCODERS[key]
+        encoder = resident("spm", key, lambda: Encoder(Pieces(*sent.value)))
         for batch in slices(batches, text):
             col = pc.fill_null(batch.column(text), "")
             ids, n = encoder.ids(col)
@@ -206,4 +201,4 @@ def with_ids(docs: DataFrame, derive, fields: list[StructField], text: str = "te
                 batch = batch.append_column(field.name, values)
             yield batch
 
-    return docs.mapInArrow(work, StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(in_worker("spm", work), StructType([*docs.schema.fields, *fields]))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import math
 import re
+import weakref
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +17,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from evspark.llm import chat, dart, fertility, fingerprints, licenses, mixing, shards, spm, warc
 from evspark.llm.common import join_groups
@@ -724,6 +728,36 @@ def brute_quality(rows):
     return kept
 
 
+class _OneWorker:
+    """Stands in for a table: gives the function that mapInArrow would run in a worker."""
+
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType())])
+    sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value)))
+
+    def drop(self, *names):
+        return self
+
+    def mapInArrow(self, work, schema):
+        return work
+
+
+def test_worker_keeps_one_stage():
+    """A worker outlives the pipeline's stages; the vocabularies of an earlier one don't stay beside a later one's."""
+    import tiktoken
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a few words of a text " * 30, None], "lang": ["en", "de"]})
+    encoders = lambda: [o for o in gc.get_objects() if isinstance(o, tiktoken.Encoding)]
+    list(spm.encode_column(_OneWorker())(iter([])))  # what tests before this one left goes
+    others = encoders()
+    list(fertility.keep(_OneWorker())(iter([batch])))
+    made = [weakref.ref(o) for o in encoders() if not any(o is x for x in others)]
+    assert made
+    out = pa.Table.from_batches(spm.encode_column(_OneWorker())(iter([batch])))
+    gc.collect()
+    assert not any(r() for r in made)
+    assert out.column("ids").to_pylist() == [spm.Encoder(spm.load()).encode(batch.column("text")[0].as_py()), None]
+
+
 def test_pipeline(spark, sf, encoder):
     """Each stage on what the one before it kept, against brute force."""
     import corpus_pipeline
