@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cut(rows: DataFrame, key: list[str], text: str, size: int, per_segment: int) -> DataFrame:
+def cut(rows: DataFrame, key: list[str], text: str, size: int, per_segment: int, every: bool = False) -> DataFrame:
     """The chunks of a column's bytes (UTF-8 of a text): chunk_no, segment, place in it, data and true length.
 
     A row is cut before it is dealt out, so that a chunk's row holds the chunk alone, and in one pass over the bytes,
-    each of which stands for a character meanwhile: time grows with length."""
+    each of which stands for a character meanwhile: time grows with length. With `every`, no row is without a chunk: that
+    of no bytes has an empty one, and that of a null a null one, without number."""
     as_characters = F.decode(F.col(text).cast("binary"), "ISO-8859-1")
-    cut_up = rows.select(*key, F.posexplode(F.regexp_extract_all(as_characters, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("chunk_no", "_data"))
+    pieces = F.regexp_extract_all(as_characters, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    dealt = F.posexplode_outer(F.when(F.octet_length(F.col(text).cast("binary")) == 0, F.array(F.lit(""))).otherwise(pieces)) if every else F.posexplode(pieces)
+    cut_up = rows.select(*key, dealt.alias("chunk_no", "_data"))
     out = cut_up.select(*key, "chunk_no", F.floor(F.col("chunk_no") / per_segment).cast("int").alias("segment"), (F.col("chunk_no") % per_segment).alias("place"), F.encode("_data", "ISO-8859-1").alias("data"))
     return out.withColumn("length", F.octet_length("data"))
 

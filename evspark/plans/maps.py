@@ -160,8 +160,12 @@ def block_digests(spark, sf_dir):
 
 @query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, octet_length(encode(text)) AS bytes FROM documents")
 def multi_digest(spark, sf_dir):
-    out = C.stream_digests(_chunks(spark, sf_dir).select("doc_id", "chunk_no", "data"), "doc_id", "data", "chunk_no", ["md5", "sha1", "sha256"])
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "md5", "sha1", "sha256", "bytes")
+    """Each row's text is a stream of its own, whatever its id: one without bytes too, while a null has no digest."""
+    rows = table(spark, sf_dir, "documents").select(F.concat_ws(":", F.monotonically_increasing_id(), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("text").isNull(), "null")).alias("stream"), "text")
+    out = C.stream_digests(C.cut(rows, ["stream"], "text", 64, 8, every=True), "stream", "data", "chunk_no", ["md5", "sha1", "sha256"])
+    part = F.split("stream", ":")
+    there = F.get(part, F.lit(2)).isNull()
+    return out.select(F.get(part, F.lit(1)).try_cast("long").alias("doc_id"), *[F.when(there, F.col(c)).alias(c) for c in ("md5", "sha1", "sha256", "bytes")])
 
 
 @query("SELECT conv_id, sha256(string_agg(role || text, '' ORDER BY turn)) AS sha256, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1")

@@ -61,3 +61,9 @@ def agrees(spark, folder, name, table, select):
 def test_filler_of_large_keys(spark, tmp_path):
     near = "SELECT unnest(range(n - 50, n + 50)) AS p_partkey FROM (VALUES (1048576), (3145728), (6442450944)) v(n)"
     assert agrees(spark, tmp_path, "filler_bytes", "part", f"SELECT p_partkey, CAST(p_partkey % 50 + 1 AS INTEGER) AS p_size FROM ({near})")
+
+
+def test_digests_of_every_row(spark, tmp_path):
+    """Rows without bytes, nulls, ids that rows share and no id at all."""
+    some = "(1, 'a'), (2, ''), (3, NULL), (4, repeat('é', 100)), (4, repeat('é', 100)), (4, 'b'), (NULL, 'c'), (NULL, NULL), (5, repeat('x', 64)), (5, '')"
+    assert agrees(spark, tmp_path, "multi_digest", "documents", f"SELECT CAST(i AS BIGINT) AS doc_id, t AS text FROM (VALUES {some}) v(i, t)")
