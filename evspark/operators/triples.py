@@ -6,6 +6,8 @@ look-up of another subject is an equi join, and every "is it there" a semi or an
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +15,39 @@ from pyspark.sql import functions as F
 INTEGERS = ("long", "int", "unsignedLong", "unsignedInt", "short", "byte", "integer")
 
 
-def unpivot(rows: DataFrame, subject: Column, order: Column, values: list[tuple[str, str, Column, str]]) -> DataFrame:
+#: Statements that a task makes and groups. Fixed value.
+TASK = 500_000
+
+
+def unpivot(rows: DataFrame, subject: Column, order: Column, values: list[tuple[str, str, Column, str]], tasks: int | None = None) -> DataFrame:
     """A triple for each (predicate, kind, value, datatype) of each row; seq is the row's order times 16
-    plus the place in the list. Null values make no triple."""
+    plus the place in the list. Null values make no triple. With `tasks`, rows are first dealt by subject to so many."""
     if len(values) > 16:
         raise ValueError("16 values at most")
-    each = [F.struct(F.lit(p).alias("predicate"), F.lit(k).alias("obj_kind"), v.cast("string").alias("obj_lexical"), F.lit(d).alias("obj_datatype"), F.lit(i).alias("i")) for i, (p, k, v, d) in enumerate(values)]
-    out = rows.select(subject.alias("subject"), order.cast("long").alias("o"), F.explode(F.array(*each)).alias("t"))
+    names = [f"_v{i}" for i in range(len(values))]
+    named = rows.select(subject.alias("subject"), order.cast("long").alias("o"), *[v.cast("string").alias(n) for n, (_, _, v, _) in zip(names, values, strict=True)])
+    each = [F.struct(F.lit(p).alias("predicate"), F.lit(k).alias("obj_kind"), F.col(n).alias("obj_lexical"), F.lit(d).alias("obj_datatype"), F.lit(i).alias("i")) for i, (n, (p, k, _, d)) in enumerate(zip(names, values, strict=True))]
+    out = (named.repartition(tasks, "subject") if tasks else named).select("subject", "o", F.explode(F.array(*each)).alias("t"))
     return out.filter("t.obj_lexical is not null").select("subject", "t.predicate", "t.obj_kind", "t.obj_lexical", "t.obj_datatype", (F.col("o") * 16 + F.col("t.i")).alias("seq"))
 
 
+def unpivot_dealt(sources: list[tuple[DataFrame, Column, Column, list[tuple[str, str, Column, str]]]]) -> DataFrame:
+    """The triples of several tables, for grouping by subject: a subject is one task's, and a task has TASK statements or
+    so at most, however few files the tables are in. Tables of equal numbers of tasks are united task by task."""
+    tasks = -(-sum(rows.count() * len(values) for rows, _, _, values in sources) // TASK)
+    tasks = max(tasks, sources[0][0].sparkSession.sparkContext.defaultParallelism)
+    return reduce(DataFrame.unionByName, [unpivot(*source, tasks=tasks) for source in sources])
+
+
+def count_by_predicate(statements: DataFrame) -> DataFrame:
+    """By predicate and kind: statements, distinct subjects and distinct objects. Each distinct count is an aggregate of
+    its own, so no statement is held for both; that of subjects stays where they are, if dealt by subject."""
+    by = ["predicate", "obj_kind"]
+    subjects = statements.groupBy(*by, "subject").agg(F.count("*").alias("n")).groupBy(*by).agg(F.sum("n").alias("statements"), F.count("subject").alias("subjects"))
+    objects = statements.select(*by, "obj_lexical").distinct().groupBy(*by).agg(F.count("obj_lexical").alias("objects"))
+    return subjects.join(objects, by)
+
+
 def exactly_one(statements: DataFrame, keys: list[str], value: str) -> DataFrame:
     """By keys, the value if there is exactly one statement, else null; and how many there are."""
     out = statements.groupBy(*keys).agg(F.count("*").alias("n"), F.first(value).alias("v"))

@@ -25,14 +25,20 @@ def _c(text: str, *cols: str):
     return F.concat(F.lit(text), *[F.col(c).cast("string") for c in cols])
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> list:
+    """What part, supplier and customer state: rows, subject, order and values."""
+    part, supplier, customer = (table(spark, sf_dir, t) for t in ("part", "supplier", "customer"))
+    return [
+        (part, _c("urn:part:", "p_partkey"), F.col("p_partkey"), [("type", "iri", F.lit("Part"), ""), ("type", "iri", F.col("p_type"), ""), ("name", "literal", F.col("p_name"), "string"), ("brand", "literal", F.col("p_brand"), "string"), ("size", "literal", F.col("p_size"), "int")]),
+        (supplier, _c("urn:supplier:", "s_suppkey"), F.col("s_suppkey") + 10**12, [("type", "iri", F.lit("Supplier"), ""), ("name", "literal", F.col("s_name"), "string"), ("nation", "iri", _c("urn:nation:", "s_nationkey"), "")]),
+        (customer, _c("urn:customer:", "c_custkey"), F.col("c_custkey") + 2 * 10**12, [("type", "iri", F.lit("Customer"), ""), ("name", "literal", F.col("c_name"), "string"), ("nation", "iri", _c("urn:nation:", "c_nationkey"), ""), ("segment", "literal", F.col("c_mktsegment"), "string"), ("size", "literal", F.col("c_nationkey"), "long")]),
+    ]
+
+
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The triples of part, supplier and customer."""
-    part, supplier, customer = (table(spark, sf_dir, t) for t in ("part", "supplier", "customer"))
-    return (
-        T.unpivot(part, _c("urn:part:", "p_partkey"), F.col("p_partkey"), [("type", "iri", F.lit("Part"), ""), ("type", "iri", F.col("p_type"), ""), ("name", "literal", F.col("p_name"), "string"), ("brand", "literal", F.col("p_brand"), "string"), ("size", "literal", F.col("p_size"), "int")])
-        .unionByName(T.unpivot(supplier, _c("urn:supplier:", "s_suppkey"), F.col("s_suppkey") + 10**12, [("type", "iri", F.lit("Supplier"), ""), ("name", "literal", F.col("s_name"), "string"), ("nation", "iri", _c("urn:nation:", "s_nationkey"), "")]))
-        .unionByName(T.unpivot(customer, _c("urn:customer:", "c_custkey"), F.col("c_custkey") + 2 * 10**12, [("type", "iri", F.lit("Customer"), ""), ("name", "literal", F.col("c_name"), "string"), ("nation", "iri", _c("urn:nation:", "c_nationkey"), ""), ("segment", "literal", F.col("c_mktsegment"), "string"), ("size", "literal", F.col("c_nationkey"), "long")]))
-    )
+    part, supplier, customer = (T.unpivot(*source) for source in _sources(spark, sf_dir))
+    return part.unionByName(supplier).unionByName(customer)
 
 
 def _branch(t: str, subject: str, order: str, values: list[tuple[str, str, str, str]]) -> str:
@@ -48,14 +54,14 @@ STATEMENTS = "s AS (" + " UNION ALL ".join([
 
 @query(f"WITH {STATEMENTS} SELECT predicate, obj_kind, count(*) AS statements, count(DISTINCT subject) AS subjects, count(DISTINCT obj_lexical) AS objects FROM s GROUP BY 1, 2")
 def triples_of_tables(spark, sf_dir):
-    return statements(spark, sf_dir).groupBy("predicate", "obj_kind").agg(F.count("*").alias("statements"), F.count_distinct("subject").alias("subjects"), F.count_distinct("obj_lexical").alias("objects"))
+    return T.count_by_predicate(T.unpivot_dealt(_sources(spark, sf_dir)))
 
 
 @query(f"""WITH {STATEMENTS} SELECT subject, min(seq) AS first_seq, string_agg(obj_lexical, '|' ORDER BY seq) FILTER (predicate = 'type') AS types,
     max(CASE WHEN predicate = 'size' THEN CAST(obj_lexical AS BIGINT) END) AS size, count(*) FILTER (predicate NOT IN ('type', 'size')) AS n_properties,
     string_agg(predicate || '=' || obj_lexical, '|' ORDER BY seq) FILTER (predicate NOT IN ('type', 'size')) AS properties FROM s GROUP BY 1""")
 def object_build(spark, sf_dir):
-    o = T.build_objects(statements(spark, sf_dir))
+    o = T.build_objects(T.unpivot_dealt(_sources(spark, sf_dir)))
     return o.select("subject", "first_seq", F.array_join("types", "|").alias("types"), "size", F.size("properties").cast("long").alias("n_properties"), F.array_join("properties", "|").alias("properties"))
 
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from evspark.operators import triples as T
+from evspark.plans import metadata
 from evspark.queries import oracle_sql, queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -67,3 +71,15 @@ def test_digests_of_every_row(spark, tmp_path):
     """Rows without bytes, nulls, ids that rows share and no id at all."""
     some = "(1, 'a'), (2, ''), (3, NULL), (4, repeat('é', 100)), (4, repeat('é', 100)), (4, 'b'), (NULL, 'c'), (NULL, NULL), (5, repeat('x', 64)), (5, '')"
     assert agrees(spark, tmp_path, "multi_digest", "documents", f"SELECT CAST(i AS BIGINT) AS doc_id, t AS text FROM (VALUES {some}) v(i, t)")
+
+
+def test_grouped_statements_are_dealt(spark, sf, duck, monkeypatch):
+    """However few files hold the tables, a task groups so many statements; a subject is one task's."""
+    monkeypatch.setattr(T, "TASK", 100, raising=False)
+    for name in ("triples_of_tables", "object_build"):
+        df, want = queries()[name](spark, sf), duck.execute(oracle_sql()[name])
+        assert rows(df.columns, df.collect()) == rows([d[0] for d in want.description], want.fetchall())
+    held = queries()["object_build"](spark, sf).groupBy(F.spark_partition_id()).agg(F.count("*")).collect()
+    assert max(n for _, n in held) < 60  # of 360 subjects
+    made = T.unpivot_dealt(metadata._sources(spark, sf)).select("subject", F.spark_partition_id().alias("task")).distinct()
+    assert made.count() == 360
